@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.llm.packing import pack
+from tracewell.llm.sentencepiece_bpe import encode_decode
 from tracewell.llm.simhash import hex_fingerprint, simhash_components
 from tracewell.llm.substring_dedup import substring_dedup
 
@@ -23,8 +26,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_fingerprint(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op6_sentencepiece": op6_sentencepiece,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
