@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.llm import language_id
 from tracewell.llm.packing import pack
+from tracewell.llm.sampling import fold
 from tracewell.llm.sentencepiece_bpe import encode_decode
 from tracewell.llm.simhash import hex_fingerprint, simhash_components
 from tracewell.llm.substring_dedup import substring_dedup
@@ -30,6 +32,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs.where(fold(docs["doc_id"], 3) != 1))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold(found["doc_id"], 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
 
@@ -37,6 +46,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_language_id": op3_language_id,
     "op6_sentencepiece": op6_sentencepiece,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
