@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.sampling import bounded
-from tracewell.llm.text import bytes_of, pieces, plain
+from tracewell.llm.text import bytes_of, once, pieces, plain
 
 DIMENSIONS = 4096
 CLUSTERS = 4
@@ -31,14 +31,9 @@ REJECT_PART = 0.5
 REJECT_TAIL = 0.005
 UNKNOWN = "und"
 
-_letters: list[np.ndarray] = []
-
-
 def letter_table() -> np.ndarray:
     """Which code points are letters."""
-    if not _letters:
-        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
-    return _letters[0]
+    return once("letters", lambda: np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
 
 
 def letters_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -21,20 +21,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.store import written
-from tracewell.llm.text import bytes_of, pieces, plain, spans
+from tracewell.llm.text import bytes_of, once, pieces, plain, spans
 
 CAPACITY = 2048
 END_ID = 0
-_tokenizers: dict[str, object] = {}
-
 
 def tokenizer(path: str):
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+    return once(path, lambda: Tokenizer.from_file(path))
 
 
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +260,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool =
     places = plan_of(histogram, capacity).places()
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("length", "task", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = cut.join(base, ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # the counts grow with the number of tasks, so they aren't broadcast
+    ranked = cut.join(base.hint("merge"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     ddl = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids + ", sequence_id long, offset long"
     return ranked.select(*columns, "rank").mapInArrow(_assign(places, columns), ddl)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import language_id
+from tracewell.llm import language_id, toxicity
 from tracewell.llm.packing import pack
 from tracewell.llm.sampling import fold
 from tracewell.llm.sentencepiece_bpe import encode_decode
@@ -23,6 +23,19 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Labels of the rows of three folds of four; character counts of all documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    known = docs.select("doc_id", "text").where(fold(docs["doc_id"], 4) != 2).join(labels, "doc_id")
+    return toxicity.fit(known, docs)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = toxicity.score(docs.select("doc_id", "text"), toxicity_model(spark, docs, sf_dir))
+    return found.select("doc_id", (fold(found["doc_id"], 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(documents(spark, sf_dir))
     return found.select("doc_id", hex_fingerprint(found["fp"]).alias("fingerprint"), "component_id")
@@ -48,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
     "op6_sentencepiece": op6_sentencepiece,
+    "op8_toxicity": op8_toxicity,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 

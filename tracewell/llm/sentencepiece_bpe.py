@@ -18,12 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tracewell.llm.text import bytes_of, offsets_of, pieces, plain, spans
+from tracewell.llm.text import bytes_of, once, pieces, plain, spans
 
 _NONE = np.iinfo(np.int32).max
 #: Words of more symbols are merged with a heap.
 LONG_WORD = 256
-_loaded: dict[str, Model] = {}
 
 
 class Model:
@@ -208,9 +207,7 @@ class Model:
 
 
 def load(path: str) -> Model:
-    if path not in _loaded:
-        _loaded[path] = Model(path)
-    return _loaded[path]
+    return once(path, lambda: Model(path))
 
 
 def with_ends(ids: np.ndarray, offsets: np.ndarray, bos: int, eos: int) -> tuple[np.ndarray, np.ndarray]:

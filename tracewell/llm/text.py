@@ -6,7 +6,8 @@ so no Python object exists per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,14 @@ _IS_SEPARATOR = np.zeros(256, bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
 
 
+def once(key: str, make: Callable[[], object]) -> object:
+    """make(), kept for the life of this process: tasks that share a Python worker share what is costly to load."""
+    held = sys.__dict__.setdefault("_tracewell_once", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def plain(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The text column with null as the empty text."""
     return pc.fill_null(batch.column(batch.schema.get_field_index(name)), "")
