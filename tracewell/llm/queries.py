@@ -13,6 +13,7 @@ from tracewell.llm.exact_search import top_k
 from tracewell.llm.packing import pack
 from tracewell.llm.sampling import fold
 from tracewell.llm.sentencepiece_bpe import encode_decode
+from tracewell.llm.sharding import shuffled
 from tracewell.llm.simhash import hex_fingerprint, simhash_components
 from tracewell.llm.substring_dedup import substring_dedup
 
@@ -48,6 +49,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_fingerprint(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
+    found = shuffled(rows, "size")
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
@@ -65,6 +73,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op1_sharding": op1_sharding,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
     "op6_sentencepiece": op6_sentencepiece,
