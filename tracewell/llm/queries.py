@@ -15,6 +15,7 @@ from tracewell.llm.sampling import fold
 from tracewell.llm.sentencepiece_bpe import encode_decode
 from tracewell.llm.sharding import shuffled
 from tracewell.llm.simhash import hex_fingerprint, simhash_components
+from tracewell.llm.syncmers import fingerprints_and_edits
 from tracewell.llm.substring_dedup import substring_dedup
 
 
@@ -67,6 +68,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(found["doc_id"], 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_and_edits(documents(spark, sf_dir))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
+    "op5_syncmer_fingerprints": op5_syncmer_fingerprints,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_toxicity": op8_toxicity,
     "op9_exact_top_k": op9_exact_top_k,
