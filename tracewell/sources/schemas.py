@@ -21,17 +21,23 @@ _DDL = {
     "labels": "clip_id string, track_id long, product string, frame_idx long, verdict string, note string",
     "ground_truth": "schema string, clip string, frame long, role string, flag string, corpus string, ts string",
 }
-SCHEMAS = {name: T.StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+
+
+def schema(table: str) -> T.StructType:
+    """The schema of a table; a session must be running, as its parser reads the layout."""
+    return T.StructType.fromDDL(_DDL[table])
+
+
 #: Columns that are NULL where the table is optional or the reading failed; all others must be present and not NULL.
 NULLABLE = {"embedding", "depth", "customer_embedding", "note", "scores", "alternatives"}
 
 
 def conformed(df: DataFrame, table: str) -> DataFrame:
     """df with exactly the table's columns, in order and cast. A missing or unknown column raises; so does, when it runs, a value that does not cast."""
-    want, have = set(SCHEMAS[table].names), set(df.columns)
+    want, have = set(schema(table).names), set(df.columns)
     if want != have:
         raise ValueError(f"{table}: missing {sorted(want - have)}, unknown {sorted(have - want)}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields])
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema(table).fields])
 
 
 def without_nan(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.sources.schemas import SCHEMAS, conformed, without_nan
+from tracewell.sources.schemas import conformed, schema, without_nan
 
 
 def _path(spark: SparkSession, path: str):
@@ -21,12 +21,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """A required table; clips are partitions, so a filter on clip_id reads their folders only."""
-    return without_nan(spark.read.schema(SCHEMAS[table]).parquet(f"{root}/{table}"))
+    return without_nan(spark.read.schema(schema(table)).parquet(f"{root}/{table}"))
 
 
 def read_optional(spark: SparkSession, root: str, table: str) -> DataFrame:
     """The table, or an empty one of its schema where it does not exist, so that left joins give NULL."""
-    return read_table(spark, root, table) if exists(spark, f"{root}/{table}") else spark.createDataFrame([], SCHEMAS[table])
+    return read_table(spark, root, table) if exists(spark, f"{root}/{table}") else spark.createDataFrame([], schema(table))
 
 
 def write_table(df: DataFrame, root: str, table: str) -> None:
@@ -34,11 +34,11 @@ def write_table(df: DataFrame, root: str, table: str) -> None:
     conformed(df, table).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("clip_id").parquet(f"{root}/{table}")
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType, lines: bool = True) -> DataFrame:
+def read_records(spark: SparkSession, path: str, layout: T.StructType, lines: bool = True) -> DataFrame:
     """JSON records, one a line (blank and broken lines are passed over) or one a file; no file gives an empty table."""
     if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    reader = spark.read.schema(schema)
+        return spark.createDataFrame([], layout)
+    reader = spark.read.schema(layout)
     return (reader.option("mode", "DROPMALFORMED") if lines else reader.option("multiLine", True)).json(path)
 
 
