@@ -315,3 +315,18 @@ def test_streams(spark, tmp_path):
     assert [(r["n"], round(r["mean"], 9)) for r in found] == [(10, 13.5), (10, 14.5), (10, 15.5)]
     beats = streams.drained(streams.beats(stream(), "ts", ["user"], "10 seconds", "1 hour"), ["user", "w"], f"{tmp_path}/b")
     assert beats.agg(F.sum("n"), F.count("*")).first() == (30, 9)
+
+
+def test_recipe_probes_and_replies(spark):
+    rows = spark.createDataFrame([("c_t1", (0.1234567, "mid")), ("c_t2", (None, "low"))], "image_id string, axes struct<a:double,b:string>")
+    registry = spark.createDataFrame([("G01", "a", "cont", 0.0, 1.0), ("G02", "b", "cat", None, None), ("H01", "c", "cont", 0.0, 1.0)], "axis_id string, name string, type string, lo double, hi double")
+    filled, unfilled = readings.recipe(rows, "image_id", "axes", registry)
+    assert sorted((r["image_id"], r["axis_id"], r["value_num"], r["value_cat"]) for r in filled.collect()) == [("c_t1", "G01", 0.123457, None), ("c_t1", "G02", None, "mid"), ("c_t2", "G02", None, "low")]
+    assert sorted(tuple(r) for r in unfilled.collect()) == [("c_t1", "H01"), ("c_t2", "G01"), ("c_t2", "H01")]
+    rng = random.Random(2)
+    scored = spark.createDataFrame([(1, x, 2 * x + rng.random() * 0.1, rng.random(), 1.0) for x in (rng.random() for _ in range(40))], "t long, p1 double, yaw double, blur double, flat double")
+    found = readings.component_probes(scored, ["t"], ["p1"], ["yaw", "blur", "flat"]).orderBy("rank").collect()
+    assert [r["probe"] for r in found] == ["yaw", "blur"] and found[0]["corr"] > 0.99
+    candidates = spark.createDataFrame([("c", 1), ("c", 2), ("c", 3)], "clip string, i int")
+    ranked = scores.ranked_by_reply(candidates, spark.createDataFrame([("c", "1: 2\n3: 9.5")], "clip string, reply string"), "clip", "i").orderBy("rank").collect()
+    assert [(r["i"], r["language_score"]) for r in ranked] == [(3, 9.5), (1, 2.0), (2, 0.0)]

@@ -89,3 +89,36 @@ def matched(subjects: DataFrame, library: DataFrame, name: str, subject: str, we
     total = hits.groupBy(subject, name).agg(F.sum("weight").alias("score"))
     rank = F.row_number().over(Window.partitionBy(subject).orderBy(F.desc("score"), name))
     return total.withColumn("__r", rank).where("__r = 1 and score > 0").drop("__r")
+
+
+def recipe(rows: DataFrame, image: str, axes: str, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(image, axis_id, name, type, value_num, value_cat, lo, hi) for every measured axis, and (image, axis_id) of the registry's axes that no value fills.
+
+    axes: a struct of measures; registry: axis_id, name, type (cont or cat), lo, hi, a fixed table of tens of rows. Numbers are rounded to 6 places.
+    """
+    fields = rows.schema[axes].dataType.fields
+    entry = F.array(*[F.struct(F.lit(f.name).alias("name"), F.col(f"{axes}.{f.name}").cast("string").alias("value")) for f in fields])
+    long = rows.select(image, F.explode(entry).alias("e")).select(image, "e.*").where("value is not null")
+    known = long.join(F.broadcast(registry), "name")
+    number = F.when(F.col("type") == "cont", F.round(F.col("value").cast("double"), 6))
+    filled = known.select(image, "axis_id", "name", "type", number.alias("value_num"), F.when(F.col("type") == "cat", F.col("value")).alias("value_cat"), "lo", "hi")
+    wanted = rows.select(image, F.explode(registry_ids(registry)).alias("axis_id"))
+    return filled, wanted.join(filled.select(image, "axis_id"), [image, "axis_id"], "left_anti")
+
+
+def registry_ids(registry: DataFrame) -> Column:
+    """The ids of a fixed registry as an array literal."""
+    return F.array(*[F.lit(r["axis_id"]) for r in registry.select("axis_id").collect()])
+
+
+def component_probes(scores: DataFrame, keys: Sequence[str], components: Sequence[str], probes: Sequence[str], k: int = 2, least: int = 10) -> DataFrame:
+    """keys, component, rank, probe, corr: the k probes that each component goes with most, by absolute correlation; tracks of `least` rows or fewer, and signals
+    without spread, are left out."""
+    found = []
+    for c in components:
+        for q in probes:
+            steady = (F.stddev_pop(c) > 1e-9) & (F.stddev_pop(q) > 1e-9) & (F.count(F.col(c) + F.col(q)) > least)
+            found.append(F.struct(F.lit(c).alias("component"), F.lit(q).alias("probe"), F.when(steady, F.corr(c, q)).alias("corr")))
+    each = scores.groupBy(*keys).agg(F.array(*found).alias("all")).select(*keys, F.explode("all").alias("e")).select(*keys, "e.*").where("corr is not null")
+    rank = F.row_number().over(Window.partitionBy(*keys, "component").orderBy(F.desc(F.abs("corr")), "probe"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k)

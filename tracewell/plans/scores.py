@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.numbers import clip, mean_of, preference
+from tracewell.functions.text import line_scores
 from tracewell.operators.windows import filled, gradient, minmax, robust_z
 
 
@@ -67,3 +68,10 @@ def state_blends(r: Sequence[Column]) -> dict[str, Column]:
     """Face, light, image and distortion, from the unit ranks of stillness, pupils, sharpness, fine detail, size, coherence, visibility and light."""
     still, pupil, sharp, fine, size, coherent, visible, light = r
     return {"face": (2 * still + pupil) / 3, "light": light, "image": (sharp + fine) / 2, "distortion": (coherent + visible + size) / 3}
+
+
+def ranked_by_reply(candidates: DataFrame, replies: DataFrame, clip_: str, index: str) -> DataFrame:
+    """candidates with language_score and rank: scores read from the lines of a clip's reply, 0 where it names none; ties to the lower index."""
+    read = replies.select(clip_, F.explode(line_scores(F.col("reply"))).alias("s")).groupBy(clip_, F.col("s.index").alias(index)).agg(F.max("s.score").alias("language_score"))
+    joined = candidates.join(read, [clip_, index], "left").withColumn("language_score", F.coalesce("language_score", F.lit(0.0)))
+    return joined.withColumn("rank", F.row_number().over(Window.partitionBy(clip_).orderBy(F.desc("language_score"), index)))
