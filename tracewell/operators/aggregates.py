@@ -117,6 +117,13 @@ def robust_spread(x: str, least: int = 10) -> Column:
     return F.when(F.count(x) >= least, (q[2] - q[0]) / F.nullif(F.abs(q[1]), F.lit(0.0)))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation over rows with both values; NULL where one of them does not vary."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.covar_pop(x, y) / F.when(spread > 0, spread)
+
+
 def rank_correlation(rows: DataFrame, keys: Keys, a: str, b: str) -> DataFrame:
     """keys, rho: Spearman's correlation with average ranks."""
 
@@ -125,7 +132,7 @@ def rank_correlation(rows: DataFrame, keys: Keys, a: str, b: str) -> DataFrame:
         return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*keys, x)) - 1) / 2
 
     both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumns({"__ra": ranks(a), "__rb": ranks(b)})
-    return both.groupBy(*keys).agg(F.corr("__ra", "__rb").alias("rho"))
+    return both.groupBy(*keys).agg(correlation(F.col("__ra"), F.col("__rb")).alias("rho"))
 
 
 def distribution(rows: DataFrame, keys: Keys, x: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.numbers import balanced_pair, clip, unit
 from tracewell.functions.vectors import cosine, doubles, mean_vector, normalised
-from tracewell.operators.aggregates import persistence_class, quantile_baseline, share_of, top_modes
+from tracewell.operators.aggregates import correlation, persistence_class, quantile_baseline, share_of, top_modes
 from tracewell.operators.selection import with_support
 
 
@@ -118,7 +118,7 @@ def component_probes(scores: DataFrame, keys: Sequence[str], components: Sequenc
     for c in components:
         for q in probes:
             steady = (F.stddev_pop(c) > 1e-9) & (F.stddev_pop(q) > 1e-9) & (F.count(F.col(c) + F.col(q)) > least)
-            found.append(F.struct(F.lit(c).alias("component"), F.lit(q).alias("probe"), F.when(steady, F.corr(c, q)).alias("corr")))
+            found.append(F.struct(F.lit(c).alias("component"), F.lit(q).alias("probe"), F.when(steady, correlation(F.col(c), F.col(q))).alias("corr")))
     each = scores.groupBy(*keys).agg(F.array(*found).alias("all")).select(*keys, F.explode("all").alias("e")).select(*keys, "e.*").where("corr is not null")
     rank = F.row_number().over(Window.partitionBy(*keys, "component").orderBy(F.desc(F.abs("corr")), "probe"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k)
