@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.store import written
+from tracewell.llm.store import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,9 +29,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = written(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        older, edges = edges, written(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        discard(older)
         after = _state(edges)
         if after == before:
             break
         before = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._tracewell_path = edges._tracewell_path
+    return out

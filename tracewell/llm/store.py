@@ -53,4 +53,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     _folders[folder] = spark
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tracewell_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of written() tables that nothing will read again."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._tracewell_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.store import shuffle_partitions
-from tracewell.llm.text import Words, mixed, pieces, plain, run_hash, spans, window_least
+from tracewell.llm.text import Words, mixed, pieces, plain, run_hash, spans, squeezed, window_least
 
 WINDOW = 20
 #: Words of a minimiser.
@@ -86,8 +86,8 @@ def _pack(window: int, partitions: int, hot: list[int]):
     hot_keys = np.sort(np.array(hot, np.int64).view(np.uint64)) if hot else np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for piece in pieces(batches, "text", 8 << 20):
+        press = zstandard.ZstdCompressor(level=6)
+        for piece in pieces(batches, "text", 6 << 20):
             words = Words(plain(piece, "text"))
             doc, at, windows, key, hashes = _cut(words, window)
             if len(at) == 0:
@@ -241,8 +241,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _strip(keep_text: bool, window: int, schema: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
-            words = Words(plain(piece, "text"))
+        opened = zstandard.ZstdDecompressor()
+        for piece in pieces(batches, "text", 2 << 20):
+            words = Words(pa.array([opened.decompress(x).decode() if x is not None else "" for x in piece.column(piece.schema.get_field_index("text")).to_pylist()], pa.string()))
             n = np.diff(words.of)
             found = piece.column(piece.schema.get_field_index("found"))
             per = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -271,26 +272,23 @@ def _strip(keep_text: bool, window: int, schema: list[str]):
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
-    """docs with n_words, n_removed and kept_text (the kept words joined by one space), or kept_sha256 if not keep_text.
+    """docs with n_words, n_removed and, in place of text, kept_text (the kept words joined by one space), or kept_sha256 if not keep_text.
 
     A null text has no words. A null doc_id comes before all others. Rows that agree in doc_id and text are one document:
     each gets that document's result. Rows that agree in doc_id only are ordered by a hash of their text. Documents of fewer
-    than `window` words lose nothing. An empty table gives an empty table. All columns of docs but n_words, n_removed,
-    kept_text and kept_sha256, which are replaced, stay as they are, whatever their names.
+    than `window` words lose nothing. An empty table gives an empty table. Other columns of docs stay, whatever their names, but for
+    those named as the results, which are replaced. Texts are compressed on their way to their repeats.
     """
     made = ["n_words", "n_removed", "kept_text" if keep_text else "kept_sha256"]
     docs = docs.drop("n_words", "n_removed", "kept_text", "kept_sha256")
     own = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
     repeats = repeated_windows(own, window).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "windows")).alias("found"))
-    repeats = repeats.select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy"), F.col("found"))
     # the columns travel under numbers, so that no name can clash
-    named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.coalesce("doc_id", F.lit(_NULL_ID)).cast("long").alias("__doc"), F.xxhash64("text").alias("__copy"), F.col("text"))
-    columns = [f"c{i}" for i in range(len(docs.columns))]
-    text_at = f"c{docs.columns.index('text')}"
-    joined = named.join(repeats, ["__doc", "__copy"], "left")
-    kept = [c for c in columns if keep_text and c != text_at or not keep_text and c != text_at]
-    shape = [f for c, f in ((f"c{i}", f) for i, f in enumerate(docs.schema.fields)) if c in kept]
-    out = kept + made
-    ddl = ", ".join([f"{c} {f.dataType.simpleString()}" for c, f in zip(kept, shape)] + ["n_words long", "n_removed long", f"{made[2]} string"])
-    result = joined.select(*kept, "text", "found").mapInArrow(_strip(keep_text, window, out), ddl)
-    return result.select(*[F.col(c).alias(f.name) for c, f in zip(kept, shape)], *made)
+    kept = [i for i, c in enumerate(docs.columns) if c != "text"]
+    numbered = docs.select(*[F.col(f"`{docs.columns[i]}`").alias(f"c{i}") for i in kept], F.coalesce("doc_id", F.lit(_NULL_ID)).cast("long").alias("__doc"), F.xxhash64("text").alias("__copy"), "text")
+    found = repeats.toDF("__doc", "__copy", "found").hint("merge")  # repeats grow with the input, so they aren't broadcast
+    joined = squeezed(numbered, "text").join(found, ["__doc", "__copy"], "left")
+    names = [f"c{i}" for i in kept]
+    ddl = ", ".join([f"c{i} {docs.schema[docs.columns[i]].dataType.simpleString()}" for i in kept] + ["n_words long", "n_removed long", f"{made[2]} string"])
+    result = joined.select(*names, "text", "found").mapInArrow(_strip(keep_text, window, [*names, *made]), ddl)
+    return result.select(*[F.col(f"c{i}").alias(docs.columns[i]) for i in kept], *made)

@@ -6,6 +6,8 @@ so no Python object exists per word.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterator
 
@@ -13,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: White space of the word pattern [^\x20\x09-\x0D]+ (fixed values).
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -34,6 +39,10 @@ def plain(batch: pa.RecordBatch, name: str) -> pa.Array:
     return pc.fill_null(batch.column(batch.schema.get_field_index(name)), "")
 
 
+def _sizes(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return np.diff(offsets_of(batch.column(batch.schema.get_field_index(name))))
+
+
 def offsets_of(texts: pa.Array) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
     if len(texts) == 0 or texts.buffers()[1] is None:
@@ -49,18 +58,29 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], name: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut by rows so that a piece holds about `most` bytes of text (a longer text is a piece by itself)."""
+def tidy() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and several wait side by side on an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], name: str, most: int = 4 << 20, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a piece holds about `most` bytes of text (a longer text is a piece by itself) and `rows` rows at most."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        ends = np.cumsum(np.diff(offsets_of(plain(batch, name))))
+        ends = np.cumsum(_sizes(batch, name))
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "right"))))
             yield batch.slice(at, to - at)
             at = to
+        del batch
+        tidy()
 
 
 class Words:
@@ -167,3 +187,26 @@ def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     total = int(count.sum())
     ends = np.cumsum(count)
     return np.arange(total, dtype=np.int64) + np.repeat(first - (ends - count), count)
+
+
+def _recoded(df: DataFrame, name: str, kind: T.DataType, recode: Callable[[], Callable[[bytes], bytes]], arrow: pa.DataType) -> DataFrame:
+    at = df.columns.index(name)
+    columns = [f"c{i}" for i in range(len(df.columns))]
+    schema = T.StructType([T.StructField(columns[i], kind if i == at else f.dataType) for i, f in enumerate(df.schema.fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = recode()
+        for batch in pieces(batches, columns[at], 2 << 20):
+            own = pa.array([None if x is None else change(x) for x in batch.column(at).cast(pa.binary()).to_pylist()], pa.binary()).cast(arrow)
+            yield pa.RecordBatch.from_arrays([own if i == at else c for i, c in enumerate(batch.columns)], columns)
+
+    return df.toDF(*columns).mapInArrow(run, schema).toDF(*df.columns)
+
+
+def squeezed(df: DataFrame, name: str) -> DataFrame:
+    """df with a text column compressed, for a shuffle that carries whole texts; NULL stays NULL."""
+    return _recoded(df, name, T.BinaryType(), lambda: zstandard.ZstdCompressor(level=3).compress, pa.binary())
+
+
+def unsqueezed(df: DataFrame, name: str) -> DataFrame:
+    return _recoded(df, name, T.StringType(), lambda: zstandard.ZstdDecompressor().decompress, pa.string())

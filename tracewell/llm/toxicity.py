@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.language_id import letter_table
 from tracewell.llm.sampling import bounded
-from tracewell.llm.store import written
+from tracewell.llm.store import discard, written
 from tracewell.llm.text import Words, bytes_of, mixed, pieces, plain, run_hash
 
 #: Labelled rows of each label that the classifier is fitted on.
@@ -310,6 +310,7 @@ def fit(labelled: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([piece.column(1), *(pa.array(found[:, k]) for k in range(4))], ["toxic", "a", "b", "c", "d"])
 
     rest = rows.select("text", "toxic").mapInArrow(evidence, "toxic int, a double, b double, c double, d double").collect()
+    discard(rows)
     if rest:
         found = np.array([tuple(r) for r in rest], float)
         model.curve = logistic(found[:, 1:], found[:, 0])
