@@ -30,6 +30,8 @@ LENGTHS = (0, 8, 16, 32, 64, 128, 256, 512, 1024)
 REJECT_PART = 0.5
 REJECT_TAIL = 0.005
 UNKNOWN = "und"
+#: Texts whose vectors are held at a time.
+ROWS = 256
 
 def letter_table() -> np.ndarray:
     """Which code points are letters."""
@@ -77,7 +79,7 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found, rows = np.zeros(DIMENSIONS, np.int64), 0
-    for piece in pieces(batches, "text", 1 << 20):
+    for piece in pieces(batches, "text", 1 << 20, ROWS):
         counts, _ = grams(plain(piece, "text"))
         found += (counts > 0).sum(0)
         rows += len(counts)
@@ -85,7 +87,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(batches, "text", 1 << 20):
+    for piece in pieces(batches, "text", 1 << 20, ROWS):
         counts, length = grams(plain(piece, "text"))
         packed = np.minimum(counts, 255).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([piece.column(piece.schema.get_field_index("lang")), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(length)], ["lang", "counts", "length"])
@@ -164,7 +166,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     text = f"c{docs.columns.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, text, 1 << 20):
+        for piece in pieces(batches, text, 1 << 20, ROWS):
             languages, score, rejected = model.predict(plain(piece, text))
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(languages, pa.string()), pa.array(score), pa.array(rejected)], [*columns, "lang_pred", "score", "rejected"])
 
