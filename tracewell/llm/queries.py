@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracewell.llm import language_id, toxicity
 from tracewell.llm.exact_search import top_k
 from tracewell.llm.packing import pack
+from tracewell.llm.revisits import resolve
 from tracewell.llm.sampling import fold
 from tracewell.llm.sentencepiece_bpe import encode_decode
 from tracewell.llm.sharding import shuffled
@@ -27,6 +28,20 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as a crawl: each is fetched in the order of page_id and asked for again a thousand pages later; its tag is a digest of its content, which every
+    third second request gets wrong. One row a page: what its second request resolves to."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("tag"))
+    first = F.create_map(F.lit("etag"), F.col("tag"), F.lit("content-type"), F.lit("text/html"), F.lit("date"), F.col("page_id").cast("string"))
+    again = F.create_map(F.lit("etag"), F.when(F.col("page_id") % 3 == 0, "other").otherwise(F.concat(F.lit("W/"), "tag")), F.lit("content-type"), F.lit("none"), F.lit("date"), (F.col("page_id") + 1000).cast("string"))
+    visits = F.array(
+        F.struct(F.lit("response").alias("kind"), (F.col("page_id") * 2).alias("fetched"), first.alias("headers")),
+        F.struct(F.lit("revisit").alias("kind"), (F.col("page_id") * 2 + 2001).alias("fetched"), again.alias("headers")),
+    )
+    found = resolve(pages.select(F.col("page_id").alias("record_id"), "url", F.explode(visits).alias("v")).select("record_id", "url", "v.*"))
+    return found.select(F.col("record_id").alias("page_id"), "canonical_url", "resolved_id", "status", *[F.col("headers")[h].alias(h.replace("-", "_")) for h in ("etag", "content-type", "date")])
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     """Labels of the rows of three folds of four; character counts of all documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -83,12 +98,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_syncmer_fingerprints": op5_syncmer_fingerprints,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_warc_revisits": op7_warc_revisits,
     "op8_toxicity": op8_toxicity,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_warc_revisits": r"""
+        WITH r AS (SELECT page_id, md5(coalesce(html, '')) AS tag, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
+        q AS (SELECT page_id, tag, rest, list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)='))) AS kept FROM r),
+        c AS (SELECT page_id, tag, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '')
+            || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url FROM q),
+        p AS (SELECT a.page_id, a.url, CASE WHEN a.page_id % 3 = 0 THEN 'other' ELSE 'W/' || a.tag END AS mine, b.page_id AS id, b.tag AS theirs, row_number() OVER (PARTITION BY a.page_id ORDER BY b.page_id DESC NULLS LAST) AS n
+            FROM c a LEFT JOIN c b ON a.url = b.url AND b.page_id * 2 < a.page_id * 2 + 2001),
+        s AS (SELECT *, CASE WHEN url IS NULL THEN 'no url' WHEN id IS NULL THEN 'no earlier response' WHEN replace(mine, 'W/', '') = theirs THEN 'resolved' ELSE 'validator mismatch' END AS status FROM p WHERE n = 1)
+        SELECT page_id, url AS canonical_url, CASE WHEN status = 'resolved' THEN id END AS resolved_id, status, mine AS etag, CASE WHEN status = 'resolved' THEN 'text/html' ELSE 'none' END AS content_type,
+            CAST(page_id + 1000 AS VARCHAR) AS date FROM s
+    """,
     "op9_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
