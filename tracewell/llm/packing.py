@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,12 +26,81 @@ from tracewell.llm.text import bytes_of, once, pieces, plain, spans
 
 CAPACITY = 2048
 END_ID = 0
-
-def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return once(path, lambda: Tokenizer.from_file(path))
+#: Chunks whose ids a Python worker keeps.
+KNOWN_CHUNKS = 300_000
+
+class Encoder:
+    """A tokenizer with the ids of the chunks that it has met lately, so that a chunk is seldom encoded twice. What is kept never changes a result."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.own = Tokenizer.from_file(path)
+        # byte-level pieces have a character for each byte; added tokens stand for themselves
+        self.bytes = np.zeros(self.own.get_vocab_size(), np.int64)
+        for piece, i in self.own.get_vocab(with_added_tokens=False).items():
+            self.bytes[i] = len(piece)
+        for i, token in self.own.get_added_tokens_decoder().items():
+            self.bytes[i] = len(token.content.encode())
+        self.chunks = pa.array([], pa.large_string())
+        self.ids, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, how many each has). Chunks that keep apart by themselves go through the tokenizer many at a time, as one text; the
+        bytes that each id stands for tell where a chunk ends."""
+        data, offsets = bytes_of(chunks)
+        space, solid = _white(data)
+        joins = space[offsets[:-1]] & solid[offsets[1:] - 1] if len(chunks) else np.zeros(0, bool)
+        size, parts = np.zeros(len(chunks), np.int64), []
+        together = np.flatnonzero(joins)
+        for a in range(0, len(together), 1000):
+            own = chunks.take(pa.array(together[a : a + 1000]))
+            text, ends = bytes_of(own)
+            ids = np.array(self._encoded([text.tobytes().decode()])[0], np.int32)
+            at = np.searchsorted(np.cumsum(self.bytes[ids]), ends[1:]) + 1
+            size[together[a : a + 1000]] = np.diff(at, prepend=0)
+            parts.append(ids)
+        alone = np.flatnonzero(~joins)
+        found = self._encoded(chunks.take(pa.array(alone)).to_pylist())
+        size[alone] = [len(x) for x in found]
+        parts.append(np.array([i for x in found for i in x], np.int32))
+        flat = np.concatenate(parts)
+        order = np.concatenate([together, alone])
+        begin = np.empty(len(chunks), np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        return flat[spans(begin, size)], size
+
+    def of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pool of ids, where each chunk's begin there, how many they are)."""
+        at = pc.index_in(chunks, value_set=self.chunks).fill_null(-1).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(at < 0)
+        fresh = chunks.take(pa.array(new))
+        ids, size = self._fresh(fresh)
+        begin = np.cumsum(size) - size
+        pool = np.concatenate([self.ids, ids])
+        starts, sizes = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        old = np.flatnonzero(at >= 0)
+        starts[old], sizes[old] = self.start[at[old]], self.size[at[old]]
+        starts[new], sizes[new] = begin + len(self.ids), size
+        if len(self.chunks) + len(fresh) > KNOWN_CHUNKS:
+            self.chunks, self.ids, self.start, self.size = fresh, ids, begin, size
+        else:
+            self.chunks = pa.concat_arrays([self.chunks, fresh])
+            self.ids, self.start, self.size = pool, np.concatenate([self.start, begin + len(self.ids)]), np.concatenate([self.size, size])
+        return pool, starts, sizes
+
+
+def _white(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ASCII white space, last byte of a character that surely is none). A non-ASCII character is surely none if it has two bytes and is not in
+    U+0080 to U+00BF, where white space lies."""
+    space = (data == 0x20) | ((data >= 9) & (data <= 13))
+    solid = ~space & (data < 0x80)
+    solid[1:] |= (data[1:] >= 0x80) & (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)
+    return space, solid
 
 
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -41,11 +111,8 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """
     data, offsets = bytes_of(texts)
     if len(data) == 0:
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    space = (data == 0x20) | ((data >= 9) & (data <= 13))
-    # a non-ASCII character counts as none only if it has two bytes and is not in U+0080 to U+00BF, where white space lies
-    solid = ~space & (data < 0x80)
-    solid[1:] |= (data[1:] >= 0x80) & (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)
+        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+    space, solid = _white(data)
     new = space.copy()
     new[1:] &= solid[:-1]
     new[offsets[:-1][np.diff(offsets) > 0]] = True
@@ -53,11 +120,9 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     of = np.searchsorted(begin, offsets)
     coded = pa.Array.from_buffers(pa.large_string(), len(begin) - 1, [None, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(data.tobytes())]).dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    found = [x.ids for x in tokenizer(path).encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
-    size = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.fromiter((i for x in found for i in x), np.int64, int(size.sum()))
+    pool, start, size = once(f"encoder {path}", lambda: Encoder(path)).of(coded.dictionary)
     per = size[codes]
-    return flat[spans((np.cumsum(size) - size)[codes], per)], np.concatenate(([0], np.cumsum(per)))[of]
+    return pool[spans(start[codes], per)], np.concatenate(([0], np.cumsum(per)))[of]
 
 
 def _pieces(path: str, capacity: int, keep_ids: bool):
@@ -66,7 +131,7 @@ def _pieces(path: str, capacity: int, keep_ids: bool):
         for piece in pieces(batches, "text", 8 << 20):
             ids, offsets = encode(plain(piece, "text"), path)
             n = len(offsets) - 1
-            ended = np.full(len(ids) + n, END_ID, np.int64)
+            ended = np.full(len(ids) + n, END_ID, np.int32)
             at = np.ones(len(ended), bool)
             at[offsets[1:] + np.arange(n)] = False
             ended[at] = ids
