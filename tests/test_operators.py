@@ -330,3 +330,18 @@ def test_recipe_probes_and_replies(spark):
     candidates = spark.createDataFrame([("c", 1), ("c", 2), ("c", 3)], "clip string, i int")
     ranked = scores.ranked_by_reply(candidates, spark.createDataFrame([("c", "1: 2\n3: 9.5")], "clip string, reply string"), "clip", "i").orderBy("rank").collect()
     assert [(r["i"], r["language_score"]) for r in ranked] == [(3, 9.5), (1, 2.0), (2, 0.0)]
+
+
+def test_split_half_drift(spark):
+    rows = [("a", i, [0.0, 0.0, 0.0] if i < 5 else [3.0, 0.0, 4.0]) for i in range(11)] + [("b", i, [float(i)] * 3) for i in range(9)] + [("b", 99, None)]
+    own = spark.createDataFrame(rows, "t string, i long, v array<double>")
+    got = {r["t"]: (r["n"], r["drift"]) for r in W.split_half_drift(own, ["t"], "i", "v").collect()}
+    assert got == {"a": (11, 5.0), "b": (9, None)}
+    assert W.split_half_drift(own.limit(0), ["t"], "i", "v").count() == 0
+
+
+def test_sharing_frames(spark):
+    rows = spark.createDataFrame([("c", 1, 1), ("c", 1, 2), ("c", 1, 2), ("c", 2, 3), ("d", 2, 1), (None, 1, 3)], "clip string, frame long, s long")
+    pairs = spark.createDataFrame([("c", 1, 2), ("c", 1, 3), ("d", 1, 3), ("c", 1, None)], "clip string, a long, b long")
+    got = {(r["clip"], r["a"], r["b"]): r["overlap"] for r in J.sharing_frames(pairs, rows, ["clip"], "frame", "s").collect()}
+    assert got == {("c", 1, 2): True, ("c", 1, 3): False, ("d", 1, 3): False, ("c", 1, None): False}

@@ -97,3 +97,11 @@ def rival_similarity(rows: DataFrame, centroids: DataFrame, keys: Keys, subject:
     own = F.filter("__near", lambda c: c["id"] == F.col(subject))
     others = F.transform(F.filter("__near", lambda c: c["id"] != F.col(subject)), lambda c: c["cos"])
     return joined.withColumns({"cos_self": F.get(own, F.lit(0))["cos"], "cos_other": F.array_max(others)}).drop("__all", "__u", "__near")
+
+
+def sharing_frames(pairs: DataFrame, rows: DataFrame, keys: Keys, frame: str, subject: str) -> DataFrame:
+    """pairs (keys, a, b) with `overlap`: whether the two subjects have a frame in common. Only the frames of the pairs named are looked at."""
+    seen = rows.select(*keys, frame, subject).distinct()
+    of_a = pairs.select(*keys, "a", "b").distinct().join(seen.withColumnRenamed(subject, "a"), [*keys, "a"])
+    both = of_a.join(seen.withColumnRenamed(subject, "b"), [*keys, "b", frame], "left_semi").select(*keys, "a", "b").distinct()
+    return pairs.join(both.withColumn("overlap", F.lit(True)), [*keys, "a", "b"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(False)))

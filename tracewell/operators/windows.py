@@ -161,3 +161,17 @@ def absences(rows: DataFrame, keys: Keys, order: str) -> DataFrame:
 def difference(x: Column, keys: Keys, order: str) -> Column:
     """x minus the row before's, which counts 0 for the first row."""
     return x - F.coalesce(F.lag(x).over(ordered(keys, order)), F.lit(0.0))
+
+
+def split_half_drift(rows: DataFrame, keys: Keys, order: str, vector: str, width: int = 3, least: int = 5) -> DataFrame:
+    """keys, n, drift: how far the positional medians of a track's first and second half lie apart, as the root mean square over points of `width` numbers.
+
+    Halves are cut by row, the middle row of an odd count to the second. NULL where a half would have fewer than `least` rows; NULL vectors take no part.
+    """
+    own = rows.where(F.col(vector).isNotNull()).select(*keys, order, vector)
+    own = own.withColumn("__n", F.count("*").over(whole(keys))).withColumn("__first", F.row_number().over(ordered(keys, order)) <= F.floor(F.col("__n") / 2))
+    parts = own.select(*keys, "__n", "__first", F.posexplode(vector).alias("__pos", "__x"))
+    halves = [F.median(F.when(test, F.col("__x"))) for test in (F.col("__first"), ~F.col("__first"))]
+    apart = parts.groupBy(*keys, "__n", "__pos").agg((halves[0] - halves[1]).alias("__d"))
+    found = apart.groupBy(*keys, F.col("__n").alias("n")).agg(F.sqrt(F.sum(F.col("__d") * F.col("__d")) * width / F.count("*")).alias("drift"))
+    return found.withColumn("drift", F.when(F.floor(F.col("n") / 2) >= least, F.col("drift")))
