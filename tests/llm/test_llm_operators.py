@@ -394,3 +394,30 @@ def test_block_plan_keeps_recall():
     for texts in (10, 10**6, 10**9, 10**11):
         bits, blocks = near_copies.block_plan(texts)
         assert 1 - (1 - (1 - near_copies.DIFFER) ** bits) ** blocks >= near_copies.RECALL
+
+
+def _shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def _jaccard(a, b):
+    a, b = _shingles(a), _shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_by_one_contiguous_edit(spark):
+    rng = random.Random(17)
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfghjklm" for b in ("a", "e", "i", "o") for c in ("n", "r", "st", "ck")]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    for count in (40, 400):
+        texts = []
+        for i in range(count):
+            share, words = 0.78 + 0.09 * (i % 20) / 19, draw(200)
+            kept, cut = round(196 * share) + 4, round(204 * (1 - share) / (1 + share)) - 4
+            texts += [" ".join(words), " ".join([words + draw(round(196 / share) - 196), words[:kept], words[:60] + draw(cut) + words[60 + cut :]][i % 3])]
+        near = [_jaccard(*texts[2 * i : 2 * i + 2]) for i in range(count)]
+        assert sum(0.8 <= x < 0.88 for x in near) > count / 2 and min(near) < 0.8
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DDL)
+        kept = sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs).collect())
+        assert kept == sorted([*range(0, 2 * count, 2), *(2 * i + 1 for i in range(count) if near[i] < 0.8)])

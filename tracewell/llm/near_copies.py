@@ -1,11 +1,12 @@
-"""Groups of near copies at a Jaccard similarity of word shingles, found by SimHash blocks.
-
-Fingerprints here are longer than 64 bits, so that pairs at the given similarity share a block with high probability however selective the blocks must be:
-1. Texts with equal word sequences are one class.
-2. A class's fingerprint is the majority over its two-word shingles; those change least under edits, so close pairs differ in few bits.
-3. Classes meet on each block and are linked if their distance is small. A bucket of many close classes is linked as a star around the member nearest
-   to the bucket's majority, and as a chain by distance from it: two links a member, never all pairs.
-4. Links hold if the shingle sets are similar enough; sets are compared by their SKETCH least hashes, all of them for most texts.
+"""Groups of near copies at a Jaccard similarity of word shingles, found exactly by prefixes of shingle sets.
+
+1. Equal texts are one class.
+2. In one order of all shingles, two sets of the given similarity share a shingle within their first n - ceil(similarity * n) + 1. Classes meet on each of
+   those, so no pair of the given similarity is missed, whatever its edits and however many documents there are. Shingles that a sample shows to be common
+   come last in the order; that saves work and decides nothing.
+3. In a bucket, the first member is compared with all others, then the next four, sixteen and so on, each with all behind it, until all members
+   are in one component or every pair has been compared. Pairs of one component are passed over. Large groups of close classes are thus done in a round or two.
+4. Pairs are compared by their whole shingle sets, built anew from the two texts.
 5. Components of the links are the groups.
 """
 
@@ -17,21 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
-from tracewell.llm.simhash import majority_bits
 from tracewell.llm.store import discard, shuffle_partitions, written
 from tracewell.llm.text import Words, mixed, pieces, plain, run_hash, spans, squeezed, unsqueezed
 
-#: Part of the bits in which two texts of Jaccard 0.8 over five-word shingles differ, as two-word shingles see them: an angle of acos(0.954) of 180 degrees.
+#: Of block_plan(), which near_copies() does not use any more: part of the bits in which two texts of Jaccard 0.8 differ if their edits are scattered, and the recall.
 DIFFER = 0.097
-#: Pairs at the least similarity share a block with this probability, at least.
 RECALL = 0.98
-SKETCH = 512
-SMALL_BUCKET = 6
-_ROWS = "doc_id long, copy long, node binary, fp binary, sketch binary, n int"
+#: Shingles are ordered by a sample of about so many texts; those in COMMON of them are common, the first COMMON_MOST count.
+SAMPLE, COMMON, COMMON_MOST = 10_000, 3, 100_000
+_EPS = 1e-9
 
 
 def block_plan(texts: int) -> tuple[int, int]:
@@ -40,146 +40,181 @@ def block_plan(texts: int) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - DIFFER) ** bits))
 
 
-def _rows(width: int, longs: int):
+def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingle hashes of each text, ascending within it; where each text's begin, one more at the end).
+
+    A text of fewer words than a shingle is one shingle.
+    """
+    words = Words(texts, lower=True)
+    n = np.diff(words.of)
+    count = np.where(n >= width, n - width + 1, (n > 0).astype(np.int64))
+    doc = np.repeat(np.arange(len(n)), count)
+    shingles = mixed(run_hash(words.hashes(), width), 22)[spans(words.of[:-1], count)]
+    flat, first = words.flat.tobytes(), np.cumsum(count) - count
+    for i in np.flatnonzero((n > 0) & (n < width)).tolist():
+        shingles[first[i]] = int.from_bytes(hashlib.sha256(flat[words.begin[words.of[i]] : words.begin[words.of[i + 1]]]).digest()[:8], "little")
+    order = np.lexsort((shingles, doc))
+    doc, shingles = doc[order], shingles[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (shingles[1:] != shingles[:-1])
+    doc, shingles = doc[new], shingles[new]
+    return shingles, np.searchsorted(doc, np.arange(len(n) + 1))
+
+
+def _texts(blobs: list[bytes]) -> pa.Array:
+    opened = zstandard.ZstdDecompressor()
+    return pa.array([opened.decompress(x).decode() for x in blobs], pa.large_string())
+
+
+def _all_shingles(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "blob", 1 << 19):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(_texts(piece.column(1).to_pylist()), width)[0].view(np.int64))], ["key"])
+
+    return run
+
+
+def _prefixes(width: int, similarity: float, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text", 1 << 20):
-            words = Words(plain(piece, "text"), lower=True)
-            h, n = words.hashes(), np.diff(words.of)
-            # a text of fewer words than a shingle is one shingle
-            two, five = (np.where(n >= k, n - k + 1, (n > 0).astype(np.int64)) for k in (2, width))
-            pairs = mixed(np.where(n >= 2, 1, 0).repeat(n).astype(np.uint64) * run_hash(h, 2) + np.where(n < 2, 1, 0).repeat(n).astype(np.uint64) * h, 21)
-            pairs = pairs[spans(words.of[:-1], two)]
-            prints = np.stack([majority_bits(mixed(pairs, 30 + i), two) for i in range(longs)], 1)
-            doc = np.repeat(np.arange(len(n)), five)
-            shingles = mixed(run_hash(h, width), 22)[spans(words.of[:-1], five)] >> np.uint64(32)
-            short = np.flatnonzero((n > 0) & (n < width))
-            flat, begin = words.flat.tobytes(), words.begin
-            of = words.of
-            first = np.cumsum(five) - five
-            for i in short.tolist():
-                shingles[first[i]] = int.from_bytes(hashlib.sha256(flat[begin[of[i]] : begin[of[i + 1]]]).digest()[:4], "little")
-            order = np.lexsort((shingles, doc))
-            doc, shingles = doc[order], shingles[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (shingles[1:] != shingles[:-1])
-            doc, shingles = doc[new], shingles[new].astype("<u4")
-            cuts = np.searchsorted(doc, np.arange(len(n) + 1)).tolist()
-            raw = shingles.tobytes()
+        for piece in pieces(batches, "blob", 1 << 19):
+            shingles, cuts = shingle_sets(_texts(piece.column(1).to_pylist()), width)
+            n = np.diff(cuts)
+            late = np.zeros(len(shingles), np.int64)
+            if len(common):
+                late[common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles] = 1
+            order = np.argsort(np.repeat(np.arange(len(n)), n) * 2 + late, kind="stable")
+            held = np.where(n > 0, n - np.ceil(similarity * n - _EPS).astype(np.int64) + 1, 0)
+            at = spans(cuts[:-1], held)
+            row = np.repeat(np.arange(len(n)), held)
             yield pa.RecordBatch.from_arrays(
                 [
-                    piece.column(0),
-                    piece.column(1),
-                    pa.array([hashlib.sha256(flat[a:b]).digest()[:16] for a, b in zip(begin[of[:-1]].tolist(), begin[of[1:]].tolist())], pa.binary()),
-                    pa.array([x.tobytes() for x in prints], pa.binary()),
-                    pa.array([raw[4 * a : 4 * min(b, a + SKETCH)] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
-                    pa.array(np.diff(cuts).astype(np.int32)),
+                    pa.array(shingles[order[at]].view(np.int64)),
+                    piece.column(0).take(pa.array(row)),
+                    pa.array(n[row].astype(np.int32)),
+                    pa.array((at - cuts[:-1][row]).astype(np.int32)),
                 ],
-                ["doc_id", "copy", "node", "fp", "sketch", "n"],
+                ["key", "copy", "n", "pos"],
             )
 
     return run
 
 
-def _keys(bits: int, blocks: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            single = np.unpackbits(fp, axis=1)[:, : bits * blocks].reshape(-1, blocks, bits).astype(np.uint64)
-            key = (single << np.arange(bits, dtype=np.uint64)).sum(2) | np.arange(blocks, dtype=np.uint64) << np.uint64(bits)
-            row = pa.array(np.repeat(np.arange(batch.num_rows), blocks))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), *(batch.column(i).take(row) for i in range(3))], ["key", "node", "fp", "n"])
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first, cut so that no value of it is divided."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy() for c in batch.columns]
+        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
+        if cut:
+            held.append([c[:cut] for c in now])
+        if held and (cut or held[-1][0][-1] != now[0][0]):
+            yield [np.concatenate(c) for c in zip(*held)]
+            held = []
+        held.append([c[cut:] for c in now])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each row's bucket begins, how many rows it has)."""
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    size = np.diff(edge)
+    return np.repeat(edge[:-1], size), np.repeat(size, size)
 
-    return run
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of buckets of more than one member, with the bucket's size and the row's rank in it."""
+    for columns in _buckets(batches):
+        start, size = _ranks(columns[0])
+        kept = size > 1
+        rank = (np.arange(len(start)) - start)[kept]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[kept]) for c in columns), pa.array(size[kept]), pa.array(rank)], ["key", "copy", "n", "pos", "size", "rank"])
 
-def _links(most: int, similarity: float):
-    def alike(size: np.ndarray, other: np.ndarray) -> np.ndarray:
-        return np.minimum(size, other) >= similarity * np.maximum(size, other)
-
-    def star(fp: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        a, b, rest = [], [], np.arange(len(fp))
-        while len(rest) > 1:
-            # the close ones of the first, and theirs
-            own, queue, rest = [rest[:1]], [rest[0]], rest[1:]
-            while queue and len(rest):
-                at = queue.pop()
-                close = (np.bitwise_count(fp[rest] ^ fp[at]).sum(1) <= most) & alike(size[rest], size[at])
-                own.append(rest[close])
-                queue.extend(rest[close].tolist())
-                rest = rest[~close]
-            members = np.concatenate(own)
-            if len(members) == 1:
-                continue
-            bits = np.unpackbits(fp[members].view(np.uint8), axis=1)
-            middle = np.packbits(bits.sum(0) * 2 > len(members)).view(np.uint64)
-            centre = members[np.argmin(np.bitwise_count(fp[members] ^ middle).sum(1))]
-            away = np.bitwise_count(fp[members] ^ fp[centre]).sum(1)
-            members = members[np.argsort(away, kind="stable")]
-            members = np.concatenate([[centre], members[members != centre]])
-            a += [np.full(len(members) - 1, centre), members[1:-1]]
-            b += [members[1:], members[2:]]
-        return a, b
-
-    def found(key: np.ndarray, fp: np.ndarray, size: np.ndarray, node: pa.Array) -> pa.RecordBatch:
-        edge = np.flatnonzero(np.diff(key, prepend=key[0] ^ 1, append=key[-1] ^ 1))
-        run = np.diff(edge)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        small = np.repeat(run <= SMALL_BUCKET, run)
-        for step in range(1, SMALL_BUCKET):
-            at = np.flatnonzero(small[:-step] & (key[:-step] == key[step:]))
-            at = at[(np.bitwise_count(fp[at] ^ fp[at + step]).sum(1) <= most) & alike(size[at], size[at + step])]
-            a.append(at)
-            b.append(at + step)
-        for i in np.flatnonzero(run > SMALL_BUCKET).tolist():
-            more = star(fp[edge[i] : edge[i + 1]], size[edge[i] : edge[i + 1]])
-            a += [x + edge[i] for x in more[0]]
-            b += [x + edge[i] for x in more[1]]
-        return pa.RecordBatch.from_arrays([node.take(pa.array(np.concatenate(x).astype(np.int64))) for x in (a, b)], ["a", "b"])
+
+def _pairs(low: int, high: int, similarity: float):
+    """Members of ranks low to high - 1 with all behind them that are not in their component and may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            key, fp, size = (np.concatenate([x[i] for x in held]) for i in range(3))
-            out = found(key, fp, size, pa.concat_arrays([x[3] for x in held]))
-            held.clear()
-            return out
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, node, size = batch.column(0).to_numpy(), batch.column(1), batch.column(3).to_numpy()
-            fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(len(key), -1)
-            cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on in the next batch
-            if cut:
-                held.append((key[:cut], fp[:cut], size[:cut], node[:cut]))
-                yield flush()
-            elif held and held[-1][0][-1] != key[0]:
-                yield flush()
-            held.append((key[cut:], fp[cut:], size[cut:], node[cut:]))
-        if held:
-            yield flush()
+        for key, copy, n, pos, root in _buckets(batches):
+            start, size = _ranks(key)
+            rank, n, left = np.arange(len(key)) - start, n.astype(np.int64), (n - pos).astype(np.int64)
+            found = [np.zeros((0, 2), np.int64)]
+            rest = np.arange(len(key))
+            for r in range(low, min(high, int(size.max()))):
+                rest = rest[rank[rest] > r]
+                with_ = start[rest] + r
+                # the rarest shingle that both hold is met in some bucket, and there nothing before it is shared
+                enough = np.minimum(left[rest], left[with_]) >= similarity / (1 + similarity) * (n[rest] + n[with_]) - _EPS
+                alike = np.minimum(n[rest], n[with_]) >= similarity * np.maximum(n[rest], n[with_]) - _EPS
+                good = enough & alike & (root[rest] != root[with_])
+                x, y = copy[rest[good]], copy[with_[good]]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                if len(found) > 64:
+                    found = [np.unique(np.concatenate(found), axis=0)]
+            both = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     return run
 
 
-def _verified(similarity: float):
+def _verified(width: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for piece in pieces(batches, "right", 1 << 19):
+            own = dict(zip(piece.column(0).to_pylist(), piece.column(2).to_pylist())) | dict(zip(piece.column(1).to_pylist(), piece.column(3).to_pylist()))
+            at = {x: i for i, x in enumerate(own)}
+            shingles, cuts = shingle_sets(_texts(list(own.values())), width)
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                joint = np.union1d(p, q)[:SKETCH] if SKETCH in (len(p), len(q)) else np.union1d(p, q)
-                both = np.intersect1d(p, q, assume_unique=True)
-                good.append(len(joint) > 0 and np.count_nonzero(both <= joint[-1]) >= similarity * len(joint))
+            for x, y in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+                p, q = shingles[cuts[at[x]] : cuts[at[x] + 1]], shingles[cuts[at[y]] : cuts[at[y] + 1]]
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(both >= similarity * (len(p) + len(q) - both) - _EPS)
             keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([piece.column(0).filter(keep), piece.column(1).filter(keep)], ["a", "b"])
 
     return run
 
 
+def _common(texts: DataFrame, width: int) -> np.ndarray:
+    """Shingles that many texts of a sample hold, ascending. They only set the order of shingles."""
+    part = max(1, texts.count() // SAMPLE)
+    counted = texts.where(F.pmod("copy", F.lit(part)) == 0).mapInArrow(_all_shingles(width), "key long").groupBy("key").agg(F.count("*").alias("n"))
+    rows = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(COMMON_MOST).toArrow()
+    return np.sort(rows.column("key").to_numpy().view(np.uint64))
+
+
+def similar_roots(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, root) of the components of all pairs at `similarity` or more; texts: copy (distinct) and blob (the compressed text)."""
+    partitions = shuffle_partitions(texts.sparkSession)
+    keys = texts.mapInArrow(_prefixes(width, similarity, _common(texts, width)), "key long, copy long, n int, pos int")
+    met = written(keys.repartition(partitions, "key").sortWithinPartitions("key", "copy").mapInArrow(_shared, "key long, copy long, n int, pos int, size long, rank long"), "met")
+    alive, links, compared, roots = met.withColumn("root", F.col("copy")), None, None, None
+    low, high = 0, 1
+    while True:
+        dealt = alive.repartition(partitions, "key").sortWithinPartitions("key", "rank").select("key", "copy", "n", "pos", "root")
+        pairs = dealt.mapInArrow(_pairs(low, high, similarity), "a long, b long").distinct()
+        if compared is not None:
+            pairs = pairs.join(compared.hint("merge"), ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        compared = pairs if compared is None else compared.unionByName(pairs)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("copy")).distinct()
+        own = texts.join(ends.hint("merge"), "copy", "left_semi")
+        both = pairs.join(own.toDF("a", "left"), "a").join(own.toDF("b", "right"), "b").select("a", "b", "left", "right")
+        more = written(both.mapInArrow(_verified(width, similarity), "a long, b long"), "links")
+        links = more if links is None else links.unionByName(more)
+        if roots is not None:
+            discard(roots)
+        roots = components(links)
+        left = met.where(F.col("size") > high).join(roots.hint("merge"), F.col("copy") == roots["node"], "left")
+        left = left.select("key", "copy", "n", "pos", "size", "rank", F.coalesce("root", "copy").alias("root"))
+        mixed_ = left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+        alive = written(left.join(mixed_.hint("merge"), "key", "left_semi"), "alive")
+        if alive.isEmpty():
+            return roots
+        low, high = high, high + 4 * max(1, high - low)
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row for each (doc_id, copy) that is not the one to keep of its group; copy is the xxhash64 of the text.
 
@@ -187,25 +222,19 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     Rows that agree in doc_id and text are one document. Null and empty texts have no shingles: they are copies of each other
     and of nothing else. An empty table gives an empty table.
     """
-    partitions = shuffle_partitions(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy"), "text")
-    bits, blocks = block_plan(base.count())
-    longs = -(-bits * blocks // 64)
-    rows = written(base.mapInArrow(_rows(width, longs), _ROWS), "prints")
-    classes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n")).where("n > 0")
-    met = classes.mapInArrow(_keys(bits, blocks), "key long, node binary, fp binary, n int").repartition(partitions, "key").sortWithinPartitions("key", "node")
-    most = math.floor(bits * blocks * DIFFER + 3 * math.sqrt(bits * blocks * DIFFER * (1 - DIFFER)))
-    links = met.mapInArrow(_links(most, similarity), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = written(links, "links")
-    sketches = rows.groupBy("node").agg(F.first("sketch").alias("sketch"))
-    both = links.join(sketches.toDF("a", "left"), "a").join(sketches.toDF("b", "right"), "b").select("a", "b", "left", "right")
-    roots = components(both.mapInArrow(_verified(similarity), "a binary, b binary"))
-    light = rows.select("doc_id", "copy", "node").distinct()
-    grouped = light.join(roots, light["node"] == roots["node"], "left").select("doc_id", "copy", F.coalesce("root", light["node"]).alias("root"))
+    texts = squeezed(base.select("copy", F.coalesce("text", F.lit("")).alias("blob")), "blob").groupBy("copy").agg(F.first("blob").alias("blob"))
+    texts = written(texts, "texts")
+    roots = similar_roots(texts, width, similarity)
+    # texts without words have no shingles; they are one group
+    blank = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
+    light = base.select("doc_id", "copy", blank.alias("blank")).distinct()
+    grouped = light.join(roots.hint("merge"), light["copy"] == roots["node"], "left")
+    grouped = grouped.select("doc_id", "copy", "blank", F.when(F.col("blank"), F.lit(0)).otherwise(F.coalesce("root", "copy")).alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
-    least = grouped.groupBy("root").agg(F.min(order).alias("kept"))
-    removed = written(grouped.join(least, "root").where(~(order.eqNullSafe(F.col("kept")))).select("doc_id", "copy"), "removed")
-    discard(rows, links, roots)
+    least = grouped.groupBy("blank", "root").agg(F.min(order).alias("kept"))
+    removed = written(grouped.join(least, ["blank", "root"]).where(~(order.eqNullSafe(F.col("kept")))).select("doc_id", "copy"), "removed")
+    discard(texts, roots)
     return removed
 
 
