@@ -421,3 +421,29 @@ def test_near_copies_by_one_contiguous_edit(spark):
         docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DDL)
         kept = sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs).collect())
         assert kept == sorted([*range(0, 2 * count, 2), *(2 * i + 1 for i in range(count) if near[i] < 0.8)])
+
+
+def _kept_by_brute_force(texts):
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if root[i] != root[j] and _jaccard(texts[i], texts[j]) >= 0.8:
+                root = [root[i] if r == root[j] else r for r in root]
+    return sorted(min(i for i in range(len(texts)) if root[i] == r) for r in set(root))
+
+
+def test_near_copies_in_families_of_one_template(spark):
+    rng = random.Random(18)
+    texts = []
+    for family in range(3):
+        words = [f"w{family}x{i}" for i in range(150)]
+        for _ in range(60):
+            own = list(words)
+            for at in rng.sample(range(0, 30), rng.randint(1, 4)):
+                own[5 * at] = f"v{rng.randrange(6)}"
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DDL)
+    want = _kept_by_brute_force(texts)
+    assert 3 < len(want) < 150
+    assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()) == want
