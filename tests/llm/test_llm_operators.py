@@ -447,3 +447,13 @@ def test_near_copies_in_families_of_one_template(spark):
     want = _kept_by_brute_force(texts)
     assert 3 < len(want) < 150
     assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()) == want
+
+
+def test_near_copies_of_long_texts_at_the_threshold(spark):
+    texts = []
+    for i in range(60):
+        words, share = [f"w{i}x{k}" for k in range(2004)], 0.79 if i % 2 else 0.802
+        texts += [" ".join(words), " ".join(words[: round(2000 * share) + 4])]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DDL)
+    kept = sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs).collect())
+    assert kept == sorted([*range(0, 120, 2), *range(3, 120, 4)])
