@@ -457,3 +457,12 @@ def test_near_copies_of_long_texts_at_the_threshold(spark):
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DDL)
     kept = sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs).collect())
     assert kept == sorted([*range(0, 120, 2), *range(3, 120, 4)])
+
+
+def test_syncmers_of_repeated_passages():
+    rng = random.Random(31)
+    for passage, times in ((500, 10), (1500, 20), (3000, 60)):
+        once = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(passage))
+        a, b = syncmers.fingerprint([once + once[: syncmers.K], once * times])
+        hashes = lambda f: [x[:8] for x in f.split("-")[1:]]
+        assert len(hashes(b)) == syncmers.SKETCH and len(set(hashes(a)) & set(hashes(b))) >= syncmers.SKETCH - 3

@@ -56,7 +56,9 @@ def _anchors(texts: list[str], k: int, s: int) -> list[str]:
     # long texts: most anchors cannot be among the least
     count = np.bincount(doc, minlength=len(texts))
     low = hashes < (2.0**32 * np.minimum(1, 4 * SKETCH / np.maximum(count, 1)))[doc]
-    enough = np.bincount(doc[low], minlength=len(texts)) >= 2 * SKETCH
+    # only if different ones fill the sketch; a repeated passage repeats its anchors
+    pairs = np.unique(doc[low].astype(np.uint64) << np.uint64(32) | hashes[low])
+    enough = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(texts)) >= SKETCH
     keep = low | ~enough[doc]
     at, doc, hashes = at[keep], doc[keep], hashes[keep]
     order = np.lexsort((at, hashes, doc))
