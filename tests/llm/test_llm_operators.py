@@ -466,3 +466,16 @@ def test_syncmers_of_repeated_passages():
         a, b = syncmers.fingerprint([once + once[: syncmers.K], once * times])
         hashes = lambda f: [x[:8] for x in f.split("-")[1:]]
         assert len(hashes(b)) == syncmers.SKETCH and len(set(hashes(a)) & set(hashes(b))) >= syncmers.SKETCH - 3
+
+
+def test_syncmers_across_the_short_edge(spark):
+    rng = random.Random(32)
+    draw = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    for longer in (97, 110, 127, 180):
+        text = draw(longer)
+        for shorter in (95, 80):
+            a, b = syncmers.fingerprint([text, text[:shorter]])
+            assert syncmers.likeness(a, b) == syncmers.likeness(b, a) > 0.75 * shorter / longer
+        assert syncmers.likeness(*syncmers.fingerprint([text, draw(90)])) < 0.1
+    found = syncmers.fingerprints_and_edits(spark.createDataFrame([(1, draw(100), None, None, None), (2, "", None, None, None)], DDL)).collect()
+    assert {r["doc_id"]: r["near_edited"] for r in found}[1] > 0.5

@@ -20,7 +20,7 @@ from tracewell.llm.store import shuffle_partitions
 from tracewell.llm.text import mixed, pieces, plain, run_hash, window_least
 
 K, S, SKETCH = 16, 5, 64
-#: Texts of fewer than SHORT characters have so few anchors of K that they use these.
+#: Texts of fewer than SHORT characters have so few anchors of K that they use these. Longer texts hold them as well, to be compared with short ones.
 SHORT, SHORT_K, SHORT_S = 96, 6, 2
 #: Anchors match if their places differ by at most SHIFT characters and 1 / SHIFT_PART of the longer text.
 SHIFT, SHIFT_PART = 32, 16
@@ -31,16 +31,18 @@ _DEALT = "region int, last boolean, doc_id long, copy long, blob binary"
 def fingerprint(texts: list[str]) -> list[str]:
     """Per text the number of characters and its anchors of least hash, each 8 hex digits and the place in hex. The empty text: ''.
 
+    The number of characters of a text of SHORT or more is followed by a slash and its anchors of SHORT_K, divided by points.
     A text without an anchor (shorter than its k, say) has one, the hash of its whole.
     """
-    out = [""] * len(texts)
-    for k, s, own in ((K, S, [i for i, x in enumerate(texts) if len(x) >= SHORT]), (SHORT_K, SHORT_S, [i for i, x in enumerate(texts) if len(x) < SHORT])):
-        for i, x in zip(own, _anchors([texts[i] for i in own], k, s)):
-            out[i] = x
+    long = [i for i, x in enumerate(texts) if len(x) >= SHORT]
+    out = ["-".join([f"{len(x):x}", *own]) if x else "" for x, own in zip(texts, _anchors(texts, SHORT_K, SHORT_S))]
+    for i, own in zip(long, _anchors([texts[i] for i in long], K, S)):
+        size, *small = out[i].split("-")
+        out[i] = "-".join([f"{size}/{'.'.join(small)}", *own])
     return out
 
 
-def _anchors(texts: list[str], k: int, s: int) -> list[str]:
+def _anchors(texts: list[str], k: int, s: int) -> list[list[str]]:
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
     n = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(n) - n
@@ -76,18 +78,24 @@ def _anchors(texts: list[str], k: int, s: int) -> list[str]:
         own = anchors[cuts[i] : cuts[i + 1]]
         if not own and text:
             own = [f"{int(hashlib.sha256(text.encode()).hexdigest()[:8], 16):08x}0"]
-        out.append("-".join([f"{len(text):x}", *own]) if text else "")
+        out.append(own)
     return out
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: the part of the joint anchors of least hash that both fingerprints hold at about the same place."""
+    """0 to 1: the part of the joint anchors of least hash that both fingerprints hold at about the same place.
+
+    A text under SHORT characters is compared by anchors of SHORT_K with every other.
+    """
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
     size_a, *own_a = a.split("-")
     size_b, *own_b = b.split("-")
+    (size_a, _, small_a), (size_b, _, small_b) = size_a.partition("/"), size_b.partition("/")
+    if bool(small_a) != bool(small_b):
+        own_a, own_b = small_a.split(".") if small_a else own_a, small_b.split(".") if small_b else own_b
     held_a, held_b = {x[:8]: int(x[8:], 16) for x in own_a}, {x[:8]: int(x[8:], 16) for x in own_b}
     # a full sketch says nothing of hashes above its last
     limit = min([own[-1][:8] for own in (own_a, own_b) if len(own) == SKETCH], default="g")
