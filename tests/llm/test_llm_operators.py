@@ -479,3 +479,13 @@ def test_syncmers_across_the_short_edge(spark):
         assert syncmers.likeness(*syncmers.fingerprint([text, draw(90)])) < 0.1
     found = syncmers.fingerprints_and_edits(spark.createDataFrame([(1, draw(100), None, None, None), (2, "", None, None, None)], DDL)).collect()
     assert {r["doc_id"]: r["near_edited"] for r in found}[1] > 0.5
+
+
+def test_character_model_keeps_every_trigram(spark):
+    rng = random.Random(33)
+    words = ["".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(20)) for _ in range(11_000)]
+    docs = spark.createDataFrame([(" ".join(words[i::20]),) for i in range(20)], "text string")
+    model = toxicity.character_model(docs)
+    assert model.all == sum(len(w) + 1 for w in words)
+    floor = -np.log(1e-7)
+    assert all(model.cost(ord(x), ord(y), ord(z)) < floor - 10 for w in words[:2000] for x, y, z in zip(w, w[1:], w[2:]))

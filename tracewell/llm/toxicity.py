@@ -29,8 +29,6 @@ from tracewell.llm.text import Words, bytes_of, mixed, pieces, plain, run_hash
 SAMPLE = 4000
 #: At most so many weighted features are kept (the most frequent in toxic texts first).
 FEATURES = 50_000
-#: At most so many character trigrams are kept (the most frequent first); others get the floor probability.
-TRIGRAMS = 200_000
 THRESHOLD = 0.3
 #: Letters that a sign may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "§": "s"}
@@ -77,22 +75,36 @@ def _points(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class CharacterModel:
-    """log P(c | a, b) by interpolated trigram, bigram and unigram counts."""
+    """log P(c | a, b) by interpolated trigram, bigram and unigram counts: sorted arrays of all that were counted, 16 bytes a trigram."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        tri, bi, uni, tri_all, bi_all = {}, {}, {}, {}, {}
-        for code, n in zip(codes.tolist(), counts.tolist()):
-            a, b, c = code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF
-            tri[a, b, c] = tri.get((a, b, c), 0) + n
-            bi[b, c] = bi.get((b, c), 0) + n
-            uni[c] = uni.get(c, 0) + n
-            tri_all[a, b] = tri_all.get((a, b), 0) + n
-            bi_all[b] = bi_all.get(b, 0) + n
-        self.tri, self.bi, self.uni, self.tri_all, self.bi_all, self.all = tri, bi, uni, tri_all, bi_all, max(1, sum(uni.values()))
+        self.tri, self.bi, self.uni = (_summed(codes & mask, counts) for mask in ((1 << 63) - 1, (1 << 42) - 1, (1 << 21) - 1))
+        self.all, self.costs = max(1, int(counts.sum())), {}
 
     def cost(self, a: int, b: int, c: int) -> float:
-        p = 0.7 * self.tri.get((a, b, c), 0) / max(1, self.tri_all.get((a, b), 0)) + 0.25 * self.bi.get((b, c), 0) / max(1, self.bi_all.get(b, 0)) + 0.05 * self.uni.get(c, 0) / self.all
-        return -float(np.log(p + 1e-7))
+        code = a << 42 | b << 21 | c
+        found = self.costs.get(code)
+        if found is None:
+            pair = code & (1 << 42) - 1
+            p = 0.7 * _between(self.tri, code, 1) / max(1, _between(self.tri, code - c, 1 << 21)) + 0.25 * _between(self.bi, pair, 1) / max(1, _between(self.bi, pair - c, 1 << 21)) + 0.05 * _between(self.uni, c, 1) / self.all
+            if len(self.costs) > 200_000:
+                self.costs.clear()
+            found = self.costs[code] = -float(np.log(p + 1e-7))
+        return found
+
+
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes, ascending; sums of the counts up to each, from 0)."""
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    last = np.flatnonzero(np.diff(codes, append=-1))
+    return codes[last], np.concatenate(([0], np.cumsum(counts[order])[last])).astype(np.int64)
+
+
+def _between(counted: tuple[np.ndarray, np.ndarray], code: int, width: int) -> int:
+    """The count of all codes from code to code + width - 1."""
+    low, high = np.searchsorted(counted[0], np.array([code, code + width]))
+    return int(counted[1][high] - counted[1][low])
 
 
 def decode(seen: str, model: CharacterModel) -> str:
@@ -279,9 +291,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def character_model(docs: DataFrame) -> CharacterModel:
-    """Counts over the words of every text."""
+    """Counts over the words of every text, all of them: they grow with the different letter triples of the texts."""
     counted = docs.select("text").where("text is not null").mapInArrow(_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    kept = counted.orderBy(F.desc("n"), "code").limit(TRIGRAMS).toArrow()
+    kept = counted.toArrow()
     return CharacterModel(kept.column("code").to_numpy(), kept.column("n").to_numpy())
 
 
