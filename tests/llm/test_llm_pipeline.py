@@ -81,3 +81,16 @@ def test_queries_have_their_columns(spark, folder):
         assert all(types[c] == k for c, k in kinds.items() if c in types), name
         if name != "op9_exact_top_k":
             assert found.select(F.count_distinct("doc_id")).first()[0] == spark.read.parquet(f"{folder}/documents.parquet").select(F.count_distinct("doc_id")).first()[0]
+
+
+def test_sharding_writes_the_texts(spark, folder, monkeypatch):
+    paths = []
+    write = queries.write_shards
+    monkeypatch.setattr(queries, "write_shards", lambda sharded, path: (paths.append(path), write(sharded, path)))
+    found = queries.op1_sharding(spark, folder).collect()
+    shards = spark.read.parquet(paths[0])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(shards.select("doc_id", "text").collect(), key=key) == sorted(docs.select("doc_id", "text").collect(), key=key)
+    want = shards.select("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), "shard", "slot").collect()
+    assert sorted(want, key=key) == sorted([(r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in found], key=key)

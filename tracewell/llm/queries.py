@@ -14,8 +14,9 @@ from tracewell.llm.packing import pack
 from tracewell.llm.revisits import resolve
 from tracewell.llm.sampling import fold
 from tracewell.llm.sentencepiece_bpe import encode_decode
-from tracewell.llm.sharding import shuffled
+from tracewell.llm.sharding import shuffled, write_shards
 from tracewell.llm.simhash import hex_fingerprint, simhash_components
+from tracewell.llm.store import new_path
 from tracewell.llm.syncmers import fingerprints_and_edits
 from tracewell.llm.substring_dedup import substring_dedup
 
@@ -66,10 +67,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    found = shuffled(rows, "size")
-    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """The texts go through both passes and into the shards; what is returned is read from those."""
+    text = F.coalesce("text", F.lit(""))
+    size = (F.octet_length(text) + 8).cast("long").alias("size")
+    sharded, path = shuffled(documents(spark, sf_dir).select("doc_id", "text", size), "size"), new_path(spark, "shards")
+    write_shards(sharded, path)
+    found = spark.read.schema(sharded.schema).parquet(path)
+    return found.select("doc_id", size, F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

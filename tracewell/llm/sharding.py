@@ -30,7 +30,7 @@ def shuffled(rows: DataFrame, size: str, shards: int = SHARDS, seed: int = 1) ->
     buckets = max(shuffle_partitions(rows.sparkSession), -(-(held["bytes"] or 0) // BUCKET_BYTES), -(-held["n"] // BUCKET_ROWS))
     place = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
     scattered = rows.select(F.pmod(place, F.lit(buckets)).alias("bucket"), place.alias("place"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
-    scattered = written(scattered, "scattered")
+    scattered = written(scattered, "scattered", "zstd")
     counts = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
     # one row a bucket
     before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -44,4 +44,4 @@ def shuffled(rows: DataFrame, size: str, shards: int = SHARDS, seed: int = 1) ->
 def write_shards(sharded: DataFrame, path: str) -> None:
     """One folder a shard, its rows in slot order."""
     own = sharded.repartition(shuffle_partitions(sharded.sparkSession), "shard").sortWithinPartitions("shard", "slot")
-    own.write.partitionBy("shard").parquet(path)
+    own.write.partitionBy("shard").parquet(path, compression="zstd")

@@ -42,17 +42,22 @@ def _forget_all() -> None:
             pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path that is not yet taken, in the folder of this application."""
+    folder = f"{shared_folder(spark)}/tracewell/{spark.sparkContext.applicationId}"
+    _folders[folder] = spark
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back.
 
     A lost executor then costs a reread, not a recomputation, and two readers see the same rows.
     The files live in one folder per application, removed when the driver ends.
     """
     spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/tracewell/{spark.sparkContext.applicationId}"
-    _folders[folder] = spark
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, name)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracewell_path = path
     return out
