@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key that holds over 1 / HOT_PART of all rows is hot, so there are fewer than HOT_PART hot keys. Their rows are dealt over SALTS parts.
+HOT_PART, SALTS = 256, 64
 
 _folders: dict[str, SparkSession] = {}
 
@@ -14,6 +18,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(rows: DataFrame, size: Column, share: int) -> int:
+    """Partitions of about `share` bytes by the sum of `size`; the session's number at least."""
+    total = rows.agg(F.sum(size).alias("n")).first()["n"] or 0
+    return max(shuffle_partitions(rows.sparkSession), -(-int(total) // share))
+
+
+def hot_values(counted: DataFrame, key: str, n: str) -> list:
+    """The keys (one a row of `counted`, with n rows each) that hold over 1 / HOT_PART of all rows: fewer than HOT_PART of them."""
+    total = counted.agg(F.sum(n).alias("n")).first()["n"] or 0
+    return [r[0] for r in counted.where(F.col(n) * HOT_PART > F.lit(total)).select(key).collect()]
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, hot: list, by: str) -> DataFrame:
+    """many join few (one row a key) on key, neither broadcast; rows of hot keys are dealt over SALTS parts by a hash of `by`, with a copy of few's row in each."""
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    salted = many.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(few.withColumn("__salt", F.explode(salts)).hint("merge"), [key, "__salt"]).drop("__salt")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where that is unset (tests, local mode), one beside the warehouse."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
