@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from tracewell.llm.text import bytes_of, once, pieces, plain
 
 DIMENSIONS = 4096
 CLUSTERS = 4
-#: Training rows of each language that are clustered.
+#: Different training texts of each language that are clustered.
 SAMPLE = 500
 #: Lower edges of the length classes (letters and the spaces between words).
 LENGTHS = (0, 8, 16, 32, 64, 128, 256, 512, 1024)
@@ -89,8 +90,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches, "text", 1 << 20, ROWS):
         counts, length = grams(plain(piece, "text"))
-        packed = np.minimum(counts, 255).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([piece.column(piece.schema.get_field_index("lang")), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(length)], ["lang", "counts", "length"])
+        press = zstandard.ZstdCompressor(level=3)
+        packed = pa.array([press.compress(x.tobytes()) for x in counts.astype(np.uint32)], pa.binary())
+        yield pa.RecordBatch.from_arrays([piece.column(piece.schema.get_field_index("lang")), packed, pa.array(length)], ["lang", "counts", "length"])
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -127,7 +129,7 @@ class Model:
 
 
 def fit(rows: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Model:
-    """Learn from rows with lang and text; rows null in either are passed over. `sample` bounds the clustered rows of a language."""
+    """Learn from rows with lang and text; rows null in either are passed over. `sample` bounds the clustered texts of a language; over sampling.LABELS languages are an error."""
     rows = rows.select("lang", "text").where("lang is not null and text is not null")
     counted = rows.select("text").mapInArrow(_frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
     found = np.zeros(DIMENSIONS + 1)
@@ -140,7 +142,8 @@ def fit(rows: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mode
         by.setdefault(r["lang"], []).append(i)
     if not by:
         return Model(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(len(LENGTHS)))
-    x = vectors(np.stack([np.frombuffer(r["counts"], np.uint8) for r in drawn]).astype(np.float32), idf)
+    opened = zstandard.ZstdDecompressor()
+    x = vectors(np.stack([np.frombuffer(opened.decompress(r["counts"]), np.uint32) for r in drawn]).astype(np.float32), idf)
     centroids, names, near = [], [], np.zeros(len(x))
     for lang in sorted(by):
         own = cluster(x[by[lang]], clusters)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UNIT = float(2**53)
+#: Different labels that a classifier may have.
+LABELS = 10_000
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -16,11 +18,14 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def bounded(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """About `most` rows of each label (all, where there are fewer), chosen by a hash of the text, so equal texts stay together.
+    """About `most` different texts of each label (all, where there are fewer), chosen by a hash of the text; rows: label and text.
 
-    Labels are counted first; there are few. The hash decides, so a rerun takes the same rows and no row is ranked.
+    Labels are counted first; over LABELS of them are an error, not a sample. The hash decides, so a rerun takes the same texts and no row is ranked;
+    repeated texts count once, so a group of copies of any size is one row of the sample.
     """
-    counts = {r[label]: r["count"] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().limit(10_000).collect()}
+    counts = {r[label]: r["count"] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().limit(LABELS + 1).collect()}
+    if len(counts) > LABELS:
+        raise ValueError(f"over {LABELS} different labels in {label}")
     unit = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "text"), 11) / F.lit(_UNIT)
     kept = [(F.col(label) == F.lit(k)) & (unit < F.lit(min(1.0, most / n))) for k, n in counts.items()]
-    return rows.where(reduce(lambda a, b: a | b, kept, F.lit(False)))
+    return rows.select(label, "text").where(reduce(lambda a, b: a | b, kept, F.lit(False))).distinct()
