@@ -25,10 +25,8 @@ from tracewell.llm.sampling import bounded
 from tracewell.llm.store import discard, written
 from tracewell.llm.text import Words, bytes_of, mixed, pieces, plain, run_hash
 
-#: Labelled rows of each label that the classifier is fitted on.
+#: Different labelled texts of each label that the classifier is fitted on. They bound its features as well.
 SAMPLE = 4000
-#: At most so many weighted features are kept (the most frequent in toxic texts first).
-FEATURES = 50_000
 THRESHOLD = 0.3
 #: Letters that a sign may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "§": "s"}
@@ -45,7 +43,7 @@ LEAST_WEIGHT = 2.0
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(batches, "text", 8 << 20):
+    for piece in pieces(batches, "text"):
         words = Words(plain(piece, "text"))
         if not len(words):
             continue
@@ -298,9 +296,9 @@ def character_model(docs: DataFrame) -> CharacterModel:
 
 
 def fit(labelled: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """labelled: text and toxic (0 or 1; rows null in either are passed over); docs: all texts, for the character model."""
+    """labelled: text and toxic (0 or 1; rows null in either are passed over), of which `sample` different texts a label are learned from; docs: all texts, for the character model."""
     character = character_model(docs)
-    rows = bounded(labelled.select("text", F.col("toxic").cast("int").alias("toxic")).where("text is not null and toxic in (0, 1)"), "toxic", sample)
+    rows = bounded(labelled.select("text", F.col("toxic").cast("int").alias("toxic")).where("text is not null and toxic in (0, 1)"), "toxic", sample).select("text", "toxic")
     rows = written(rows.mapInArrow(_alike, "text string, toxic int, alike long"), "labelled")
     groups = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count_distinct("alike").alias("n")).collect()}
     totals = groups.get(1, 0), groups.get(0, 0)
@@ -309,7 +307,7 @@ def fit(labelled: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> Model:
         F.count_distinct(F.when(F.col("toxic") == 1, F.col("alike"))).alias("bad"), F.count_distinct(F.when(F.col("toxic") == 0, F.col("alike"))).alias("good")
     )
     odds = (F.col("bad") + 0.5) * (totals[1] + 1) / (F.col("good") + 0.5) / (totals[0] + 1)
-    kept = seen.where((F.col("bad") >= least) & (F.log(odds) > LEAST_WEIGHT / 2)).orderBy(F.desc("bad"), "feature").limit(FEATURES).toArrow().sort_by("feature")
+    kept = seen.where((F.col("bad") >= least) & (F.log(odds) > LEAST_WEIGHT / 2)).toArrow()
     features = kept.column("feature").to_numpy().view(np.uint64)
     order = np.argsort(features)
     model = Model(character, features[order], kept.column("bad").to_numpy()[order], kept.column("good").to_numpy()[order], totals, least)
@@ -318,7 +316,10 @@ def fit(labelled: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> Model:
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", 2 << 20):
             label = piece.column(1).to_numpy()
-            found = np.where(label[:, None] == 1, model.evidence(plain(piece, "text"), left_out[1]), model.evidence(plain(piece, "text"), left_out[0]))
+            texts, found = plain(piece, "text"), np.zeros((piece.num_rows, 4))
+            for own in (0, 1):
+                mine = np.flatnonzero(label == own)
+                found[mine] = model.evidence(texts.take(pa.array(mine)), left_out[own])
             yield pa.RecordBatch.from_arrays([piece.column(1), *(pa.array(found[:, k]) for k in range(4))], ["toxic", "a", "b", "c", "d"])
 
     rest = rows.select("text", "toxic").mapInArrow(evidence, "toxic int, a double, b double, c double, d double").collect()
@@ -340,7 +341,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     text = f"c{docs.columns.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, text):
+        for piece in pieces(batches, text, 2 << 20):
             found = model.score(plain(piece, text))
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], [*columns, "score", "predicted"])
 
