@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.store import discard, written
+from tracewell.llm.store import discard, hot_values, spread_join, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,8 +15,8 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge (a, b) to another; root is the least node reachable.
 
-    Each round links every node to the least of its neighbours, by an aggregate with map-side combine and a join that AQE can
-    split at hot nodes, so a star of any size is no group in one task. Rounds grow with the logarithm of the longest path.
+    Each round links every node to the least of its neighbours, by an aggregate with map-side combine and a join that deals the edges of
+    hot nodes over many tasks, so a star of any size is no group in one task. Rounds grow with the logarithm of the longest path.
     Edges are written to the shared folder between rounds. Null ends and loops are dropped; repeated edges count once.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -24,10 +24,13 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        hot = hot_values(least, "a", "n")
+        least = least.select("a", F.least("a", "m").alias("m"))
+        large = spread_join(both, least, "a", hot, "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # a node has here as many edges as it has smaller neighbours' least ones
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = spread_join(large, least, "a", hot, "b")
         small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         older, edges = edges, written(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
         discard(older)

@@ -1,12 +1,13 @@
 """SimHash near-dedup by pigeonhole blocks.
 
 A fingerprint bit is 1 if it is set in over half the hashes of a text's word shingles. Fingerprints of 64 bits that differ in 3
-bits at most agree in 2 or more of 5 blocks, so joining on each pair of blocks (10 tables, keys of 25 or 26 bits) finds them all;
-their distance is then verified.
+bits at most agree in n - 3 or more of n blocks, so joining on each choice of n - 3 blocks finds them all; their distance is then verified. More
+classes take more blocks, and so longer keys: 5 (10 tables, keys of 25 or 26 bits), 6 (20, 31 to 33) or 7 (35, 36 or 37).
 
 Rows with one fingerprint are one class from the start, so exact copies make no pairs. A block's bucket emits links that connect its
 close classes (at most one fewer than its members), never all pairs. A bucket over `HOT_BUCKET` classes is split
-by four further blocks of the bits that its members do not share: of those 38 bits 3 differ, so one of the four agrees.
+by four further blocks of the bits that its members do not share: of those at most 3 differ, so one of the four agrees. That is done up to three times; then
+at most 16 bits are left.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
-from tracewell.llm.store import shuffle_partitions, written
+from tracewell.llm.store import hot_values, shuffle_partitions, spread_join, written
 from tracewell.llm.text import Words, mixed, pieces, plain, spans
 
-#: (lowest bit, bits) of the pigeonhole blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-MAX_DISTANCE = 3
+#: (classes, pigeonhole blocks for up to as many): a bucket then holds a few members on average.
+BLOCKS = ((2**28, 5), (2**34, 6), (2**63, 7))
+MAX_DISTANCE, SPLITS = 3, 3
 HOT_BUCKET = 20_000
 #: Buckets up to this size are compared pair by pair, larger ones by search from each newly found member.
 SMALL_BUCKET = 6
@@ -129,30 +130,42 @@ def _link(most: int):
     return run
 
 
-def _block(low: int, bits: int) -> F.Column:
-    return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1))
+def block_masks(classes: int) -> list[int]:
+    """The bits of each choice of blocks on which two fingerprints at most MAX_DISTANCE bits apart may agree."""
+    n = next(blocks for most, blocks in BLOCKS if classes <= most)
+    edges = [64 * i // n for i in range(n + 1)]
+    blocks = [sum(1 << b for b in range(low, high)) for low, high in zip(edges, edges[1:])]
+    return [sum(some) for some in combinations(blocks, n - MAX_DISTANCE)]
+
+
+def _further(mask: int) -> list[int]:
+    """The mask with each of four parts of the bits that it lacks."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    return [mask | sum(1 << b for b in rest[j::4]) for j in range(MAX_DISTANCE + 1)]
+
+
+def _keyed(rows: DataFrame, masks: list[int]) -> DataFrame:
+    """rows (fp, plan) with the key of the bits in masks[plan]."""
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
+    return rows.withColumn("key", F.xxhash64("plan", F.col("fp").bitwiseAND(F.element_at(signed, F.col("plan") + 1))))
 
 
 def close_links(classes: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(a, b) over distinct fp values: links whose components are those of all pairs at most 3 bits apart."""
-    partitions = shuffle_partitions(classes.sparkSession)
-    keys = []
-    for i, (x, y) in enumerate(combinations(range(len(BLOCKS)), 2)):
-        left, right = BLOCKS[x], BLOCKS[y]
-        keys.append(F.lit(i << 32).bitwiseOR(F.shiftleft(_block(*left), right[1])).bitwiseOR(_block(*right)))
-    dealt = classes.select("fp", F.explode(F.array(*keys)).alias("key"))
-    hot = written(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_bucket).select("key"), "hot")
-    if not hot.isEmpty():
-        # the bits outside the two blocks of a key's table, in four parts
-        parts = []
-        for x, y in combinations(range(len(BLOCKS)), 2):
-            bits = [low + k for i, (low, width) in enumerate(BLOCKS) if i not in (x, y) for k in range(width)]
-            parts.append(F.array(*[F.lit(sum((1 << b) - (1 << 64 if b == 63 else 0) for b in bits[j::4])) for j in range(4)]))
-        masks = F.element_at(F.array(*parts), (F.shiftright("key", 32) + 1).cast("int"))
-        split = dealt.join(hot, "key", "left_semi").select("fp", "key", F.posexplode(masks).alias("part", "mask"))
-        split = split.select("fp", F.xxhash64("key", "part", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-        dealt = dealt.join(hot, "key", "left_anti").select("fp", "key").unionByName(split)
-    met = dealt.select("key", "fp").repartition(partitions, "key").sortWithinPartitions("key", "fp")
+    partitions, masks = shuffle_partitions(classes.sparkSession), block_masks(classes.count())
+    rows = _keyed(classes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("plan")), masks)
+    dealt = None
+    for _ in range(SPLITS):
+        hot = written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_bucket).select("key"), "hot")
+        if hot.isEmpty():
+            break
+        cold = rows.join(hot, "key", "left_anti").select("fp", "key")
+        dealt = cold if dealt is None else dealt.unionByName(cold)
+        masks = [m for mask in masks for m in _further(mask)]
+        split = rows.join(hot, "key", "left_semi").select("fp", F.explode(F.array(*[F.col("plan") * (MAX_DISTANCE + 1) + j for j in range(MAX_DISTANCE + 1)])).alias("plan"))
+        rows = _keyed(split, masks)
+    rows = rows.select("fp", "key")
+    met = (rows if dealt is None else dealt.unionByName(rows)).select("key", "fp").repartition(partitions, "key").sortWithinPartitions("key", "fp")
     return met.mapInArrow(_link(MAX_DISTANCE), "a long, b long")
 
 
@@ -163,12 +176,14 @@ def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
     component has no other. Repeated rows stay, each with its result. An empty table gives an empty table.
     """
     rows = written(fingerprints(docs, width), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     roots = components(close_links(classes.select("fp")))
-    grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    grouped = classes.join(roots.hint("merge"), classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
+    named = spread_join(grouped.select("fp", "root"), least, "root", hot_values(least, "root", "classes"), "fp").select("fp", "component_id")
+    # null ids would share a salt, so rows are told apart by their place in the written table
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    return spread_join(placed, named, "fp", hot_values(classes, "fp", "n"), "place").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: F.Column) -> F.Column:
