@@ -6,7 +6,7 @@ import re
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use themselves.
-CLASHING = ["score", "predicted", "rejected", "copy", "n", "fp", "bucket", "shard", "slot", "piece", "c0", "found", "n_words", "kept_text", "lang_pred", "row", "key", "node", "rank"]
+CLASHING = ["score", "predicted", "rejected", "copy", "n", "fp", "bucket", "shard", "slot", "piece", "c0", "found", "n_words", "kept_text", "lang_pred", "row", "key", "node", "rank", "__doc", "__copy", "__salt", "root", "blob", "doc", "none"]
 
 
 def prose(rng, n, words=None):

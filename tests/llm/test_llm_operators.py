@@ -285,6 +285,26 @@ def test_exact_search(spark):
     assert exact_search.top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+@pytest.mark.parametrize("size", [1e7, 1e12, 1e30, 1e160])
+def test_exact_search_of_large_components(spark, size):
+    rng = random.Random(int(size) % 97)
+    base = [[rng.uniform(-size, size) for _ in range(3)] for _ in range(60)]
+    base += [[x + 1 / 256 for x in base[i]] for i in range(20)] + [[3e5, 1.0, 0.0], [3e7, 1.0, 0.0], [float("inf"), 0.0, 0.0], [1e307, 0.0, 0.0]]
+    rows = [(i, v) for i, v in enumerate(base)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [tuple(r) for r in exact_search.top_k(docs, F.col("vec_id") % 5 == 0).collect()]
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if np.isfinite(256 * np.array(v)).all()}
+    held = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    want = []
+    for q in (i for i in whole if i % 5 == 0):
+        best = sorted((-sum(x * y for x, y in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+        want += [(q, rank, i, held(-score)) for rank, (score, i) in enumerate(best, 1)]
+    if size < 1e15:
+        assert sorted(found) == sorted(want)
+    else:  # scores past 38 digits tie
+        assert sorted((q, r, s) for q, r, _, s in found) == sorted((q, r, s) for q, r, _, s in want)
+
+
 def test_exact_search_reads_few_vectors():
     rng = np.random.default_rng(1)
     x = rng.integers(-500, 500, (2000, 16))
@@ -390,12 +410,6 @@ def test_near_copies(spark):
     assert near_copies.drop_near_copies(docs.limit(0)).collect() == []
 
 
-def test_block_plan_keeps_recall():
-    for texts in (10, 10**6, 10**9, 10**11):
-        bits, blocks = near_copies.block_plan(texts)
-        assert 1 - (1 - (1 - near_copies.DIFFER) ** bits) ** blocks >= near_copies.RECALL
-
-
 def _shingles(text):
     words = text.lower().split()
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
@@ -432,7 +446,9 @@ def _kept_by_brute_force(texts):
     return sorted(min(i for i in range(len(texts)) if root[i] == r) for r in set(root))
 
 
-def test_near_copies_in_families_of_one_template(spark):
+@pytest.mark.parametrize("chunk", [near_copies.CHUNK, 7])
+def test_near_copies_in_families_of_one_template(spark, monkeypatch, chunk):
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)
     rng = random.Random(18)
     texts = []
     for family in range(3):
@@ -449,6 +465,31 @@ def test_near_copies_in_families_of_one_template(spark):
     assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()) == want
 
 
+def test_near_copies_in_chains_of_edits(spark):
+    rng = random.Random(19)
+    texts = []
+    for chain in range(12):
+        words = [f"w{chain}x{i}" for i in range(120)]
+        for step in range(30):
+            words = list(words)
+            for at in rng.sample(range(120), rng.randint(1, 3)):
+                words[at] = f"c{chain}v{step}n{at}"
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DDL)
+    want = _kept_by_brute_force(texts)
+    assert len(want) < 200
+    assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()) == want
+
+
+def test_near_copies_of_hot_texts_and_null_ids(spark):
+    rows = [(i % 5 if i < 50 else i, "one two three four five six seven eight nine", None, None, None) for i in range(100)]
+    rows += [(None, "a b c d e f", "x", None, None), (None, "A b c d e f", "y", None, None), (-(2**63), "a  b c d e f", "z", None, None)]
+    docs = spark.createDataFrame(rows, DDL).withColumns({"__doc": F.lit("x"), "__copy": F.lit("x"), "__salt": F.lit("x"), "blob": F.lit("x")})
+    found = near_copies.drop_near_copies(docs).collect()
+    assert sorted((r["doc_id"], r["__doc"], r["__copy"], r["__salt"], r["blob"]) for r in found) == [(-(2**63), "x", "x", "x", "x"), (0, "x", "x", "x", "x")]
+
+
 def test_near_copies_of_long_texts_at_the_threshold(spark):
     texts = []
     for i in range(60):

@@ -1,11 +1,13 @@
-"""Groups of near copies at a Jaccard similarity of word shingles, found exactly by prefixes of shingle sets.
+"""Groups of near copies at a Jaccard similarity of word shingles: SimHash blocks first, exact prefixes of shingle sets for what those cannot promise.
 
-1. Equal texts are one class.
+1. Equal texts are one class. Each class has its SimHash fingerprint of operator 10; classes of one fingerprint, and of fingerprints that its pigeonhole blocks
+   link (3 bits at most), are candidates and compared at once. Near copies of 0.8 differ in up to 16 bits, so these links are only the closest.
 2. In one order of all shingles, two sets of the given similarity share a shingle within their first n - ceil(similarity * n) + 1. Classes meet on each of
    those, so no pair of the given similarity is missed, whatever its edits and however many documents there are. Shingles that a sample shows to be common
    come last in the order; that saves work and decides nothing.
 3. In a bucket, the first member is compared with all others, then the next four, sixteen and so on, each with all behind it, until all members
    are in one component or every pair has been compared. Pairs of one component are passed over. Large groups of close classes are thus done in a round or two.
+   A bucket over CHUNK members is dealt in chunks, and the members whose turn it is are sent to each of them, so no task holds a hot bucket.
 4. Pairs are compared by their whole shingle sets, built anew from the two texts.
 5. Components of the links are the groups.
 """
@@ -13,7 +15,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,23 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
-from tracewell.llm.store import discard, shuffle_partitions, written
+from tracewell.llm.simhash import close_links, majority_bits, shingle_hashes
+from tracewell.llm.store import discard, hot_values, partitions_for, spread_join, written
 from tracewell.llm.text import Words, mixed, pieces, plain, run_hash, spans, squeezed, unsqueezed
 
-#: Of block_plan(), which near_copies() does not use any more: part of the bits in which two texts of Jaccard 0.8 differ if their edits are scattered, and the recall.
-DIFFER = 0.097
-RECALL = 0.98
 #: Shingles are ordered by a sample of about so many texts; those in COMMON of them are common, the first COMMON_MOST count.
 SAMPLE, COMMON, COMMON_MOST = 10_000, 3, 100_000
+#: Members of a bucket that one task holds at a time.
+CHUNK = 50_000
+#: Words of a fingerprint's shingles.
+FINGERPRINT_WORDS = 3
 _EPS = 1e-9
 
 
-def block_plan(texts: int) -> tuple[int, int]:
-    """(bits of a block, blocks): more texts need longer blocks to stay selective, and more of them for the same recall."""
-    bits = min(32, max(16, math.ceil(math.log2(max(2, texts))) - 3))
-    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - DIFFER) ** bits))
-
-
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes of each text, ascending within it; where each text's begin, one more at the end).
 
@@ -90,10 +87,11 @@ def _prefixes(width: int, similarity: float, common: np.ndarray):
                 [
                     pa.array(shingles[order[at]].view(np.int64)),
                     piece.column(0).take(pa.array(row)),
+                    piece.column(2).take(pa.array(row)),
                     pa.array(n[row].astype(np.int32)),
                     pa.array((at - cuts[:-1][row]).astype(np.int32)),
                 ],
-                ["key", "copy", "n", "pos"],
+                ["key", "copy", "root", "n", "pos"],
             )
 
     return run
@@ -125,25 +123,63 @@ def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of buckets of more than one member, with the bucket's size and the row's rank in it."""
-    for columns in _buckets(batches):
-        start, size = _ranks(columns[0])
-        kept = size > 1
-        rank = (np.arange(len(start)) - start)[kept]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c[kept]) for c in columns), pa.array(size[kept]), pa.array(rank)], ["key", "copy", "n", "pos", "size", "rank"])
+    """Rows of buckets of more than one component, each with its rank; rows come sorted by bucket.
+
+    Of a bucket that goes on over many batches only the next rank is kept, once it has over CHUNK rows or two components.
+    """
+    key, rank, held = None, 0, []
+
+    def out(columns: list[np.ndarray], ranks: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(ranks)], ["key", "copy", "root", "n", "pos", "rank"])
 
+    def several(columns: list[np.ndarray]) -> bool:
+        return len(columns[0]) > CHUNK or bool((columns[2] != columns[2][0]).any())
 
-def _pairs(low: int, high: int, similarity: float):
-    """Members of ranks low to high - 1 with all behind them that are not in their component and may be similar."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy() for c in batch.columns]
+        start, size = _ranks(now[0])
+        first = int(size[0]) if now[0][0] == key else 0
+        if first:  # the bucket of the batch before goes on
+            mine = [c[:first] for c in now]
+            if held:
+                mine = [np.concatenate(c) for c in zip(held, mine)]
+            if rank or several(mine):
+                yield out(mine, np.arange(rank, rank + len(mine[0])))
+                rank, held = rank + len(mine[0]), []
+            else:
+                held = mine
+        if first == len(now[0]):
+            continue
+        last = int(start[-1])
+        if last > first:
+            root = now[2][first:last]
+            edge = np.flatnonzero(np.diff(start[first:last], prepend=-1))
+            mixed_ = np.minimum.reduceat(root, edge) != np.maximum.reduceat(root, edge)
+            kept = np.flatnonzero(np.repeat(mixed_, size[first:last][edge])) + first
+            if len(kept):
+                yield out([c[kept] for c in now], kept - start[kept])
+        key, rank, held = now[0][-1], 0, [c[last:] for c in now]
+        if several(held):
+            yield out(held, np.arange(len(held[0])))
+            rank, held = len(held[0]), []
+
+
+def _pairs(high: int, similarity: float):
+    """Members of ranks below high, which come first, with all behind them that are not in their component and may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, copy, n, pos, root in _buckets(batches):
-            start, size = _ranks(key)
-            rank, n, left = np.arange(len(key)) - start, n.astype(np.int64), (n - pos).astype(np.int64)
+        for key, chunk, rank, copy, root, n, pos in _buckets(batches):
+            edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]), [True])))
+            size = np.diff(edge)
+            start = np.repeat(edge[:-1], size)
+            place, turns = np.arange(len(key)) - start, np.repeat(np.add.reduceat((rank < high).astype(np.int64), edge[:-1]), size)
+            n, left = n.astype(np.int64), (n - pos).astype(np.int64)
             found = [np.zeros((0, 2), np.int64)]
             rest = np.arange(len(key))
-            for r in range(low, min(high, int(size.max()))):
-                rest = rest[rank[rest] > r]
+            for r in range(int(turns.max())):
+                rest = rest[(place[rest] > r) & (turns[rest] > r)]
                 with_ = start[rest] + r
                 # the rarest shingle that both hold is met in some bucket, and there nothing before it is shared
                 enough = np.minimum(left[rest], left[with_]) >= similarity / (1 + similarity) * (n[rest] + n[with_]) - _EPS
@@ -159,6 +195,17 @@ def _pairs(low: int, high: int, similarity: float):
     return run
 
 
+def _dealt(alive: DataFrame, low: int, high: int, partitions: int) -> DataFrame:
+    """Rows of one chunk of a bucket side by side, the members whose turn it is first; those are in every chunk."""
+    columns = ["key", "chunk", "rank", "copy", "root", "n", "pos"]
+    large = alive.groupBy("key").agg(F.max("rank").alias("last")).where(F.col("last") >= CHUNK)
+    turn = alive.where((F.col("rank") >= low) & (F.col("rank") < high)).join(large, "key", "left")
+    turn = turn.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor(F.coalesce("last", F.lit(0)) / CHUNK).cast("int"))))
+    rest = alive.where(F.col("rank") >= high).withColumn("chunk", F.floor(F.col("rank") / CHUNK).cast("int"))
+    both = turn.select(columns).unionByName(rest.select(columns))
+    return both.repartition(partitions, "key", "chunk").sortWithinPartitions("key", "chunk", "rank")
+
+
 def _verified(width: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "right", 1 << 19):
@@ -168,7 +215,7 @@ def _verified(width: int, similarity: float):
             good = []
             for x, y in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                 p, q = shingles[cuts[at[x]] : cuts[at[x] + 1]], shingles[cuts[at[y]] : cuts[at[y] + 1]]
-                both = len(np.intersect1d(p, q, assume_unique=True))
+                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(q) else 0
                 good.append(both >= similarity * (len(p) + len(q) - both) - _EPS)
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([piece.column(0).filter(keep), piece.column(1).filter(keep)], ["a", "b"])
@@ -179,70 +226,101 @@ def _verified(width: int, similarity: float):
 def _common(texts: DataFrame, width: int) -> np.ndarray:
     """Shingles that many texts of a sample hold, ascending. They only set the order of shingles."""
     part = max(1, texts.count() // SAMPLE)
-    counted = texts.where(F.pmod("copy", F.lit(part)) == 0).mapInArrow(_all_shingles(width), "key long").groupBy("key").agg(F.count("*").alias("n"))
+    counted = texts.where(F.pmod("copy", F.lit(part)) == 0).select("copy", "blob").mapInArrow(_all_shingles(width), "key long").groupBy("key").agg(F.count("*").alias("n"))
     rows = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(COMMON_MOST).toArrow()
     return np.sort(rows.column("key").to_numpy().view(np.uint64))
 
 
+def _links(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of `similarity` or more."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("copy")).distinct()
+    own = texts.select("copy", "blob").join(ends.hint("merge"), "copy", "left_semi")
+    both = pairs.join(own.toDF("a", "left"), "a").join(own.toDF("b", "right"), "b").select("a", "b", "left", "right")
+    return written(both.mapInArrow(_verified(width, similarity), "a long, b long"), "links")
+
+
+def fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b), a < b: texts of one fingerprint with the first of them, and the firsts of fingerprints that pigeonhole blocks link."""
+    classes = written(texts.groupBy("fp").agg(F.min("copy").alias("first"), F.count("*").alias("n")), "classes")
+    hot = hot_values(classes, "fp", "n")
+    same = spread_join(texts.select("fp", "copy"), classes.where("n > 1").select("fp", "first"), "fp", hot, "copy").where("copy <> first").select(F.col("first").alias("a"), F.col("copy").alias("b"))
+    firsts = classes.select("fp", "first")
+    near = close_links(classes.select("fp")).toDF("x", "y").distinct()
+    near = near.join(firsts.toDF("x", "a").hint("merge"), "x").join(firsts.toDF("y", "b").hint("merge"), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = written(same.unionByName(near), "pairs")
+    discard(classes)
+    return found
+
+
 def similar_roots(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(node, root) of the components of all pairs at `similarity` or more; texts: copy (distinct) and blob (the compressed text)."""
-    partitions = shuffle_partitions(texts.sparkSession)
-    keys = texts.mapInArrow(_prefixes(width, similarity, _common(texts, width)), "key long, copy long, n int, pos int")
-    met = written(keys.repartition(partitions, "key").sortWithinPartitions("key", "copy").mapInArrow(_shared, "key long, copy long, n int, pos int, size long, rank long"), "met")
-    alive, links, compared, roots = met.withColumn("root", F.col("copy")), None, None, None
+    """(node, root) of the components of all pairs at `similarity` or more; texts: copy (distinct), fp (its fingerprint) and blob (the compressed text)."""
+    partitions = partitions_for(texts, F.length("blob"), 8 << 20)
+    compared = fingerprint_pairs(texts)
+    links = _links(texts, compared, width, similarity)
+    roots = components(links)
+    rooted = texts.select("copy", "blob").join(roots.hint("merge"), F.col("copy") == roots["node"], "left").select("copy", "blob", F.coalesce("root", "copy").alias("root"))
+    keys = rooted.mapInArrow(_prefixes(width, similarity, _common(texts, width)), "key long, copy long, root long, n int, pos int")
+    met = keys.repartition(partitions, "key").sortWithinPartitions("key", "copy").mapInArrow(_shared, "key long, copy long, root long, n int, pos int, rank long")
+    met = alive = written(met, "met")
     low, high = 0, 1
-    while True:
-        dealt = alive.repartition(partitions, "key").sortWithinPartitions("key", "rank").select("key", "copy", "n", "pos", "root")
-        pairs = dealt.mapInArrow(_pairs(low, high, similarity), "a long, b long").distinct()
-        if compared is not None:
-            pairs = pairs.join(compared.hint("merge"), ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("copy")).distinct()
-        own = texts.join(ends.hint("merge"), "copy", "left_semi")
-        both = pairs.join(own.toDF("a", "left"), "a").join(own.toDF("b", "right"), "b").select("a", "b", "left", "right")
-        more = written(both.mapInArrow(_verified(width, similarity), "a long, b long"), "links")
-        links = more if links is None else links.unionByName(more)
-        if roots is not None:
-            discard(roots)
+    while not alive.isEmpty():
+        pairs = _dealt(alive, low, high, partitions).mapInArrow(_pairs(high, similarity), "a long, b long").distinct()
+        pairs = written(pairs.join(compared.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        compared = compared.unionByName(pairs)
+        links = links.unionByName(_links(texts, pairs, width, similarity))
+        discard(roots, *([alive] if alive is not met else []))
         roots = components(links)
-        left = met.where(F.col("size") > high).join(roots.hint("merge"), F.col("copy") == roots["node"], "left")
-        left = left.select("key", "copy", "n", "pos", "size", "rank", F.coalesce("root", "copy").alias("root"))
-        mixed_ = left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        alive = written(left.join(mixed_.hint("merge"), "key", "left_semi"), "alive")
-        if alive.isEmpty():
-            return roots
+        left = met.drop("root").join(roots.hint("merge"), F.col("copy") == roots["node"], "left").select("key", "copy", F.coalesce("root", "copy").alias("root"), "n", "pos", "rank")
+        open_ = left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("rank").alias("last")).where((F.col("x") != F.col("y")) & (F.col("last") > high)).select("key")
+        alive = written(left.join(open_.hint("merge"), "key", "left_semi"), "alive")
         low, high = high, high + 4 * max(1, high - low)
+    discard(met)
+    return roots
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3)
+    for piece in pieces(batches, "text", 2 << 20):
+        texts = plain(piece, "text")
+        own = majority_bits(*shingle_hashes(Words(texts, lower=True), FINGERPRINT_WORDS))
+        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(own.view(np.int64)), pa.array([press.compress(x.encode()) for x in texts.to_pylist()], pa.binary())], ["copy", "fp", "blob"])
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row for each (doc_id, copy) that is not the one to keep of its group; copy is the xxhash64 of the text.
+def kept_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, copy) of the document to keep of each group; copy is the xxhash64 of the text.
 
-    Groups are the components of links at `similarity` or more. The row with the least doc_id stays (null ids last, then by copy).
+    Groups are the components of links at `similarity` or more. The document with the least doc_id stays (null ids last, then by copy).
     Rows that agree in doc_id and text are one document. Null and empty texts have no shingles: they are copies of each other
     and of nothing else. An empty table gives an empty table.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy"), "text")
-    texts = squeezed(base.select("copy", F.coalesce("text", F.lit("")).alias("blob")), "blob").groupBy("copy").agg(F.first("blob").alias("blob"))
-    texts = written(texts, "texts")
-    roots = similar_roots(texts, width, similarity)
     # texts without words have no shingles; they are one group
     blank = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
-    light = base.select("doc_id", "copy", blank.alias("blank")).distinct()
-    grouped = light.join(roots.hint("merge"), light["copy"] == roots["node"], "left")
-    grouped = grouped.select("doc_id", "copy", "blank", F.when(F.col("blank"), F.lit(0)).otherwise(F.coalesce("root", "copy")).alias("root"))
+    texts = base.where(~blank).select("copy", "text").mapInArrow(_read, "copy long, fp long, blob binary").groupBy("copy").agg(F.first("fp").alias("fp"), F.first("blob").alias("blob"))
+    texts = written(texts, "texts")
+    roots = similar_roots(texts, width, similarity)
+    # least documents, first of each text and then of each group: sums of few rows a key, whatever the size of a group
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
-    least = grouped.groupBy("blank", "root").agg(F.min(order).alias("kept"))
-    removed = written(grouped.join(least, ["blank", "root"]).where(~(order.eqNullSafe(F.col("kept")))).select("doc_id", "copy"), "removed")
+    each = base.groupBy("copy", blank.alias("blank")).agg(F.min(order).alias("kept"))
+    grouped = each.join(roots.hint("merge"), each["copy"] == roots["node"], "left")
+    root = F.when(F.col("blank"), F.lit(0)).otherwise(F.coalesce("root", "copy"))
+    kept = written(grouped.groupBy("blank", root.alias("root")).agg(F.min("kept").alias("kept")).select("kept.doc_id", "kept.copy"), "kept")
     discard(texts, roots)
-    return removed
+    return kept
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: of each group one document stays. See near_copies(). Of rows that agree in doc_id and text one stays, whichever."""
+    """docs without near copies: of each group one document stays. See kept_documents(). Of rows that agree in doc_id and text one stays, whichever.
+
+    Other columns of docs stay, whatever their names.
+    """
     null_id = F.lit(-(2**63))
-    gone = near_copies(docs, width, similarity).select(F.coalesce("doc_id", null_id).alias("__doc"), F.col("copy").alias("__copy"))
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), null_id), "__copy": F.xxhash64(F.coalesce("text", F.lit("")))})
-    # the removed rows grow with the input, so they aren't broadcast; the join's partitioning serves the last step as well
-    kept = squeezed(keyed, "text").join(gone.hint("merge"), ["__doc", "__copy"], "left_anti").dropDuplicates(["__doc", "__copy"])
-    return unsqueezed(kept.select(*[F.col(f"`{c}`") for c in docs.columns]), "text")
+    kept = kept_documents(docs, width, similarity).select(F.coalesce("doc_id", null_id).alias("doc"), F.col("doc_id").isNull().alias("none"), F.col("copy").alias("copy"))
+    # the columns travel under numbers, so that no name can clash
+    numbers = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, numbers)])
+    own = own.select("doc", F.col("doc").isNull().alias("none"), F.xxhash64(F.coalesce(f"c{at}", F.lit(""))).alias("copy"), *numbers).withColumn("doc", F.coalesce("doc", null_id))
+    # kept documents grow with the input, so they aren't broadcast; repeated rows are joined into one before they are dealt
+    single = squeezed(own, f"c{at}").dropDuplicates(["doc", "none", "copy"]).join(kept.hint("merge"), ["doc", "none", "copy"], "left_semi")
+    return unsqueezed(single.select(*numbers), f"c{at}").toDF(*docs.columns)
