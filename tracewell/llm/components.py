@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        hot = hot_values(least, "a", "n")
+        hot = hot_values(least, "a", "n", 2 * before[0])
         least = least.select("a", F.least("a", "m").alias("m"))
         large = spread_join(both, least, "a", hot, "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # a node has here as many edges as it has smaller neighbours' least ones

@@ -1,12 +1,13 @@
 """Groups of near copies at a Jaccard similarity of word shingles: SimHash blocks first, exact prefixes of shingle sets for what those cannot promise.
 
 1. Equal texts are one class. Each class has its SimHash fingerprint of operator 10; classes of one fingerprint, and of fingerprints that its pigeonhole blocks
-   link (3 bits at most), are candidates and compared at once. Near copies of 0.8 differ in up to 16 bits, so these links are only the closest.
+   link (3 bits at most), are candidates. Near copies of 0.8 differ in up to 16 bits, so these are only the closest.
 2. In one order of all shingles, two sets of the given similarity share a shingle within their first n - ceil(similarity * n) + 1. Classes meet on each of
    those, so no pair of the given similarity is missed, whatever its edits and however many documents there are. Shingles that a sample shows to be common
    come last in the order; that saves work and decides nothing.
-3. In a bucket, the first member is compared with all others, then the next four, sixteen and so on, each with all behind it, until all members
-   are in one component or every pair has been compared. Pairs of one component are passed over. Large groups of close classes are thus done in a round or two.
+3. The members of a bucket of up to SMALL are compared at once. In a larger one the first member is compared with all others, then the next eight, sixty-four and so
+   on, each with all behind it, until all members are in one component or every pair has been compared. Pairs of one component are passed over. Large groups of
+   close classes are thus done in a round or two.
    A bucket over CHUNK members is dealt in chunks, and the members whose turn it is are sent to each of them, so no task holds a hot bucket.
 4. Pairs are compared by their whole shingle sets, built anew from the two texts.
 5. Components of the links are the groups.
@@ -30,8 +31,8 @@ from tracewell.llm.text import Words, mixed, pieces, plain, run_hash, spans, squ
 
 #: Shingles are ordered by a sample of about so many texts; those in COMMON of them are common, the first COMMON_MOST count.
 SAMPLE, COMMON, COMMON_MOST = 10_000, 3, 100_000
-#: Members of a bucket that one task holds at a time.
-CHUNK = 50_000
+#: A bucket of so many members is compared pair by pair; CHUNK members of a larger one are held by a task at a time.
+SMALL, CHUNK = 8, 50_000
 #: Words of a fingerprint's shingles.
 FINGERPRINT_WORDS = 3
 _EPS = 1e-9
@@ -87,11 +88,10 @@ def _prefixes(width: int, similarity: float, common: np.ndarray):
                 [
                     pa.array(shingles[order[at]].view(np.int64)),
                     piece.column(0).take(pa.array(row)),
-                    piece.column(2).take(pa.array(row)),
                     pa.array(n[row].astype(np.int32)),
                     pa.array((at - cuts[:-1][row]).astype(np.int32)),
                 ],
-                ["key", "copy", "root", "n", "pos"],
+                ["key", "copy", "n", "pos"],
             )
 
     return run
@@ -122,48 +122,58 @@ def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(edge[:-1], size), np.repeat(size, size)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of buckets of more than one component, each with its rank; rows come sorted by bucket.
+def _similar(x: np.ndarray, y: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the row pairs (x, y) of one bucket may have `similarity`, by the sizes of their sets and their places in them."""
+    n, left = n.astype(np.int64), (n - pos).astype(np.int64)
+    # the rarest shingle that both hold is met in some bucket, and there nothing before it is shared
+    enough = np.minimum(left[x], left[y]) >= similarity / (1 + similarity) * (n[x] + n[y]) - _EPS
+    return enough & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - _EPS)
 
-    Of a bucket that goes on over many batches only the next rank is kept, once it has over CHUNK rows or two components.
-    """
-    key, rank, held = None, 0, []
 
-    def out(columns: list[np.ndarray], ranks: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(ranks)], ["key", "copy", "root", "n", "pos", "rank"])
+def _shared(similarity: float):
+    """The pairs of small buckets (copy, other; key null) and the rows of larger ones with their ranks (other null); rows come sorted by bucket."""
+    names = ["key", "copy", "other", "n", "pos", "rank"]
 
-    def several(columns: list[np.ndarray]) -> bool:
-        return len(columns[0]) > CHUNK or bool((columns[2] != columns[2][0]).any())
+    def pairs(key: np.ndarray, copy: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        found = [np.zeros((0, 2), np.int64)]
+        for step in range(1, min(SMALL, len(key))):
+            x = np.flatnonzero(key[step:] == key[:-step])
+            x = x[_similar(x, x + step, n, pos, similarity)]
+            found.append(np.stack([np.minimum(copy[x], copy[x + step]), np.maximum(copy[x], copy[x + step])], 1))
+        both = np.unique(np.concatenate(found), axis=0)
+        none = [pa.nulls(len(both), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())]
+        return pa.RecordBatch.from_arrays([none[0], pa.array(both[:, 0]), pa.array(both[:, 1]), *none[1:]], names)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [c.to_numpy() for c in batch.columns]
-        start, size = _ranks(now[0])
-        first = int(size[0]) if now[0][0] == key else 0
-        if first:  # the bucket of the batch before goes on
-            mine = [c[:first] for c in now]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, gone, held = None, 0, []  # the bucket that may go on: its rows that are out already, or its rows
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy() for c in batch.columns]
             if held:
-                mine = [np.concatenate(c) for c in zip(held, mine)]
-            if rank or several(mine):
-                yield out(mine, np.arange(rank, rank + len(mine[0])))
-                rank, held = rank + len(mine[0]), []
-            else:
-                held = mine
-        if first == len(now[0]):
-            continue
-        last = int(start[-1])
-        if last > first:
-            root = now[2][first:last]
-            edge = np.flatnonzero(np.diff(start[first:last], prepend=-1))
-            mixed_ = np.minimum.reduceat(root, edge) != np.maximum.reduceat(root, edge)
-            kept = np.flatnonzero(np.repeat(mixed_, size[first:last][edge])) + first
-            if len(kept):
-                yield out([c[kept] for c in now], kept - start[kept])
-        key, rank, held = now[0][-1], 0, [c[last:] for c in now]
-        if several(held):
-            yield out(held, np.arange(len(held[0])))
-            rank, held = len(held[0]), []
+                now, held = [np.concatenate(c) for c in zip(held, now)], []
+            start, size = _ranks(now[0])
+            rank = np.arange(len(start)) - start
+            large = size > SMALL
+            if gone and now[0][0] == key:
+                rank[: size[0]] += gone
+                large[: size[0]] = True
+            last = int(start[-1])
+            key, gone = now[0][-1], int(rank[-1]) + 1 if large[-1] else 0
+            if not gone:
+                held = [c[last:] for c in now]
+            end = len(start) if gone else last
+            some = np.flatnonzero(large[:end])
+            if len(some):
+                out = [pa.array(c[some]) for c in now]
+                yield pa.RecordBatch.from_arrays([*out[:2], pa.nulls(len(some), pa.int64()), *out[2:], pa.array(rank[some])], names)
+            some = np.flatnonzero(~large[:end] & (size[:end] > 1))
+            if len(some):
+                yield pairs(*(c[some] for c in now))
+        if held:
+            yield pairs(*held)
+
+    return run
 
 
 def _pairs(high: int, similarity: float):
@@ -175,16 +185,12 @@ def _pairs(high: int, similarity: float):
             size = np.diff(edge)
             start = np.repeat(edge[:-1], size)
             place, turns = np.arange(len(key)) - start, np.repeat(np.add.reduceat((rank < high).astype(np.int64), edge[:-1]), size)
-            n, left = n.astype(np.int64), (n - pos).astype(np.int64)
             found = [np.zeros((0, 2), np.int64)]
             rest = np.arange(len(key))
             for r in range(int(turns.max())):
                 rest = rest[(place[rest] > r) & (turns[rest] > r)]
                 with_ = start[rest] + r
-                # the rarest shingle that both hold is met in some bucket, and there nothing before it is shared
-                enough = np.minimum(left[rest], left[with_]) >= similarity / (1 + similarity) * (n[rest] + n[with_]) - _EPS
-                alike = np.minimum(n[rest], n[with_]) >= similarity * np.maximum(n[rest], n[with_]) - _EPS
-                good = enough & alike & (root[rest] != root[with_])
+                good = (root[rest] != root[with_]) & _similar(rest, with_, n, pos, similarity)
                 x, y = copy[rest[good]], copy[with_[good]]
                 found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
                 if len(found) > 64:
@@ -198,9 +204,12 @@ def _pairs(high: int, similarity: float):
 def _dealt(alive: DataFrame, low: int, high: int, partitions: int) -> DataFrame:
     """Rows of one chunk of a bucket side by side, the members whose turn it is first; those are in every chunk."""
     columns = ["key", "chunk", "rank", "copy", "root", "n", "pos"]
-    large = alive.groupBy("key").agg(F.max("rank").alias("last")).where(F.col("last") >= CHUNK)
-    turn = alive.where((F.col("rank") >= low) & (F.col("rank") < high)).join(large, "key", "left")
-    turn = turn.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor(F.coalesce("last", F.lit(0)) / CHUNK).cast("int"))))
+    large = alive.where(F.col("rank") >= CHUNK).groupBy("key").agg(F.max("rank").alias("last"))
+    turn = alive.where((F.col("rank") >= low) & (F.col("rank") < high))
+    if large.isEmpty():
+        turn = turn.withColumn("chunk", F.lit(0))
+    else:
+        turn = turn.join(large, "key", "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor(F.coalesce("last", F.lit(0)) / CHUNK).cast("int"))))
     rest = alive.where(F.col("rank") >= high).withColumn("chunk", F.floor(F.col("rank") / CHUNK).cast("int"))
     both = turn.select(columns).unionByName(rest.select(columns))
     return both.repartition(partitions, "key", "chunk").sortWithinPartitions("key", "chunk", "rank")
@@ -247,35 +256,40 @@ def fingerprint_pairs(texts: DataFrame) -> DataFrame:
     firsts = classes.select("fp", "first")
     near = close_links(classes.select("fp")).toDF("x", "y").distinct()
     near = near.join(firsts.toDF("x", "a").hint("merge"), "x").join(firsts.toDF("y", "b").hint("merge"), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = written(same.unionByName(near), "pairs")
-    discard(classes)
-    return found
+    return same.unionByName(near)
 
 
 def similar_roots(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """(node, root) of the components of all pairs at `similarity` or more; texts: copy (distinct), fp (its fingerprint) and blob (the compressed text)."""
     partitions = partitions_for(texts, F.length("blob"), 8 << 20)
-    compared = fingerprint_pairs(texts)
-    links = _links(texts, compared, width, similarity)
-    roots = components(links)
-    rooted = texts.select("copy", "blob").join(roots.hint("merge"), F.col("copy") == roots["node"], "left").select("copy", "blob", F.coalesce("root", "copy").alias("root"))
-    keys = rooted.mapInArrow(_prefixes(width, similarity, _common(texts, width)), "key long, copy long, root long, n int, pos int")
-    met = keys.repartition(partitions, "key").sortWithinPartitions("key", "copy").mapInArrow(_shared, "key long, copy long, root long, n int, pos int, rank long")
-    met = alive = written(met, "met")
-    low, high = 0, 1
-    while not alive.isEmpty():
-        pairs = _dealt(alive, low, high, partitions).mapInArrow(_pairs(high, similarity), "a long, b long").distinct()
-        pairs = written(pairs.join(compared.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        compared = compared.unionByName(pairs)
-        links = links.unionByName(_links(texts, pairs, width, similarity))
-        discard(roots, *([alive] if alive is not met else []))
+    keys = texts.select("copy", "blob").mapInArrow(_prefixes(width, similarity, _common(texts, width)), "key long, copy long, n int, pos int")
+    met = keys.repartition(partitions, "key").sortWithinPartitions("key", "copy").mapInArrow(_shared(similarity), "key long, copy long, other long, n int, pos int, rank long")
+    met = written(met, "met")
+    first = met.where("key is null").select(F.col("copy").alias("a"), F.col("other").alias("b")).unionByName(fingerprint_pairs(texts))
+    alive = met.where("key is not null").select("key", "copy", F.col("copy").alias("root"), "n", "pos", "rank")
+    low, high, compared, links, spent = 0, 1, None, None, [met]
+    while True:
+        pairs = _dealt(alive, low, high, partitions).mapInArrow(_pairs(high, similarity), "a long, b long")
+        if compared is None:
+            compared = pairs = written(pairs.unionByName(first).distinct(), "pairs")
+        else:
+            pairs = written(pairs.distinct().join(compared.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+            compared = compared.unionByName(pairs)
+            discard(roots)
+        more = _links(texts, pairs, width, similarity)
+        links = more if links is None else links.unionByName(more)
         roots = components(links)
-        left = met.drop("root").join(roots.hint("merge"), F.col("copy") == roots["node"], "left").select("key", "copy", F.coalesce("root", "copy").alias("root"), "n", "pos", "rank")
-        open_ = left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("rank").alias("last")).where((F.col("x") != F.col("y")) & (F.col("last") > high)).select("key")
-        alive = written(left.join(open_.hint("merge"), "key", "left_semi"), "alive")
-        low, high = high, high + 4 * max(1, high - low)
-    discard(met)
-    return roots
+        # ranks have no gaps: one row of this rank for each bucket that is not yet done
+        open_ = alive.where(F.col("rank") == high + 1).select("key")
+        left = alive.drop("root").join(open_.hint("merge"), "key", "left_semi").join(roots.hint("merge"), F.col("copy") == roots["node"], "left")
+        left = left.select("key", "copy", F.coalesce("root", "copy").alias("root"), "n", "pos", "rank")
+        mixed_ = left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+        alive = written(left.join(mixed_.hint("merge"), "key", "left_semi"), "alive")
+        discard(*spent)
+        spent = [alive]
+        if alive.isEmpty():
+            return roots
+        low, high = high, high + 8 * max(1, high - low)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

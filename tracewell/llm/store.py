@@ -24,9 +24,10 @@ def partitions_for(rows: DataFrame, size: Column, share: int) -> int:
     return max(shuffle_partitions(rows.sparkSession), -(-int(total) // share))
 
 
-def hot_values(counted: DataFrame, key: str, n: str) -> list:
-    """The keys (one a row of `counted`, with n rows each) that hold over 1 / HOT_PART of all rows: fewer than HOT_PART of them."""
-    total = counted.agg(F.sum(n).alias("n")).first()["n"] or 0
+def hot_values(counted: DataFrame, key: str, n: str, total: int | None = None) -> list:
+    """The keys (one a row of `counted`, with n rows each) that hold over 1 / HOT_PART of all rows (their `total`, if known): fewer than HOT_PART of them."""
+    if total is None:
+        total = counted.agg(F.sum(n).alias("n")).first()["n"] or 0
     return [r[0] for r in counted.where(F.col(n) * HOT_PART > F.lit(total)).select(key).collect()]
 
 

@@ -62,7 +62,7 @@ def _cut(words: Words, window: int) -> tuple[np.ndarray, ...]:
 
 def _hot_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", 3 << 20):
             words = Words(plain(piece, "text"))
             _, at, windows, least, hashes = _cut(words, window)
             # a super-k-mer is told from others by its first and last window
@@ -87,7 +87,7 @@ def _pack(window: int, partitions: int, hot: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=6)
-        for piece in pieces(batches, "text", 6 << 20):
+        for piece in pieces(batches, "text", 3 << 20):
             words = Words(plain(piece, "text"))
             doc, at, windows, key, hashes = _cut(words, window)
             if len(at) == 0:
