@@ -6,6 +6,8 @@ documents. run() applies them to documents and returns the last one's rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from tracewell.llm.queries import toxicity_model
 from tracewell.llm.store import discard, written
 from tracewell.llm.substring_dedup import substring_dedup
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go. Labels are learned from, as the query of this operator does."""
@@ -44,12 +48,26 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
 
+#: Rows of an Arrow batch, at most. Rows are whole texts, and a batch is held by the executor and its Python worker at once.
+BATCH = 2000
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(setting)) <= BATCH:
+            spark.conf.set(setting, str(BATCH))  # read when the stage's rows are asked for, so it stays set
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", toxic_out),
-    ("language_id", unknown_language_out),
-    ("simhash_near_dedup", near_copies_out),
-    ("substring_dedup", repeats_out),
-    ("best_fit_packing", packed),
+    ("toxicity", in_small_batches(toxic_out)),
+    ("language_id", in_small_batches(unknown_language_out)),
+    ("simhash_near_dedup", in_small_batches(near_copies_out)),
+    ("substring_dedup", in_small_batches(repeats_out)),
+    ("best_fit_packing", in_small_batches(packed)),
 ]
 
 #: Learned models, fingerprints and tokenisers have no SQL.
