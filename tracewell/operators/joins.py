@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracewell.functions.vectors import cosine, dot, normalised
+from tracewell.functions.vectors import cosine
 
 Keys = Sequence[str]
 
@@ -86,17 +89,48 @@ def similar_pairs(centroids: DataFrame, keys: Keys, subject: str, vector: str, l
     return pairs if apart is None else pairs.join(apart, [*keys, "a", "b"], "left_anti")
 
 
-def rival_similarity(rows: DataFrame, centroids: DataFrame, keys: Keys, subject: str, vector: str, centre: str) -> DataFrame:
-    """rows with cos_self and cos_other: cosine to the own centroid, and the greatest to another subject's of the same group.
+def rival_similarity(rows: DataFrame, centroids: DataFrame, keys: Keys, subject: str, vector: str, centre: str, share: int = 20_000) -> DataFrame:
+    """rows with cos_self and cos_other: cosine to the own centroid, and the greatest to another subject's of the same group; NULL where there is none.
 
-    A group's centroids travel as one list (a clip has a handful of subjects), so rows are not multiplied.
+    A group's rows are dealt in shares of about `share`, and its centroids go to each, so a group of any size is spread over tasks. In a share all
+    cosines are one product of two matrices.
     """
-    listed = centroids.groupBy(*keys).agg(F.collect_list(F.struct(F.col(subject).alias("id"), normalised(F.col(centre)).alias("v"))).alias("__all"))
-    joined = rows.withColumn("__u", normalised(F.col(vector))).join(listed, list(keys), "left")
-    joined = joined.withColumn("__near", F.transform("__all", lambda c: F.struct(c["id"].alias("id"), dot(F.col("__u"), c["v"]).alias("cos"))))
-    own = F.filter("__near", lambda c: c["id"] == F.col(subject))
-    others = F.transform(F.filter("__near", lambda c: c["id"] != F.col(subject)), lambda c: c["cos"])
-    return joined.withColumns({"cos_self": F.get(own, F.lit(0))["cos"], "cos_other": F.array_max(others)}).drop("__all", "__u", "__near")
+    rows = rows.drop("cos_self", "cos_other")
+    parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / share).cast("int").alias("__parts"))
+    many = rows.join(parts, list(keys)).withColumn("__part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.col("__parts")).cast("int")).drop("__parts")
+    few = centroids.select(*keys, F.col(subject).alias("__id"), F.col(centre).alias("__v")).join(parts, list(keys))
+    theirs = [f"__k{i}" for i in range(len(keys))]
+    few = few.select(*[F.col(k).alias(t) for k, t in zip(keys, theirs)], "__id", "__v", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__p"))
+    kept = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("cos_self", T.DoubleType()), T.StructField("cos_other", T.DoubleType())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        n, names = left.num_rows, right.column("__id").to_pylist()
+        own, other = np.full(n, np.nan), np.full(n, np.nan)
+        vectors = left.column(vector).combine_chunks()
+        some = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+        if len(names) and len(some):
+            at = {x: i for i, x in enumerate(names)}
+            mine = np.array([at.get(x, -1) for x in left.column(subject).to_pylist()])[some]
+            near = _unit(vectors.take(pa.array(some))) @ _unit(right.column("__v").combine_chunks()).T
+            has = np.flatnonzero(mine >= 0)
+            own[some[has]] = near[has, mine[has]]
+            near[has, mine[has]] = -np.inf
+            best = near.max(1)
+            other[some] = np.where(np.isfinite(best), best, np.nan)
+        out = left.select(kept)
+        for name, x in (("cos_self", own), ("cos_other", other)):
+            out = out.append_column(name, pa.array(x, pa.float64(), from_pandas=True))
+        return out
+
+    return many.groupBy(*keys, "__part").cogroup(few.groupBy(*theirs, "__p")).applyInArrow(run, schema)
+
+
+def _unit(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as rows of length 1."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def sharing_frames(pairs: DataFrame, rows: DataFrame, keys: Keys, frame: str, subject: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators import selection as K
 from tracewell.operators import windows as W
 from tracewell.operators.aggregates import merged_frames
-from tracewell.operators.rules import unresolved
 from tracewell.plans import gates, scores
 from tracewell.plans.presets import preset, preset_table
 from tracewell.queries.book import FRAMES, SIGNALS, Book, frames, rounded, signals, table
@@ -18,18 +20,18 @@ KEYS = ["track_id"]
 _T = "OVER (PARTITION BY track_id)"
 
 # the ladder once more, level by level
-_GATES = f"""{SIGNALS}, g1 AS (SELECT *, blink IS NOT NULL AS have_bs, yaw IS NOT NULL AS pose_finite, skin_entropy IS NOT NULL AS mask_valid,
+_GATES = f"""{SIGNALS.replace("s AS (", "s AS MATERIALIZED (", 1)}, g1 AS MATERIALIZED (SELECT *, blink IS NOT NULL AS have_bs, yaw IS NOT NULL AS pose_finite, skin_entropy IS NOT NULL AS mask_valid,
     CASE WHEN abs(wide_yaw) >= 50 AND (mesh_yaw IS NULL OR (abs(mesh_yaw) >= 30 AND sign(mesh_yaw) = sign(wide_yaw))) THEN 'side' WHEN abs(mesh_yaw) < 15 THEN 'frontal' ELSE 'angle' END AS pose_class,
     CASE WHEN count(blur) {_T} >= 10 THEN 0.5 * median(blur) {_T} ELSE -1e308 END AS blur_floor, coalesce(sqrt(pow(blink, 2) + pow(smile - 0.35, 2) + 0.5 * pow(jaw - 0.1, 2)), 0) AS qd FROM s),
-    g2 AS (SELECT *, pose_class = 'frontal' AND have_bs AS frontal_clean, blur >= blur_floor AS sharp_ok, NOT mask_valid OR skin_entropy >= 4.5 AS exposure_ok, NOT have_bs OR pose_class = 'side' OR qd <= 0.38 AS query_ok,
+    g2 AS MATERIALIZED (SELECT *, pose_class = 'frontal' AND have_bs AS frontal_clean, blur >= blur_floor AS sharp_ok, NOT mask_valid OR skin_entropy >= 4.5 AS exposure_ok, NOT have_bs OR pose_class = 'side' OR qd <= 0.38 AS query_ok,
     NOT have_bs OR pose_class = 'side' OR em_conf >= 0.3 AS expr_ok FROM g1),
-    g3 AS (SELECT *, eye_lum_rel < 0.7 AND frontal_clean AS sunglasses, mouth_vis < 0.01 AND frontal_clean AS masked, eyes_vis > 0 OR mouth_vis > 0 OR NOT frontal_clean AS face_present,
+    g3 AS MATERIALIZED (SELECT *, eye_lum_rel < 0.7 AND frontal_clean AS sunglasses, mouth_vis < 0.01 AND frontal_clean AS masked, eyes_vis > 0 OR mouth_vis > 0 OR NOT frontal_clean AS face_present,
     coalesce(median(CASE WHEN frontal_clean THEN iddev END) {_T}, median(iddev) {_T}) AS clean_ref FROM g2),
-    g4 AS (SELECT *, iddev <= clean_ref + 0.12 OR (clean_ref <= 0.32 AND (cos_other IS NULL OR cos_self - cos_other >= 0.05) AND (cos_self >= 0.42 OR (pose_class = 'side' AND cos_self >= 0.30) OR (cos_other IS NOT NULL AND cos_self >= 0.15))) AS id_valid,
+    g4 AS MATERIALIZED (SELECT *, iddev <= clean_ref + 0.12 OR (clean_ref <= 0.32 AND (cos_other IS NULL OR cos_self - cos_other >= 0.05) AND (cos_self >= 0.42 OR (pose_class = 'side' AND cos_self >= 0.30) OR (cos_other IS NOT NULL AND cos_self >= 0.15))) AS id_valid,
     face_present OR sunglasses OR masked AS face_or_fashion, sunglasses OR coalesce(blink < 0.45, false) AS eyes_ok FROM g3),
-    g5 AS (SELECT *, face_or_fashion AND (have_bs OR id_valid) AS valid FROM g4),
-    g6 AS (SELECT *, have_bs AND pose_finite AND eyes_ok AND expr_ok AND query_ok AND jaw < 0.5 AND sharp_ok AND exposure_ok AND valid AS quarter_ok, pose_class = 'side' AND sharp_ok AND exposure_ok AND valid AS side_raw FROM g5),
-    g7 AS (SELECT *, quarter_ok AND abs(yaw) < 20 AND abs(pitch) < 20 AND abs(roll) < 20 AS admit FROM g6),
+    g5 AS MATERIALIZED (SELECT *, face_or_fashion AND (have_bs OR id_valid) AS valid FROM g4),
+    g6 AS MATERIALIZED (SELECT *, have_bs AND pose_finite AND eyes_ok AND expr_ok AND query_ok AND jaw < 0.5 AND sharp_ok AND exposure_ok AND valid AS quarter_ok, pose_class = 'side' AND sharp_ok AND exposure_ok AND valid AS side_raw FROM g5),
+    g7 AS MATERIALIZED (SELECT *, quarter_ok AND abs(yaw) < 20 AND abs(pitch) < 20 AND abs(roll) < 20 AS admit FROM g6),
     i1 AS (SELECT track_id, frame_idx, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY track_id ORDER BY frame_idx) <= 2 THEN 0 ELSE 1 END AS new FROM g7 WHERE side_raw),
     i2 AS (SELECT *, sum(new) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS run FROM i1), i3 AS (SELECT track_id, frame_idx, count(*) OVER (PARTITION BY track_id, run) >= 3 AS side_ok FROM i2),
     g AS (SELECT g7.*, coalesce(side_ok, false) AS side_ok, CASE WHEN admit THEN 'admit' WHEN NOT valid AND NOT face_or_fashion THEN 'reject:no_face' WHEN NOT valid THEN 'reject:identity' WHEN NOT sharp_ok THEN 'reject:blur' WHEN NOT exposure_ok THEN 'reject:exposure'
@@ -59,24 +61,39 @@ def g19(spark: SparkSession, d: str) -> DataFrame:
     return rounded(own.groupBy("track_id").agg(F.count_if("valid").alias("valid"), F.count("*").alias("n"), F.max("clean_ref").alias("clean_ref"), F.max("blur_floor").alias("blur_floor")), "clean_ref", "blur_floor")
 
 
-@BOOK.add("g17_two_passes")
+def _twice() -> str:
+    """Both passes in SQL: the gates without embedding evidence, centroids of what they admit, cosines, and the gates again."""
+    rest = _GATES.split(", g1 AS MATERIALIZED", 1)[1]
+    first = re.sub(r"\b(g[1-7]?|s|i[1-3])\b(?!\.)", r"f_\1", rest).replace("g7.*", "f_g7.*")
+    return f"""WITH t AS MATERIALIZED (SELECT * FROM (WITH {SIGNALS} SELECT * FROM s)),
+    e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), size AS (SELECT count(*) AS n FROM embeddings),
+    j AS MATERIALIZED (SELECT t.track_id, t.frame_idx, t.track_id % 10 AS clip, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM t CROSS JOIN size LEFT JOIN e ON e.vec_id = (t.track_id * 31 + t.frame_idx) % size.n),
+    f_s AS MATERIALIZED (SELECT * REPLACE (CAST(NULL AS DOUBLE) AS cos_self, CAST(NULL AS DOUBLE) AS cos_other) FROM t), f_g1 AS MATERIALIZED{first},
+    a AS (SELECT track_id, clip, u FROM f_g JOIN j USING (track_id, frame_idx) WHERE admit AND u IS NOT NULL), n AS (SELECT track_id FROM f_g WHERE admit GROUP BY 1 HAVING count(*) >= 10),
+    x AS (SELECT track_id, clip, unnest(u) AS x, generate_subscripts(u, 1) AS pos FROM a SEMI JOIN n USING (track_id)), m AS (SELECT track_id, clip, pos, avg(x) AS x FROM x GROUP BY 1, 2, 3),
+    c0 AS (SELECT track_id, clip, list(x ORDER BY pos) AS c FROM m GROUP BY 1, 2), c AS MATERIALIZED (SELECT track_id, clip, list_transform(c, lambda y: y / sqrt(list_inner_product(c, c))) AS c FROM c0),
+    d AS (SELECT j.track_id, j.frame_idx, max(CASE WHEN c.track_id = j.track_id THEN list_inner_product(u, c) END) AS own, max(CASE WHEN c.track_id <> j.track_id THEN list_inner_product(u, c) END) AS other FROM j LEFT JOIN c ON c.clip = j.clip GROUP BY 1, 2),
+    s AS MATERIALIZED (SELECT t.* REPLACE (d.own AS cos_self, d.other AS cos_other) FROM t JOIN d USING (track_id, frame_idx)), g1 AS MATERIALIZED{rest}
+    SELECT track_id, frame_idx, reason, round(cos_self, 6) AS cos_self, round(cos_other, 6) AS cos_other FROM g"""
+
+
+@BOOK.add("g17_two_passes", _twice())
 def g17(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    own = signals(spark, d).withColumns({"clip": F.col("track_id") % 10, "vec_id": F.col("track_id") * 7 % 500})
+    n = v.count()
+    own = signals(spark, d).withColumns({"clip": F.col("track_id") % 10, "vec_id": (F.col("track_id") * 31 + F.col("frame_idx")) % n})
     joined = own.join(v.select("vec_id", "embedding"), "vec_id", "left")
-    return gates.judged_twice(joined, "clip", "track_id", "frame_idx", "embedding", preset("default")).groupBy("reason").agg(F.count("*").alias("n"), F.count("cos_self").alias("with_centroid"))
+    out = gates.judged_twice(joined, "clip", "track_id", "frame_idx", "embedding", preset("default"))
+    return rounded(out.select("track_id", "frame_idx", "reason", "cos_self", "cos_other"), "cos_self", "cos_other")
 
 
-@BOOK.add("f35_presets")
-def f35(spark: SparkSession, d: str) -> DataFrame:
-    return preset_table(spark)
+_LIMITS = ", ".join(f"('{name}', {float(value)!r}::DOUBLE)" for name, value in asdict(preset("default")).items())
 
 
-@BOOK.add("d04_rule_drift")
-def d04(spark: SparkSession, d: str) -> DataFrame:
-    p = preset("default")
-    rules = [*gates.validity(KEYS, p), *gates.policy_and_views(p)]
-    return spark.createDataFrame(unresolved(rules, [s for s in gates.SIGNALS if s != "blur"]), "rule string, missing string")
+@BOOK.add("f35_presets", f"SELECT name, value, count(*) FILTER (l_quantity / 50 > value) AS over FROM lineitem, (VALUES {_LIMITS}) p(name, value) GROUP BY 1, 2")
+def f35(spark: SparkSession, d: str) -> DataFrame:
+    limits = F.broadcast(preset_table(spark).select("name", "value"))  # tens of rows
+    return table(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("x")).join(limits).groupBy("name", "value").agg(F.count_if(F.col("x") > F.col("value")).alias("over"))
 
 
 _PORTRAIT = f"""{_GATES}, o AS (SELECT *, round((1 - CASE WHEN yaw IS NOT NULL THEN least(1, greatest(0, (abs(yaw) + abs(pitch) + abs(roll)) / 60)) END + least(1, greatest(0, blur / max(blur) {_T})) + coalesce(1 - least(1, greatest(0, CASE WHEN blink IS NOT NULL THEN qd END / 0.38)), 1 - least(1, greatest(0, blink / 0.45))))
@@ -95,7 +112,17 @@ def q05(spark: SparkSession, d: str) -> DataFrame:
     return K.best_per_bin(_objective(spark, d).withColumn("view", view), KEYS, "view", "objective", "frame_idx").drop("preferred")
 
 
-@BOOK.add("q05_portrait_rep")
+def _in_turn(rows: str, score: str, k: int, gap: int) -> str:
+    """SQL of the k best rows of a track in turn, each `gap` or more from those before."""
+    out = [f"p0 AS MATERIALIZED (SELECT track_id, frame_idx, {score} FROM {rows} WHERE {score} IS NOT NULL)"]
+    for i in range(1, k + 1):
+        far = " AND ".join(f"NOT EXISTS (SELECT 1 FROM p{j} WHERE p{j}.track_id = p0.track_id AND abs(p{j}.frame_idx - p0.frame_idx) < {gap})" for j in range(1, i)) or "true"
+        last = f" AND EXISTS (SELECT 1 FROM p{i - 1} WHERE p{i - 1}.track_id = p0.track_id)" if i > 1 else ""
+        out.append(f"p{i} AS MATERIALIZED (SELECT track_id, {i} AS pick, frame_idx, {score} FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY {score} DESC, frame_idx) AS n FROM p0 WHERE {far}{last}) WHERE n = 1)")
+    return ", ".join(out) + ", picked AS (" + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, k + 1)) + ")"
+
+
+@BOOK.add("q05_portrait_rep", f"WITH {_PORTRAIT}, a AS MATERIALIZED (SELECT * FROM o WHERE admit), {_in_turn('a', 'objective', 5, 12)} SELECT * FROM picked WHERE track_id IN (SELECT track_id FROM a GROUP BY 1 HAVING count(*) >= 5)")
 def q05_rep(spark: SparkSession, d: str) -> DataFrame:
     admitted = _objective(spark, d).where("admit")
     return K.if_enough(K.greedy_separated(admitted, KEYS, "frame_idx", "objective", 5, 12), admitted, KEYS, 5)
@@ -127,10 +154,15 @@ def q02(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(happens, 9).alias("happens"), F.round(shows, 9).alias("shows"))
 
 
-@BOOK.add("q03_likeness")
+_MINMAX = "(({x} - min({x}) {t}) / (max({x}) {t} - min({x}) {t} + 1e-9))"
+
+
+@BOOK.add("q03_likeness", f"""WITH {SIGNALS}, l1 AS MATERIALIZED (SELECT *, {_MINMAX.format(x="blur", t=_T)} - 2 * abs(0.5 - 0.45) - 3 * (jaw / 10 + 0.0) AS q FROM s),
+    l2 AS MATERIALIZED (SELECT track_id, frame_idx, round(coalesce(exp(-pow(yaw - 12, 2) / 800), 0.05) * (0.3 + 0.7 * (coalesce(smile, 0.5) * (1 - 0.5 * coalesce(blink, 0)))) * (0.2 + 0.8 * {_MINMAX.format(x="q", t=_T)}) * (0.4 + 0.6 * coalesce(em_conf, 0.5))
+        * CASE WHEN frame_idx < 20 THEN 1.15 ELSE 1.0 END, 6) AS likeness FROM l1), {_in_turn('l2', 'likeness', 3, 12)} SELECT * FROM picked""")
 def q03(spark: SparkSession, d: str) -> DataFrame:
     own = signals(spark, d).withColumns({"exposure": F.lit(0.5), "clipped": F.col("jaw") / 10, "crushed": F.lit(0.0), "neutral": F.col("smile"), "energy": F.col("blink"), "scene_phase": F.when(F.col("frame_idx") < 20, "boarding").otherwise("ride")})
-    return rounded(K.greedy_separated(scores.likeness(own, KEYS), KEYS, "frame_idx", "likeness", 3, 12), "likeness")
+    return K.greedy_separated(rounded(scores.likeness(own, KEYS), "likeness"), KEYS, "frame_idx", "likeness", 3, 12)
 
 
 @BOOK.add("q13_workbench_picks", f"""WITH {SIGNALS}, r AS (SELECT track_id, frame_idx, blink, skin_entropy, (row_number() OVER (PARTITION BY track_id ORDER BY blur NULLS LAST, frame_idx) - 1) / greatest(count(*) {_T} - 1, 1) AS a, (row_number() OVER (PARTITION BY track_id ORDER BY em_conf NULLS LAST, frame_idx) - 1) / greatest(count(*) {_T} - 1, 1) AS b FROM s),
@@ -144,9 +176,15 @@ def q13(spark: SparkSession, d: str) -> DataFrame:
     return K.greedy_separated(own, KEYS, "frame_idx", "face", 3, 12).where("pick = 1").select("track_id", "frame_idx", "face")
 
 
-@BOOK.add("q14_channels", f"WITH {_GATES} SELECT track_id, min(frame_idx) AS first, max(frame_idx) AS last, count(*) AS n, count(*) FILTER (admit) AS open, count(DISTINCT pose_class) AS views FROM g GROUP BY 1")
+@BOOK.add("q14_channels", f"""WITH {_GATES}, x AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frame_idx) AS i FROM g)
+    SELECT track_id, frame_idx, pose_class AS view, admit AS open, round(blur / nullif(max(blur) {_T}, 0), 6) AS sharp, round(iddev - clean_ref, 6) AS strange, round(qd, 6) AS apart, CASE WHEN NOT coalesce(lag(reason) OVER (PARTITION BY track_id ORDER BY frame_idx) = reason, false) THEN reason END AS lane FROM x""")
 def q14(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(spark, d).groupBy("track_id").agg(F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"), F.count("*").alias("n"), F.count_if("admit").alias("open"), F.count_distinct("pose_class").alias("views"))
+    """One aligned row a frame: the inspector's channels, and the gate lane where it changes."""
+    before = F.lag("reason").over(Window.partitionBy("track_id").orderBy("frame_idx"))
+    lane = F.when(~F.coalesce(before == F.col("reason"), F.lit(False)), F.col("reason"))
+    own = _judged(spark, d).withColumn("most", F.max("blur").over(W.whole(KEYS)))
+    made = {"sharp": F.col("blur") / F.nullif(F.col("most"), F.lit(0.0)), "strange": F.col("iddev") - F.col("clean_ref"), "apart": F.coalesce("query_dist", F.lit(0.0))}
+    return own.select("track_id", "frame_idx", F.col("pose_class").alias("view"), F.col("admit").alias("open"), *[F.round(x, 6).alias(n) for n, x in made.items()], lane.alias("lane"))
 
 
 @BOOK.add("q04_joint_line", f"WITH {FRAMES}, j AS (SELECT frame_idx, max(value) AS value, max(k) AS k, count(*) AS riders FROM f GROUP BY 1), s AS (SELECT *, quantile_cont(value, 0.5) OVER (ORDER BY frame_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS level FROM j) SELECT frame_idx, riders, k, round(level, 6) AS level FROM s")
@@ -188,11 +226,13 @@ def f38(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *with_sentinels({"x": x}, {"x": 9.9}, 1))
 
 
-@BOOK.add("q10_phases")
+@BOOK.add("q10_phases", f"""WITH {FRAMES}, b AS (SELECT track_id, frame_idx, sum(value) {_W[:-1]} ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING) / 12 AS s FROM f),
+    h AS (SELECT track_id, frame_idx, min(CAST(s >= 45 AS INT)) {_W[:-1]} ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS ok, count(*) {_W[:-1]} ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS n FROM b),
+    t AS (SELECT track_id, min(frame_idx) AS start FROM h WHERE ok = 1 AND n = 6 GROUP BY 1) SELECT f.track_id, frame_idx, CASE WHEN frame_idx < start THEN 'boarding' ELSE 'ride' END AS scene_phase FROM f LEFT JOIN t ON t.track_id = f.track_id""")
 def q10(spark: SparkSession, d: str) -> DataFrame:
     from tracewell.plans.subjects import ride_phase
 
-    return ride_phase(frames(spark, d), "track_id", "frame_idx", "value", 45.0).groupBy("track_id", "scene_phase").agg(F.count("*").alias("n"))
+    return ride_phase(frames(spark, d), "track_id", "frame_idx", "value", 45.0).select("track_id", "frame_idx", "scene_phase")
 
 
 @BOOK.add("w20_anomaly", f"WITH {FRAMES}, m AS (SELECT track_id, quantile_cont(value, 0.5) AS p FROM f GROUP BY 1) SELECT f.track_id, frame_idx, round(abs(value - p), 6) AS anomaly FROM f JOIN m ON m.track_id = f.track_id")
