@@ -54,7 +54,7 @@ def test_resolution(spark):
 
 def test_against_brute_force(spark):
     rng = random.Random(4)
-    rows = [(i, f"http://h{rng.choice([0, 0, 0, 1, 2])}.com/p", rng.randrange(400), rng.choice(["response", "revisit"]), {"etag": str(rng.randrange(3))}) for i in range(500)]
+    rows = [(i, f"http://h{rng.choice([0, 0, 0, 1, 2])}.com/p", 10**15 if i == 9 else -(10**12) if i == 3 else rng.randrange(400), rng.choice(["response", "revisit"]), {"etag": str(rng.randrange(3))}) for i in range(500)]
     got = {r["record_id"]: (r["resolved_id"], r["status"]) for r in revisits.resolve(spark.createDataFrame(rows, DDL)).collect()}
     for i, url, at, kind, headers in rows:
         if kind == "revisit":

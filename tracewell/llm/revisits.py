@@ -42,10 +42,11 @@ def resolve(records: DataFrame) -> DataFrame:
     """
     rows = records.where("kind in ('response', 'revisit')").select("record_id", "fetched", "kind", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), canonical_url(F.col("url")).alias("canonical_url"))
     lost = rows.where("canonical_url is null and kind = 'revisit'").select("record_id", "canonical_url", F.lit(None).cast("long").alias("resolved_id"), F.lit("no url").alias("status"), "headers")
-    bounds = rows.agg(F.min("fetched").alias("low"), F.max("fetched").alias("high")).first()
-    low, high = bounds["low"] or 0, bounds["high"] or 0
-    width = (high - low) // (4 * shuffle_partitions(records.sparkSession)) + 1
-    chunk = F.coalesce(F.floor((F.col("fetched") - low) / width), F.lit(-1))
+    # by where most times lie, so a few far ones do not widen the chunks; those go to the first or the last chunk, NULL before them
+    low, high = rows.agg(F.percentile_approx("fetched", [0.01, 0.99], 1000).alias("at")).first()["at"] or (0, 0)
+    chunks = 4 * shuffle_partitions(records.sparkSession)
+    width = (high - low) // chunks + 1
+    chunk = F.when(F.col("fetched").isNull(), -2).otherwise(F.greatest(F.lit(-1), F.least(F.lit(chunks), F.floor((F.col("fetched") - low) / width))))
     stored = F.when(F.col("kind") == "response", F.struct(F.col("record_id").alias("id"), F.col("headers").alias("headers")))
     rows = rows.where("canonical_url is not null").withColumns({"chunk": chunk, "stored": stored})
     inside = Window.partitionBy("canonical_url", "chunk").orderBy(F.col("fetched").asc_nulls_first(), F.desc("kind"), "record_id").rowsBetween(Window.unboundedPreceding, -1)
