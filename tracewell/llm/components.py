@@ -2,42 +2,43 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.store import discard, hot_values, spread_join, written
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+from tracewell.llm.store import HOT_PART, discard, shuffles_for, spread_join, written
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node that has an edge (a, b) to another; root is the least node reachable.
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, root) for every node that has an edge (a, b) to another; root is the least node reachable. rows: how many edges there are, if known.
 
     Each round links every node to the least of its neighbours, by an aggregate with map-side combine and a join that deals the edges of
-    hot nodes over many tasks, so a star of any size is no group in one task. Rounds grow with the logarithm of the longest path.
+    hot nodes over many tasks, so a star of any size is no group in one task. Rounds grow with the logarithm of the longest path;
+    a graph that is all stars around their least nodes takes none. Partitions follow the number of edges.
     Edges are written to the shared folder between rounds. Null ends and loops are dropped; repeated edges count once.
     """
+    spark = edges.sparkSession
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = written(edges, "edges")
-    before = _state(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        hot = hot_values(least, "a", "n", 2 * before[0])
-        least = least.select("a", F.least("a", "m").alias("m"))
-        large = spread_join(both, least, "a", hot, "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # a node has here as many edges as it has smaller neighbours' least ones
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = spread_join(large, least, "a", hot, "b")
-        small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        older, edges = edges, written(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
-        discard(older)
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
+    with shuffles_for(spark, rows) if rows is not None else nullcontext():
+        edges = written(edges, "edges")
+    while total := 2 * edges.count():
+        with shuffles_for(spark, total):
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+            # stars are left when no node with a smaller neighbour has another one; hot nodes are fewer than HOT_PART
+            hot = F.collect_list(F.when(F.col("n") * HOT_PART > total, F.col("a")))
+            unfinished, hot = least.agg(F.count_if((F.col("m") < F.col("a")) & (F.col("n") > 1)), hot).first()
+            if not unfinished:
+                break
+            least = least.select("a", F.least("a", "m").alias("m"))
+            large = spread_join(both, least, "a", hot, "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            # a node has here as many edges as it has smaller neighbours' least ones
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = spread_join(large, least, "a", hot, "b")
+            small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+            older, edges = edges, written(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+            discard(older)
     out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out._tracewell_path = edges._tracewell_path
     return out

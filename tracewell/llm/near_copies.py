@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
 from tracewell.llm.simhash import close_links, majority_bits, shingle_hashes
-from tracewell.llm.store import discard, hot_values, partitions_for, spread_join, written
+from tracewell.llm.store import discard, hot_values, partitions_for, shuffle_partitions, shuffles_for, spread_join, written
 from tracewell.llm.text import Words, mixed, pieces, plain, run_hash, spans, squeezed, unsqueezed
 
 #: Shingles are ordered by a sample of about so many texts; those in COMMON of them are common, the first COMMON_MOST count.
 SAMPLE, COMMON, COMMON_MOST = 10_000, 3, 100_000
 #: A bucket of so many members is compared pair by pair; CHUNK members of a larger one are held by a task at a time.
 SMALL, CHUNK = 8, 50_000
+#: The ends of up to so many pairs (two longs each) are broadcast to find their texts; those of more are joined by a shuffle.
+FEW_PAIRS = 100_000
 #: Words of a fingerprint's shingles.
 FINGERPRINT_WORDS = 3
 _EPS = 1e-9
@@ -242,10 +244,15 @@ def _common(texts: DataFrame, width: int) -> np.ndarray:
 
 def _links(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of `similarity` or more."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("copy")).distinct()
-    own = texts.select("copy", "blob").join(ends.hint("merge"), "copy", "left_semi")
-    both = pairs.join(own.toDF("a", "left"), "a").join(own.toDF("b", "right"), "b").select("a", "b", "left", "right")
-    return written(both.mapInArrow(_verified(width, similarity), "a long, b long"), "links")
+    n = pairs.count()
+    with shuffles_for(texts.sparkSession, n, 20_000):
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("copy")).groupBy("copy").agg(F.count("*").alias("n"))
+        hot = hot_values(ends, "copy", "n", 2 * n)
+        ends = ends.select("copy")
+        own = texts.select("copy", "blob").join(F.broadcast(ends) if n <= FEW_PAIRS else ends.hint("merge"), "copy", "left_semi")
+        # the first of a large group is in as many pairs as it has members
+        both = spread_join(spread_join(pairs, own.toDF("a", "left"), "a", hot, "b"), own.toDF("b", "right"), "b", hot, "a").select("a", "b", "left", "right")
+        return written(both.mapInArrow(_verified(width, similarity), "a long, b long"), "links")
 
 
 def fingerprint_pairs(texts: DataFrame) -> DataFrame:
@@ -267,28 +274,36 @@ def similar_roots(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     met = written(met, "met")
     first = met.where("key is null").select(F.col("copy").alias("a"), F.col("other").alias("b")).unionByName(fingerprint_pairs(texts))
     alive = met.where("key is not null").select("key", "copy", F.col("copy").alias("root"), "n", "pos", "rank")
-    low, high, compared, links, spent = 0, 1, None, None, [met]
+    low, high, compared, roots, spent, rows = 0, 1, None, None, met, alive.count()
     while True:
         pairs = _dealt(alive, low, high, partitions).mapInArrow(_pairs(high, similarity), "a long, b long")
         if compared is None:
             compared = pairs = written(pairs.unionByName(first).distinct(), "pairs")
         else:
-            pairs = written(pairs.distinct().join(compared.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+            with shuffles_for(texts.sparkSession, max(rows, compared.count())):
+                pairs = written(pairs.distinct().join(compared.hint("merge"), ["a", "b"], "left_anti"), "pairs")
             compared = compared.unionByName(pairs)
-            discard(roots)
-        more = _links(texts, pairs, width, similarity)
-        links = more if links is None else links.unionByName(more)
-        roots = components(links)
-        # ranks have no gaps: one row of this rank for each bucket that is not yet done
-        open_ = alive.where(F.col("rank") == high + 1).select("key")
-        left = alive.drop("root").join(open_.hint("merge"), "key", "left_semi").join(roots.hint("merge"), F.col("copy") == roots["node"], "left")
-        left = left.select("key", "copy", F.coalesce("root", "copy").alias("root"), "n", "pos", "rank")
-        mixed_ = left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        alive = written(left.join(mixed_.hint("merge"), "key", "left_semi"), "alive")
-        discard(*spent)
-        spent = [alive]
-        if alive.isEmpty():
+        links = _links(texts, pairs, width, similarity)
+        found = links.count()
+        if roots is None:
+            roots = components(links, found)
+        elif found:
+            # what was linked before is in the roots
+            older, roots = roots, components(roots.toDF("a", "b").unionByName(links), roots.count() + found)
+            discard(older)
+        discard(links)
+        with shuffles_for(texts.sparkSession, rows):
+            left = alive.drop("root").join(roots.hint("merge"), F.col("copy") == roots["node"], "left").select("key", "copy", F.coalesce("root", "copy").alias("root"), "n", "pos", "rank")
+            # buckets of several components in which some member has not yet had its turn
+            open_ = left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("rank").alias("last"), F.count("*").alias("rows")).where(F.expr("x <> y") & (F.col("last") > high))
+            open_ = written(open_.select("key", "rows"), "open")
+            alive = written(spread_join(left, open_.select("key"), "key", hot_values(open_, "key", "rows"), "copy"), "alive")
+        discard(spent, open_)
+        spent, rows = alive, alive.count()
+        if not rows:
             return roots
+        with shuffles_for(texts.sparkSession, rows):
+            partitions = shuffle_partitions(texts.sparkSession)
         low, high = high, high + 8 * max(1, high - low)
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key that holds over 1 / HOT_PART of all rows is hot, so there are fewer than HOT_PART hot keys. Their rows are dealt over SALTS parts.
 HOT_PART, SALTS = 256, 64
+#: A shuffle of few rows has so many partitions, or the session's number if that is smaller.
+FEW_PARTITIONS = 8
 
 _folders: dict[str, SparkSession] = {}
 
@@ -24,6 +28,18 @@ def partitions_for(rows: DataFrame, size: Column, share: int) -> int:
     return max(shuffle_partitions(rows.sparkSession), -(-int(total) // share))
 
 
+@contextmanager
+def shuffles_for(spark: SparkSession, rows: int, share: int = 100_000) -> Iterator[None]:
+    """Jobs run inside shuffle into one partition for each `share` of so many rows, FEW_PARTITIONS at least, whatever the session's number."""
+    setting = "spark.sql.shuffle.partitions"
+    session = spark.conf.get(setting)
+    spark.conf.set(setting, str(max(min(int(session), FEW_PARTITIONS), -(-rows // share))))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, session)
+
+
 def hot_values(counted: DataFrame, key: str, n: str, total: int | None = None) -> list:
     """The keys (one a row of `counted`, with n rows each) that hold over 1 / HOT_PART of all rows (their `total`, if known): fewer than HOT_PART of them."""
     if total is None:
