@@ -49,7 +49,9 @@ def hot_values(counted: DataFrame, key: str, n: str, total: int | None = None) -
 
 def spread_join(many: DataFrame, few: DataFrame, key: str, hot: list, by: str) -> DataFrame:
     """many join few (one row a key) on key, neither broadcast; rows of hot keys are dealt over SALTS parts by a hash of `by`, with a copy of few's row in each."""
-    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    if not hot:
+        return many.join(few.hint("merge"), key)
+    is_hot = F.col(key).isin(hot)
     salted = many.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0))
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     return salted.join(few.withColumn("__salt", F.explode(salts)).hint("merge"), [key, "__salt"]).drop("__salt")
