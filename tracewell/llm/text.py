@@ -9,7 +9,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,18 @@ from pyspark.sql import types as T
 #: White space of the word pattern [^\x20\x09-\x0D]+ (fixed values).
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
-_IS_SEPARATOR = np.zeros(256, bool)
-_IS_SEPARATOR[list(SEPARATORS)] = True
+
+
+def byte_table(codes: Iterable[int]) -> np.ndarray:
+    """Truth of each byte: whether it is one of codes."""
+    table = np.zeros(256, bool)
+    table[list(codes)] = True
+    return table
+
+
+_IS_SEPARATOR = byte_table(SEPARATORS)
+#: What is no term: all of ASCII but digits and letters.
+NO_TERM = byte_table(b for b in range(128) if not chr(b).isalnum())
 
 
 def once(key: str, make: Callable[[], object]) -> object:
@@ -88,12 +98,14 @@ class Words:
 
     flat: every word followed by one space; begin: byte offset of each word in flat (one more at the end);
     of: index of each text's first word (one more at the end); codes and unique: dictionary of the words.
+    separators: which bytes are between words (the space must be one of them); breaks: which of those end a piece as well, so that
+    broken[i] tells whether word i begins a piece or a text.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, separators: np.ndarray = _IS_SEPARATOR, breaks: np.ndarray | None = None):
         texts = pc.binary_join_element_wise(texts, pa.scalar("", texts.type), pa.scalar(" ", texts.type))
         data, offsets = bytes_of(texts)
-        apart = _IS_SEPARATOR[data]
+        apart = separators[data]
         before = np.empty_like(apart)
         before[1:] = apart[:-1]
         before[:1] = True
@@ -104,11 +116,15 @@ class Words:
         if lower:
             capital = (flat >= 65) & (flat <= 90)
             flat = np.where(capital, flat + 32, flat).astype(np.uint8)
-        ends = np.flatnonzero(_IS_SEPARATOR[flat])
+        ends = np.flatnonzero(separators[flat])
         flat[ends] = 0x20
         self.flat = flat
         self.begin = np.concatenate(([0], ends + 1)).astype(np.int64)
-        self.of = np.searchsorted(np.flatnonzero(begins), offsets).astype(np.int64)
+        starts = np.flatnonzero(begins)
+        self.of = np.searchsorted(starts, offsets).astype(np.int64)
+        if breaks is not None:
+            self.broken = np.diff(np.cumsum(breaks[data])[starts], prepend=-1) > 0
+            self.broken[self.of[:-1][self.of[:-1] < len(starts)]] = True
         self._codes: np.ndarray | None = None
         self._unique: pa.Array | None = None
 
