@@ -50,8 +50,7 @@ def _runs(words: Words, h: np.ndarray, length: int, wanted: np.ndarray) -> tuple
     new |= within % length == 0
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(at)))
-    flat, lo, hi = words.flat.tobytes(), words.begin[at[first]].tolist(), (words.begin[at[first] + count + length - 1] - 1).tolist()
-    return doc[at[first]], at[first], fp[first].view(np.int64), pa.array([flat[a:b].decode() for a, b in zip(lo, hi)], pa.string())
+    return doc[at[first]], at[first], fp[first].view(np.int64), words.runs(at[first], count + length - 1)
 
 
 def _whole(words: Words, length: int) -> np.ndarray:
@@ -67,13 +66,10 @@ def _windows_of_items(window: int):
             of_item = np.minimum(np.diff(words.of), window)
             for length in np.unique(of_item[of_item > 0]).tolist():
                 wanted = np.repeat(of_item == length, np.diff(words.of)) & _whole(words, length)
-                # a window that stands alone is a run of its own
                 at = np.flatnonzero(wanted)
-                doc = np.searchsorted(words.of, at, "right") - 1
-                flat, lo, hi = words.flat.tobytes(), words.begin[at].tolist(), (words.begin[at + length] - 1).tolist()
-                texts = pa.array([flat[a:b].decode() for a, b in zip(lo, hi)], pa.string())
+                item = ids.take(pa.array(np.searchsorted(words.of, at, "right") - 1))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(doc)), pa.array(np.full(len(at), length, np.int32)), pa.array(winnowed(h, length)[at].view(np.int64)), texts], ["item", "length", "fp", "window"]
+                    [item, pa.array(np.full(len(at), length, np.int32)), pa.array(winnowed(h, length)[at].view(np.int64)), words.runs(at, length)], ["item", "length", "fp", "window"]
                 )
 
     return run
@@ -142,7 +138,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep_
     starts = F.sequence(F.lit(0), F.size("words") - F.col("length"))
     extended = hits.select("key", "length", words.alias("words")).select("key", "length", "words", F.explode(starts).alias("at"))
     extended = extended.select("key", "length", "at", F.array_join(F.slice("words", F.col("at") + 1, F.col("length")), " ").alias("window"))
-    id_ = F.struct(F.xxhash64("window").alias("a"), F.xxhash64(F.lit("window"), "window").alias("b"))  # 128 bits
+    id_ = F.md5(F.encode("window", "UTF-8"))  # 128 bits
     equal = _spread(extended, windows.select("window").distinct(), "window", "key").withColumn("id", id_)
     held = written(equal.groupBy("key").agg(F.collect_list(F.struct("at", "length", "id")).alias("held")), "held")  # `length` windows a run at most
 
@@ -153,7 +149,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep_
     # a document's lists are no longer than its words
     ids = returned.groupBy("row").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     by_row = _spans(returned.select("row", "start", "end")).join(ids.hint("merge"), "row")
-    by_row = written(by_row.select("row", "spans", "ids", F.sha2(F.to_json("ids"), 256).alias("set")), "hit-rows")
+    by_row = written(by_row.select("row", "spans", "ids", F.sha2(F.concat_ws(" ", "ids"), 256).alias("set")), "hit-rows")
 
     sets = by_row.groupBy("set").agg(F.count("*").alias("n"), F.first("ids").alias("ids"))
     owners = windows.select(id_.alias("id"), "item").groupBy("id").agg(F.collect_set("item").alias("owners"))

@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import language_id, toxicity
+from tracewell.llm.collocations import collocations
 from tracewell.llm.decontamination import decontaminate
 from tracewell.llm.exact_search import top_k
+from tracewell.llm.lexical_search import build_index, search
 from tracewell.llm.packing import pack
 from tracewell.llm.revisits import resolve
 from tracewell.llm.sampling import fold
 from tracewell.llm.sentencepiece_bpe import encode_decode
 from tracewell.llm.sharding import shuffled, write_shards
 from tracewell.llm.simhash import hex_fingerprint, simhash_components
-from tracewell.llm.store import new_path
+from tracewell.llm.store import discard, new_path
 from tracewell.llm.syncmers import fingerprints_and_edits
 from tracewell.llm.substring_dedup import substring_dedup
 
@@ -96,6 +98,17 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = build_index(documents(spark, sf_dir))
+    found = search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    discard(index.blocks)  # the answers are written
+    return found
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir)).drop("words", "cut")
+
+
 def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=False)
     ids = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
@@ -113,10 +126,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_collocations": op12_collocations,
     "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_lexical_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT row_number() OVER () AS i, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+        c AS (SELECT count(*) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM d WHERE len(w) > 0),
+        p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+        q AS (SELECT i, item_id, unnest(w) AS t FROM b),
+        f AS (SELECT t, CAST(floor(1000 * ln((2 * N + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, c GROUP BY t, N),
+        s AS (SELECT i, item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w) * N) // L)))) AS BIGINT) AS score
+            FROM q JOIN p USING (t) JOIN f USING (t) JOIN d USING (r), c GROUP BY i, item_id, r, doc_id)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+    """,
+    "op12_collocations": r"""
+        WITH p AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(x, '[^\x20\x09]+') AS w
+            FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents)),
+        g AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+        f AS (SELECT lang, k, g, array_to_string(g, ' ') AS phrase, count(*) AS a FROM g GROUP BY lang, k, g),
+        n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+        u AS (SELECT c.lang, c.phrase, c.a, j, l.a AS l, r.a AS r, (1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a) AS score
+            FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f l ON l.lang = c.lang AND l.g = c.g[:j] JOIN f r ON r.lang = c.lang AND r.g = c.g[j + 1:]),
+        b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM u) WHERE o = 1),
+        x AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, array_to_string(g[:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(g[2:], ' '), a FROM c WHERE k = 3) GROUP BY lang, phrase)
+        SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+            FROM b LEFT JOIN x USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a) JOIN n USING (lang) WHERE rank <= 2000
+    """,
     "op13_benchmark_decontamination": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

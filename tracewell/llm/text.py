@@ -149,6 +149,13 @@ class Words:
             self._encode()
         return self._unique
 
+    def runs(self, first: np.ndarray, words: int | np.ndarray) -> pa.Array:
+        """Each run of so many words from word first on, joined by one space."""
+        lo, hi = self.begin[first], self.begin[first + words] - 1
+        data = self.flat[spans(lo, hi - lo)]
+        ends = np.concatenate(([0], np.cumsum(hi - lo))).astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
         own = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in self.unique.to_pylist()), np.uint64, len(self.unique))
