@@ -56,15 +56,19 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     Each round links every node to the least of its neighbours, by an aggregate with map-side combine and a join that deals the edges of
     hot nodes over many tasks, so a star of any size is no group in one task. Rounds grow with the logarithm of the longest path;
     a graph that is all stars around their least nodes takes none. Before each round tasks contract what edges they read, in chunks, to stars;
-    that keeps the components and saves rounds. Partitions follow the number of edges. Ends are longs.
+    that keeps the components and saves rounds. Once all edges fit into one chunk (CHUNK, 8 MB) the task that contracts it ends the work. Partitions follow the number of edges. Ends are longs.
     Edges are written to the shared folder between rounds. Null ends and loops are dropped; repeated edges count once.
     """
     spark = edges.sparkSession
     edges = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    edges = edges.mapInArrow(_contracted, "a long, b long").distinct()
+    edges = edges.mapInArrow(_contracted, "a long, b long")
     with shuffles_for(spark, rows) if rows is not None else nullcontext():
-        edges = written(edges, "edges")
+        edges = written(edges if rows is not None and rows <= CHUNK else edges.distinct(), "edges")
     while total := 2 * edges.count():
+        if total <= 2 * CHUNK:
+            older, edges = edges, written(edges.coalesce(1).mapInArrow(_contracted, "a long, b long"), "edges")
+            discard(older)
+            break
         with shuffles_for(spark, total):
             both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))

@@ -1,6 +1,6 @@
 """Groups of near copies at a Jaccard similarity of word shingles: SimHash blocks first, exact prefixes of shingle sets for what those cannot promise.
 
-1. Equal texts are one class. Each class has its SimHash fingerprint of operator 10; classes of one fingerprint, and of fingerprints that its pigeonhole blocks
+1. Texts of equal 128-bit hashes are one class. Each class has its SimHash fingerprint of operator 10; classes of one fingerprint, and of fingerprints that its pigeonhole blocks
    link (3 bits at most), are candidates. Near copies of 0.8 differ in up to 16 bits, so these are only the closest.
 2. In one order of all shingles, two sets of the given similarity share a shingle within their first n - ceil(similarity * n) + 1. Classes meet on each of
    those, so no pair of the given similarity is missed, whatever its edits and however many documents there are. Shingles that a sample shows to be common
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
@@ -237,7 +237,7 @@ def _verified(width: int, similarity: float):
 def _common(texts: DataFrame, width: int) -> np.ndarray:
     """Shingles that many texts of a sample hold, ascending. They only set the order of shingles."""
     part = max(1, texts.count() // SAMPLE)
-    counted = texts.where(F.pmod("copy", F.lit(part)) == 0).select("copy", "blob").mapInArrow(_all_shingles(width), "key long").groupBy("key").agg(F.count("*").alias("n"))
+    counted = texts.where(F.pmod(F.xxhash64("copy"), F.lit(part)) == 0).select("copy", "blob").mapInArrow(_all_shingles(width), "key long").groupBy("key").agg(F.count("*").alias("n"))
     rows = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(COMMON_MOST).toArrow()
     return np.sort(rows.column("key").to_numpy().view(np.uint64))
 
@@ -312,28 +312,36 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches, "text", 2 << 20):
         texts = plain(piece, "text")
         own = majority_bits(*shingle_hashes(Words(texts, lower=True), FINGERPRINT_WORDS))
-        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(own.view(np.int64)), pa.array([press.compress(x.encode()) for x in texts.to_pylist()], pa.binary())], ["copy", "fp", "blob"])
+        yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(own.view(np.int64)), pa.array([press.compress(x.encode()) for x in texts.to_pylist()], pa.binary())], ["h", "h2", "fp", "blob"])
+
+
+def _identity(text: str) -> list[Column]:
+    """128 bits that stand for a text (a null one is empty)."""
+    whole = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(whole).alias("h"), F.xxhash64(F.lit("second"), whole).alias("h2")]
 
 
 def kept_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, copy) of the document to keep of each group; copy is the xxhash64 of the text.
+    """(doc_id, h, h2) of the document to keep of each group; h and h2 are 128 bits of hash of its text.
 
-    Groups are the components of links at `similarity` or more. The document with the least doc_id stays (null ids last, then by copy).
+    Groups are the components of links at `similarity` or more. The document with the least doc_id stays (null ids last, then by hash).
     Rows that agree in doc_id and text are one document. Null and empty texts have no shingles: they are copies of each other
     and of nothing else. An empty table gives an empty table.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy"), "text")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_identity("text"), "text")
     # texts without words have no shingles; they are one group
     blank = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
-    texts = base.where(~blank).select("copy", "text").mapInArrow(_read, "copy long, fp long, blob binary").groupBy("copy").agg(F.first("fp").alias("fp"), F.first("blob").alias("blob"))
-    texts = written(texts, "texts")
-    roots = similar_roots(texts, width, similarity)
+    texts = base.where(~blank).select("h", "h2", "text").mapInArrow(_read, "h long, h2 long, fp long, blob binary").groupBy("h", "h2").agg(F.first("fp").alias("fp"), F.first("blob").alias("blob"))
+    # different texts get different numbers, whatever their hashes
+    texts = written(texts.withColumn("copy", F.monotonically_increasing_id()), "texts")
+    roots = similar_roots(texts.select("copy", "fp", "blob"), width, similarity)
     # least documents, first of each text and then of each group: sums of few rows a key, whatever the size of a group
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
-    each = base.groupBy("copy", blank.alias("blank")).agg(F.min(order).alias("kept"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "h2")
+    each = base.groupBy("h", "h2", blank.alias("blank")).agg(F.min(order).alias("kept"))
+    each = each.join(texts.select("h", "h2", "copy").hint("merge"), ["h", "h2"], "left")
     grouped = each.join(roots.hint("merge"), each["copy"] == roots["node"], "left")
-    root = F.when(F.col("blank"), F.lit(0)).otherwise(F.coalesce("root", "copy"))
-    kept = written(grouped.groupBy("blank", root.alias("root")).agg(F.min("kept").alias("kept")).select("kept.doc_id", "kept.copy"), "kept")
+    root = F.when(F.col("blank"), F.lit(-1)).otherwise(F.coalesce("root", "copy"))
+    kept = written(grouped.groupBy(root.alias("root")).agg(F.min("kept").alias("kept")).select("kept.doc_id", "kept.h", "kept.h2"), "kept")
     discard(texts, roots)
     return kept
 
@@ -344,12 +352,12 @@ def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     Other columns of docs stay, whatever their names.
     """
     null_id = F.lit(-(2**63))
-    kept = kept_documents(docs, width, similarity).select(F.coalesce("doc_id", null_id).alias("doc"), F.col("doc_id").isNull().alias("none"), F.col("copy").alias("copy"))
+    kept = kept_documents(docs, width, similarity).select(F.coalesce("doc_id", null_id).alias("doc"), F.col("doc_id").isNull().alias("none"), "h", "h2")
     # the columns travel under numbers, so that no name can clash
     numbers = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index("text")
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, numbers)])
-    own = own.select("doc", F.col("doc").isNull().alias("none"), F.xxhash64(F.coalesce(f"c{at}", F.lit(""))).alias("copy"), *numbers).withColumn("doc", F.coalesce("doc", null_id))
+    own = own.select("doc", F.col("doc").isNull().alias("none"), *_identity(f"c{at}"), *numbers).withColumn("doc", F.coalesce("doc", null_id))
     # kept documents grow with the input, so they aren't broadcast; repeated rows are joined into one before they are dealt
-    single = squeezed(own, f"c{at}").dropDuplicates(["doc", "none", "copy"]).join(kept.hint("merge"), ["doc", "none", "copy"], "left_semi")
+    single = squeezed(own, f"c{at}").dropDuplicates(["doc", "none", "h", "h2"]).join(kept.hint("merge"), ["doc", "none", "h", "h2"], "left_semi")
     return unsqueezed(single.select(*numbers), f"c{at}").toDF(*docs.columns)
