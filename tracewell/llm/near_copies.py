@@ -5,9 +5,9 @@
 2. In one order of all shingles, two sets of the given similarity share a shingle within their first n - ceil(similarity * n) + 1. Classes meet on each of
    those, so no pair of the given similarity is missed, whatever its edits and however many documents there are. Shingles that a sample shows to be common
    come last in the order; that saves work and decides nothing.
-3. The members of a bucket of up to SMALL are compared at once. In a larger one the first member is compared with all others, then the next eight, sixty-four and so
-   on, each with all behind it, until all members are in one component or every pair has been compared. Pairs of one component are passed over. Large groups of
-   close classes are thus done in a round or two.
+3. The members of a bucket of up to SMALL are compared at once. In a larger one the first member is compared with all others, then the next 64, 4096 and so on,
+   each with all behind it, until all members are in one component or every pair has been compared. Pairs of one component are passed over. Large groups of
+   close classes are thus done in a round or two; when few comparisons are left in all buckets, the next round makes them all.
    A bucket over CHUNK members is dealt in chunks, and the members whose turn it is are sent to each of them, so no task holds a hot bucket.
 4. Pairs are compared by their whole shingle sets, built anew from the two texts.
 5. Components of the links are the groups.
@@ -35,9 +35,12 @@ SAMPLE, COMMON, COMMON_MOST = 10_000, 3, 100_000
 SMALL, CHUNK = 8, 50_000
 #: The ends of up to so many pairs (two longs each) are broadcast to find their texts; those of more are joined by a shuffle.
 FEW_PAIRS = 100_000
+#: Once no more comparisons than this are left in all buckets together, they are all made in one round.
+FEW_COMPARISONS = 200_000
 #: Words of a fingerprint's shingles.
 FINGERPRINT_WORDS = 3
 _EPS = 1e-9
+_ALL = 1 << 60
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -292,19 +295,25 @@ def similar_roots(texts: DataFrame, width: int, similarity: float) -> DataFrame:
             older, roots = roots, components(roots.toDF("a", "b").unionByName(links), roots.count() + found)
             discard(older)
         discard(links)
+        if high == _ALL:
+            discard(spent)
+            return roots
         with shuffles_for(texts.sparkSession, rows):
             left = alive.drop("root").join(roots.hint("merge"), F.col("copy") == roots["node"], "left").select("key", "copy", F.coalesce("root", "copy").alias("root"), "n", "pos", "rank")
             # buckets of several components in which some member has not yet had its turn
             open_ = left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("rank").alias("last"), F.count("*").alias("rows")).where(F.expr("x <> y") & (F.col("last") > high))
             open_ = written(open_.select("key", "rows"), "open")
-            alive = written(spread_join(left, open_.select("key"), "key", hot_values(open_, "key", "rows"), "copy"), "alive")
+            n = F.col("rows")
+            rows, comparisons = open_.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0))).first()
+            if not rows:
+                discard(spent, open_)
+                return roots
+            alive = written(spread_join(left, open_.select("key"), "key", hot_values(open_, "key", "rows", rows), "copy"), "alive")
         discard(spent, open_)
-        spent, rows = alive, alive.count()
-        if not rows:
-            return roots
+        spent = alive
         with shuffles_for(texts.sparkSession, rows):
             partitions = shuffle_partitions(texts.sparkSession)
-        low, high = high, high + 8 * max(1, high - low)
+        low, high = high, _ALL if comparisons <= FEW_COMPARISONS else high + 64 * (high - low)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
