@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.store import shuffle_partitions
-from tracewell.llm.text import Words, mixed, pieces, plain, run_hash, spans, squeezed, window_least
+from tracewell.llm.text import Words, map_large_arrays, mixed, pieces, plain, run_hash, spans, squeezed, window_least
 
 WINDOW = 20
 #: Words of a minimiser.
@@ -86,6 +86,7 @@ def _pack(window: int, partitions: int, hot: list[int]):
     hot_keys = np.sort(np.array(hot, np.int64).view(np.uint64)) if hot else np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        map_large_arrays()
         press = zstandard.ZstdCompressor(level=6)
         for piece in pieces(batches, "text", 2 << 20):
             words = Words(plain(piece, "text"))
@@ -208,6 +209,7 @@ def _repeats_of(blobs: list[bytes], window: int) -> pa.RecordBatch | None:
 
 def _judge(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        map_large_arrays()
         bucket, blobs = None, []
         for batch in batches:
             subs = batch.column(1).to_numpy(zero_copy_only=False)
@@ -241,6 +243,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _strip(keep_text: bool, window: int, schema: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        map_large_arrays()
         opened = zstandard.ZstdDecompressor()
         for piece in pieces(batches, "text", 2 << 20):
             words = Words(pa.array([opened.decompress(x).decode() if x is not None else "" for x in piece.column(piece.schema.get_field_index("text")).to_pylist()], pa.string()))
