@@ -12,7 +12,7 @@ from tracewell.functions import text as X
 from tracewell.functions.vectors import mean_vector
 from tracewell.operators import aggregates as A
 from tracewell.operators import joins as J
-from tracewell.operators import kernels
+from tracewell.operators import kernels, moments
 from tracewell.operators import selection as K
 from tracewell.operators import windows as W
 from tracewell.operators.rules import Rule, evaluated, unresolved
@@ -226,9 +226,9 @@ def test_dense_kernels(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(40, 4))
     df = spark.createDataFrame([(1, i, [float(v) for v in row], [float(2 * row[0] + 1)]) for i, row in enumerate(x)], "t long, f long, v array<double>, y array<double>")
-    summary = kernels.shape_summary(df, ["t"], "f", "v").first()
+    summary = moments.shape_summary(df, ["t"], "f", "v").first()
     assert np.allclose(summary["centre"], np.median(x, 0)) and abs(summary["drift"] - math.sqrt(((np.median(x[:20], 0) - np.median(x[20:], 0)) ** 2).mean())) < 1e-12
-    fit = kernels.ridge(df, ["t"], "v", "y").first()
+    fit = moments.ridge(df, ["t"], "v", "y").first()
     assert abs(fit["intercept"][0] - 1) < 0.05 and fit["explained"] > 0.99
     two = kernels.two_means(track(spark, [1.0, 1.1, 0.9, 5.0, 5.1, None]), ["t"], "x").first()
     assert two["split"] and 2.5 < two["threshold"] < 3.5

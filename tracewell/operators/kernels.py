@@ -167,40 +167,6 @@ def two_means(rows: DataFrame, keys: Sequence[str], x: str, rounds: int = 20, fl
     return rows.select(*keys, x).groupBy(*keys).applyInPandas(run, ddl)
 
 
-def shape_summary(rows: DataFrame, keys: Sequence[str], order: str, vector: str, parts: int = 3) -> DataFrame:
-    """keys, n, centre, drift, explained, residual: the entry-wise median of a track's vectors, the root mean square between its halves' medians (at least 5
-    rows each), the share of variance in each of the first `parts` principal components, and the root mean square left after them."""
-    ddl = f"{_keys_ddl(rows, keys)}, n int, centre array<double>, drift double, explained array<double>, residual double"
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(group.sort_values(order)[vector].to_numpy()).astype(float)
-        half = len(x) // 2
-        drift = float(np.sqrt(((np.median(x[:half], 0) - np.median(x[half:], 0)) ** 2).mean())) if half >= 5 else None
-        rest = x - x.mean(0)
-        left, size, right = np.linalg.svd(rest, full_matrices=False)
-        share = (size**2 / max((size**2).sum(), 1e-12))[:parts]
-        rest = rest - (left[:, :parts] * size[:parts]) @ right[:parts]
-        row = [*(group[k].iloc[0] for k in keys), len(x), np.median(x, 0), drift, share, float(np.sqrt((rest**2).mean()))]
-        return pd.DataFrame([row], columns=[*keys, "n", "centre", "drift", "explained", "residual"])
-
-    return rows.select(*keys, order, vector).groupBy(*keys).applyInPandas(run, ddl)
-
-
-def ridge(rows: DataFrame, keys: Sequence[str], inputs: str, outputs: str, strength: float = 0.01) -> DataFrame:
-    """keys, n, intercept, explained: ridge regression of one vector column on another, the intercept not held; the intercept is the output at input zero."""
-    ddl = f"{_keys_ddl(rows, keys)}, n int, intercept array<double>, explained double"
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = (np.stack(group[c].to_numpy()).astype(float) for c in (inputs, outputs))
-        mx, my = x.mean(0), y.mean(0)
-        held = (x - mx).T @ (x - mx) + strength * len(x) * np.eye(x.shape[1])
-        w = np.linalg.solve(held, (x - mx).T @ (y - my))
-        left = ((y - my - (x - mx) @ w) ** 2).sum()
-        return pd.DataFrame([[*(group[k].iloc[0] for k in keys), len(x), my - mx @ w, float(1 - left / max(((y - my) ** 2).sum(), 1e-12))]], columns=[*keys, "n", "intercept", "explained"])
-
-    return rows.select(*keys, inputs, outputs).groupBy(*keys).applyInPandas(run, ddl)
-
-
 def palette(rows: DataFrame, keys: Sequence[str], colour: str, k: int = 5, least: int = 200, rounds: int = 15) -> DataFrame:
     """keys, colours (centre and share, largest first), chroma_at (of the most chromatic over 5 %), diversity (entropy, natural log); NULLs under `least` pixels."""
     ddl = f"{_keys_ddl(rows, keys)}, colours array<struct<lab: array<double>, share: double>>, chroma_at int, diversity double"

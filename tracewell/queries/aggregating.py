@@ -11,7 +11,7 @@ from tracewell.functions import numbers as N
 from tracewell.functions import text as X
 from tracewell.functions.vectors import mean_vector, normalised
 from tracewell.operators import aggregates as A
-from tracewell.operators import kernels
+from tracewell.operators import kernels, moments
 from tracewell.operators.windows import robust_z
 from tracewell.plans import catalog, evals, readings, subjects
 from tracewell.queries.book import CENTRES, FRAMES, VECTORS, Book, frames, rounded, table, vectors
@@ -393,16 +393,38 @@ def w13(spark: SparkSession, d: str) -> DataFrame:
     return kernels.segments(rows, KEYS, ["a", "b"])
 
 
-@BOOK.add("a14_shape_summary")
+@BOOK.add("a14_shape_summary", f"""WITH {VECTORS}, c AS (SELECT subject, count(*) AS n, list_sort(list(frame_idx))[count(*) // 2 + 1] AS cut FROM e GROUP BY 1), x AS (SELECT subject, frame_idx, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e),
+    m AS (SELECT subject, n, pos, median(x) AS m, median(x) FILTER (frame_idx < cut) AS a, median(x) FILTER (frame_idx >= cut) AS b FROM x JOIN c USING (subject) GROUP BY 1, 2, 3)
+    SELECT subject, n, round(max(m) FILTER (pos = 1), 6) AS first, CASE WHEN n // 2 >= 5 THEN round(sqrt(avg((a - b) * (a - b))), 6) END AS drift FROM m GROUP BY 1, 2""")
 def a14(spark: SparkSession, d: str) -> DataFrame:
-    out = kernels.shape_summary(vectors(spark, d), ["subject"], "frame_idx", "v")
-    return out.select("subject", "n", F.round(F.col("centre")[0], 6).alias("first"), F.round("drift", 6).alias("drift"), F.round(F.col("explained")[0], 6).alias("share"), F.round("residual", 6).alias("residual"))
-
-
-@BOOK.add("a18_ridge")
+    out = moments.shape_summary(vectors(spark, d), ["subject"], "frame_idx", "v")
+    return out.select("subject", "n", F.round(F.col("centre")[0], 6).alias("first"), F.round("drift", 6).alias("drift"))
+
+
+@BOOK.add("a16_components", """WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem), c AS (SELECT l_suppkey, median(x) AS cx, median(y) AS cy, count(*) AS n FROM r GROUP BY 1),
+    m AS (SELECT l_suppkey, n, cx, cy, sum((x - cx) * (x - cx)) AS a, sum((x - cx) * (y - cy)) AS b, sum((y - cy) * (y - cy)) AS d FROM r JOIN c USING (l_suppkey) GROUP BY 1, 2, 3, 4),
+    v AS (SELECT *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS l1 FROM m), u AS (SELECT *, (l1 - d) / sqrt((l1 - d) * (l1 - d) + b * b) AS ux, b / sqrt((l1 - d) * (l1 - d) + b * b) AS uy FROM v),
+    w AS (SELECT *, CASE WHEN (CASE WHEN abs(ux) >= abs(uy) THEN ux ELSE uy END) < 0 THEN -1 ELSE 1 END AS s, CASE WHEN (CASE WHEN abs(uy) >= abs(ux) THEN -uy ELSE ux END) < 0 THEN -1 ELSE 1 END AS t FROM u)
+    SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, round(s * ((x - cx) * ux + (y - cy) * uy), 4) AS first, round(t * ((y - cy) * ux - (x - cx) * uy), 4) AS second, round(l1 / (a + d), 6) AS share, round(sqrt((a + d) / n), 6) AS residual FROM r JOIN w USING (l_suppkey)""")
+def a16(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.array("l_quantity", F.col("l_extendedprice") / 1000).alias("v"))
+    fitted = moments.components(rows, ["l_suppkey"], "v", size=2)
+    named = fitted.select("l_suppkey", F.round(F.col("explained")[0], 6).alias("share"), F.round("residual", 6).alias("residual"))
+    scored = moments.component_scores(rows, fitted, ["l_suppkey"], "v").join(named, "l_suppkey")
+    return scored.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("scores")[0], 4).alias("first"), F.round(F.col("scores")[1], 4).alias("second"), "share", "residual")
+
+
+@BOOK.add("a18_ridge", """WITH r AS (SELECT l_suppkey, l_orderkey, l_discount * 10 AS x, l_quantity AS y1, l_tax * 100 AS y2 FROM lineitem), c AS (SELECT l_suppkey, count(*) AS n, list_sort(list(l_orderkey))[count(*) // 2 + 1] AS cut FROM r GROUP BY 1),
+    g AS (SELECT l_suppkey, n, unnest([0, CASE WHEN l_orderkey < cut THEN 1 ELSE 2 END]) AS part, x, y1, y2 FROM r JOIN c USING (l_suppkey)),
+    s AS (SELECT l_suppkey, n, part, count(*) AS k, avg(x) AS mx, avg(y1) AS m1, avg(y2) AS m2, var_pop(x) * count(*) AS xx, var_pop(y1) * count(*) AS v1, var_pop(y2) * count(*) AS v2, covar_pop(x, y1) * count(*) AS c1, covar_pop(x, y2) * count(*) AS c2 FROM g GROUP BY 1, 2, 3),
+    f AS (SELECT *, c1 / (xx + 0.01 * n) AS s1, c2 / (xx + 0.01 * n) AS s2, m1 - mx * c1 / (xx + 0.01 * n) AS i1, m2 - mx * c2 / (xx + 0.01 * n) AS i2 FROM s)
+    SELECT w.l_suppkey, w.n, round(w.i1, 6) AS i1, round(w.i2, 6) AS i2, round(w.s1, 6) AS slope, round(1 - (w.v1 - 2 * w.s1 * w.c1 + w.s1 * w.s1 * w.xx + w.v2 - 2 * w.s2 * w.c2 + w.s2 * w.s2 * w.xx) / (w.v1 + w.v2), 6) AS explained,
+        CASE WHEN a.k >= 30 THEN round(sqrt(((a.i1 - b.i1) * (a.i1 - b.i1) + (a.i2 - b.i2) * (a.i2 - b.i2)) / 2), 6) END AS drift
+    FROM f w LEFT JOIN f a ON a.l_suppkey = w.l_suppkey AND a.part = 1 LEFT JOIN f b ON b.l_suppkey = w.l_suppkey AND b.part = 2 WHERE w.part = 0""")
 def a18(spark: SparkSession, d: str) -> DataFrame:
-    own = vectors(spark, d).select("subject", F.slice("v", 1, 8).alias("x"), F.slice("v", 9, 56).alias("y"))
-    return kernels.ridge(own, ["subject"], "x", "y").select("subject", "n", F.round("explained", 6).alias("explained"))
+    own = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", F.array(F.col("l_discount") * 10).alias("x"), F.array("l_quantity", F.col("l_tax") * 100).alias("y"))
+    out = moments.ridge(own, ["l_suppkey"], "x", "y", "l_orderkey")
+    return out.select("l_suppkey", "n", F.round(F.col("intercept")[0], 6).alias("i1"), F.round(F.col("intercept")[1], 6).alias("i2"), F.round(F.col("coefficients")[0][0], 6).alias("slope"), F.round("explained", 6).alias("explained"), F.round("drift", 6).alias("drift"))
 
 
 @BOOK.add("a23_palette")

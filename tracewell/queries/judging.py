@@ -252,7 +252,7 @@ def f04(spark: SparkSession, d: str) -> DataFrame:
 
 @BOOK.add("a21_separation")
 def a21(spark: SparkSession, d: str) -> DataFrame:
-    from tracewell.operators.kernels import shape_summary
+    from tracewell.operators.moments import shape_summary
     from tracewell.plans.readings import separation
     from tracewell.queries.book import vectors
 
