@@ -13,6 +13,7 @@ from tracewell.functions.vectors import mean_vector
 from tracewell.operators import aggregates as A
 from tracewell.operators import joins as J
 from tracewell.operators import kernels, moments
+from tracewell.sources.published import read_published
 from tracewell.operators import selection as K
 from tracewell.operators import windows as W
 from tracewell.operators.rules import Rule, evaluated, unresolved
@@ -284,13 +285,15 @@ def test_sources(spark, tmp_path):
     path = f"{root}/gt"
     tables.upsert(spark, path, labels, ["clip", "frame", "role"], "ts", "seq", "flag")
     tables.upsert(spark, path, spark.createDataFrame([("c", 30, "r", None, 5, 9)], labels.schema), ["clip", "frame", "role"], "ts", "seq", "flag")
-    assert sorted((r["frame"], r["flag"]) for r in spark.read.parquet(path).collect()) == [(10, "neg"), (20, "pos")]
+    assert sorted((r["frame"], r["flag"]) for r in read_published(spark, path, labels.schema).collect()) == [(10, "neg"), (20, "pos")]
     (tmp_path / "log.jsonl").write_text('{"a": 1}\n\nbroken\n{"a": 2}\n')
     from pyspark.sql import types as T
 
     kind = T.StructType.fromDDL("a long")
     assert sorted(r["a"] for r in tables.read_records(spark, f"{root}/log.jsonl", kind).where("a is not null").collect()) == [1, 2]
     assert tables.read_records(spark, f"{root}/none.jsonl", kind).collect() == []
+    counted = tables.read_records(spark, f"{root}/log.jsonl", kind, broken="line").collect()
+    assert [r["line"] for r in counted if r["line"] is not None] == ["broken"] and len(counted) == 3
     with pytest.raises(ValueError, match="a is string"):
         schemas.require(spark.createDataFrame([("x",)], "a string"), kind)
     found = tables.provenance(spark, f"{root}/log.jsonl", "first")

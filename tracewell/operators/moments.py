@@ -192,7 +192,7 @@ def ridge(rows: DataFrame, keys: Sequence[str], inputs: str, outputs: str, order
     """
     own = rows.where(F.col(inputs).isNotNull() & F.col(outputs).isNotNull())
     own = own.withColumn("__half", F.lit(True)) if order is None else with_half(own, keys, order).withColumn("__half", F.coalesce("first_half", F.lit(False)))
-    wide = own.select(F.size(inputs)).first()
+    wide = rows.where(F.col(inputs).isNotNull() & F.col(outputs).isNotNull()).select(F.size(inputs)).first()
     ddl = f"{_ddl(rows, keys)}, n long, intercept array<double>, coefficients array<array<double>>, explained double, drift double"
     if wide is None:
         return rows.sparkSession.createDataFrame([], ddl)

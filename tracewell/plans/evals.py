@@ -30,6 +30,47 @@ def neighbour_pairs(ranked: DataFrame, keys: list[str], item: str) -> DataFrame:
     return pairs.select(*keys, F.when(swap, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("b"))
 
 
+def random_windows(wanted: DataFrame, spans: DataFrame, ranges: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """wanted (keys, rank, start, end) with at: the start of a window as long, in the key's range, that touches none of the key's spans (start, end); rows without room have none.
+
+    Starts run from `lo` to the last but one that fits before `hi` (ranges: keys, lo, hi). What the spans block is cut out of them, the gaps are numbered through, and a hash
+    of seed, keys and rank takes one number, so nothing is drawn twice, every free start is as likely, and any partitioning gives the same windows.
+    """
+    own = [*keys, "rank"]
+    base = wanted.select(*own, "start", "end", (F.col("end") - F.col("start")).alias("__n")).join(ranges, keys).withColumn("__stop", F.col("hi") - F.col("__n"))
+    blocked = base.join(spans.select(*keys, F.col("start").alias("__a"), F.col("end").alias("__b")), keys)
+    blocked = blocked.select(*own, "start", "end", "lo", "__stop", F.greatest(F.col("__a") - F.col("__n"), F.col("lo")).alias("__from"), F.col("__b").alias("__to")).where("__from < __stop and __to >= lo")
+    last = base.select(*own, "start", "end", "lo", "__stop", F.col("__stop").alias("__from"), F.col("__stop").alias("__to"))
+    w = Window.partitionBy(*own).orderBy("__from", "__to")
+    free = F.coalesce(F.max("__to").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.col("lo"))
+    gaps = blocked.unionByName(last).withColumn("__free", free).withColumn("__room", F.greatest(F.col("__from") - F.col("__free"), F.lit(0)))
+    gaps = gaps.withColumns({"__upto": F.sum("__room").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__room").over(Window.partitionBy(*own))})
+    number = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), *[F.col(k).cast("string") for k in own])), 1, 8), 16, 10).cast("long")
+    gaps = gaps.where(F.col("__all") > 0).withColumn("__pick", F.pmod(number, F.col("__all")))
+    inside = (F.col("__pick") < F.col("__upto")) & (F.col("__pick") >= F.col("__upto") - F.col("__room"))
+    return gaps.where(inside).select(*own, "start", "end", (F.col("__free") + F.col("__pick") - F.col("__upto") + F.col("__room")).alias("at"))
+
+
+def segment_pairs(segments: DataFrame, ride: DataFrame, keys: list[str], frame: str, seed: int = 11, shift: int = 12, tried: int = 2) -> DataFrame:
+    """keys, kind, a_start, a_end, b_start, b_end, system_pref: the pairs of segments that are put to a judge.
+
+    segments: keys, rank (from 1), start, end in frames; ride: the frames a window may lie in. adjacent: each segment and the next in rank; random: each of the first `tried` and a
+    window as long elsewhere; boundary: the first and itself `shift` frames later, if that is still within the ride. The system prefers the first of each; a hash swaps sides.
+    """
+    ranges = ride.groupBy(*keys).agg(F.min(frame).alias("lo"), F.max(frame).alias("hi"))
+    w = Window.partitionBy(*keys).orderBy("rank")
+    head = [*keys, "rank", "start", "end"]
+    adjacent = segments.select(*head, F.lead("start").over(w).alias("other"), F.lead("end").over(w).alias("other_end")).where("other is not null").withColumn("kind", F.lit("adjacent"))
+    chance = random_windows(segments.where(F.col("rank") <= tried), segments, ranges, keys, seed)
+    chance = chance.select(*head, F.col("at").alias("other"), (F.col("at") + F.col("end") - F.col("start")).alias("other_end"), F.lit("random").alias("kind"))
+    moved = segments.where("rank = 1").join(ranges, keys).where(F.col("end") + shift <= F.col("hi"))
+    moved = moved.select(*head, (F.col("start") + shift).alias("other"), (F.col("end") + shift).alias("other_end"), F.lit("boundary").alias("kind"))
+    named = F.concat_ws("/", F.lit(str(seed)), "kind", *[F.col(k).cast("string") for k in [*keys, "rank"]])
+    both = adjacent.unionByName(chance).unionByName(moved).withColumn("__flip", F.substring(F.md5(named), 1, 1) < "8")
+    side = lambda x, y: F.when(F.col("__flip"), F.col(y)).otherwise(F.col(x))
+    return both.select(*keys, "kind", side("start", "other").alias("a_start"), side("end", "other_end").alias("a_end"), side("other", "start").alias("b_start"), side("other_end", "end").alias("b_end"), F.when(F.col("__flip"), "b").otherwise("a").alias("system_pref"))
+
+
 def agreement(verdicts: DataFrame, lane: str) -> DataFrame:
     """lane, n, ties, agreement: the share of decided pairs in which the system's side won."""
     decided = F.col("winner").isin("a", "b")

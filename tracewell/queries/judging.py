@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import selection as K
 from tracewell.operators import windows as W
 from tracewell.operators.aggregates import merged_frames
-from tracewell.plans import gates, scores
+from tracewell.plans import gates, scores, workbench
 from tracewell.plans.presets import preset, preset_table
 from tracewell.queries.book import FRAMES, SIGNALS, Book, frames, rounded, signals, table
 
@@ -165,15 +165,46 @@ def q03(spark: SparkSession, d: str) -> DataFrame:
     return K.greedy_separated(rounded(scores.likeness(own, KEYS), "likeness"), KEYS, "frame_idx", "likeness", 3, 12)
 
 
-@BOOK.add("q13_workbench_picks", f"""WITH {SIGNALS}, r AS (SELECT track_id, frame_idx, blink, skin_entropy, (row_number() OVER (PARTITION BY track_id ORDER BY blur NULLS LAST, frame_idx) - 1) / greatest(count(*) {_T} - 1, 1) AS a, (row_number() OVER (PARTITION BY track_id ORDER BY em_conf NULLS LAST, frame_idx) - 1) / greatest(count(*) {_T} - 1, 1) AS b FROM s),
-    p AS (SELECT track_id, frame_idx, round((2 * a + b) / 3, 9) AS face FROM r WHERE (blink IS NULL OR blink <= 0.5) AND (skin_entropy IS NULL OR skin_entropy >= 4)), n AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY face DESC, frame_idx) AS n FROM p) SELECT track_id, frame_idx, face FROM n WHERE n = 1""")
-def q13(spark: SparkSession, d: str) -> DataFrame:
-    from tracewell.functions.numbers import passes
+_WIDE = f"""{SIGNALS}, lm AS (SELECT * FROM s WHERE frame_idx % 6 <> 5 AND track_id % 4 = 1), dt AS (SELECT track_id, frame_idx, em_conf AS e1, smile AS e2, 0.5 AS e3, sqrt(em_conf * em_conf + smile * smile + 0.25) AS len FROM s WHERE frame_idx % 3 <> 1),
+    cn AS (SELECT track_id, median(e1 / len) AS c1, median(e2 / len) AS c2, median(e3 / len) AS c3 FROM dt GROUP BY 1 HAVING count(*) >= 10),
+    wd AS (SELECT track_id // 4 AS clip_id, lm.track_id, lm.frame_idx, smile AS expr, jaw AS pupil, pitch AS sym, yaw, blur, CASE WHEN lm.frame_idx % 4 <> 0 THEN skin_entropy END AS micro, CASE WHEN lm.frame_idx % 4 <> 0 THEN mouth_vis END AS mv,
+        CASE WHEN lm.frame_idx % 4 <> 0 THEN eye_lum_rel * (1 - coalesce(blink, 0)) END AS lum_eff, CASE WHEN c1 IS NOT NULL THEN len END AS size, (e1 * c1 + e2 * c2 + e3 * c3) / len / sqrt(c1 * c1 + c2 * c2 + c3 * c3) AS coherence,
+        lm.frame_idx % 2 = 0 AND lm.frame_idx < 20 AS board, lm.frame_idx % 5 <> 4 AND wide_yaw > -40 AS valid FROM lm LEFT JOIN dt USING (track_id, frame_idx) LEFT JOIN cn USING (track_id)),
+    wk AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) FILTER (valid) {_T} AS n_valid FROM wd) WHERE valid OR n_valid < 10)"""
+
+
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    """signals() as the six sources of a workbench: four tracks a clip, the second of which is the main rider; each source lacks other frames."""
+    s = signals(spark, d).withColumn("clip_id", F.floor(F.col("track_id") / 4))
+    at, n = ["clip_id", "track_id", "frame_idx"], F.col("frame_idx")
+    return workbench.main_rider_frames(
+        s.select("clip_id", "track_id", F.when(F.col("track_id") % 4 == 1, "main").otherwise("guest").alias("role")),
+        s.where(n % 6 != 5).select(*at, F.col("smile").alias("expr"), F.col("jaw").alias("pupil"), F.col("pitch").alias("sym")),
+        s.where(n % 5 != 4).select(*at, (F.col("wide_yaw") > -40).alias("valid")),
+        s.select(*at, "yaw", "blur"),
+        s.where(n % 4 != 0).select(*at, *[F.col(a).cast("double").alias(b) for a, b in (("skin_entropy", "micro"), ("mouth_vis", "mv"), ("eye_lum_rel", "lum"), ("blink", "chi"))]),
+        s.where(n % 3 != 1).select(*at, F.array("em_conf", "smile", F.lit(0.5)).alias("embedding")),
+        s.where(n % 2 == 0).select(*at, F.when(n < 20, "boarding").otherwise("ride").alias("scene_phase")),
+    )
+
+
+@BOOK.add("j19_wide", f"WITH {_WIDE} SELECT clip_id, track_id, frame_idx, round(expr, 6) AS expr, round(pupil, 6) AS pupil, sym, round(yaw, 6) AS yaw, round(blur, 6) AS blur, round(micro, 6) AS micro, round(mv, 6) AS mv, round(lum_eff, 6) AS lum_eff, round(size, 6) AS size, round(coherence, 6) AS coherence, board FROM wk")
+def j19(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_wide(spark, d).drop("lum", "chi"), "expr", "pupil", "yaw", "blur", "micro", "mv", "lum_eff", "size", "coherence")
+
 
-    own = signals(spark, d).withColumns({"a": W.unit_rank(F.col("blur"), KEYS, "frame_idx"), "b": W.unit_rank(F.col("em_conf"), KEYS, "frame_idx")})
-    face = scores.state_blends([F.col("a"), F.col("b")] + [F.lit(0.0)] * 6)["face"]
-    own = own.where(passes({"blink": (None, 0.5), "skin_entropy": (4.0, None)})).withColumn("face", F.round(face, 9))
-    return K.greedy_separated(own, KEYS, "frame_idx", "face", 3, 12).where("pick = 1").select("track_id", "frame_idx", "face")
+def _low(x: str) -> str:
+    return f"(row_number() OVER (PARTITION BY track_id ORDER BY coalesce({x}, '-inf'::DOUBLE), frame_idx) - 1) / greatest(count(*) {_T} - 1, 1)"
+
+
+@BOOK.add("q13_workbench_picks", f"""WITH {_WIDE}, rk AS (SELECT *, 1 - (row_number() OVER (PARTITION BY track_id ORDER BY coalesce(expr, 'inf'::DOUBLE), frame_idx) - 1) / greatest(count(*) {_T} - 1, 1) AS r0,
+    {', '.join(f"{_low(x)} AS r{i}" for i, x in enumerate(("pupil", "blur", "micro", "size", "round(coherence, 9)", "mv", "lum_eff"), 1))} FROM wk),
+    sc AS MATERIALIZED (SELECT track_id, frame_idx, round(0.4 * (2 * r0 + r1) / 3 + 0.3 * r7 + 0.2 * (r2 + r3) / 2 + 0.1 * (r5 + r6 + r4) / 3, 6) AS score FROM rk WHERE (micro IS NULL OR micro >= 3.5) AND (expr IS NULL OR (expr >= 0.1 AND expr <= 0.8)) AND (mv IS NULL OR mv >= 0.002)),
+    {_in_turn('sc', 'score', 3, 12)} SELECT track_id // 4 AS clip_id, * FROM picked""")
+def q13(spark: SparkSession, d: str) -> DataFrame:
+    wide = _wide(spark, d).withColumn("coherence", F.round("coherence", 9))
+    screens = {"micro": (3.5, None), "expr": (0.1, 0.8), "mv": (0.002, None)}
+    return workbench.picked(wide, ["clip_id", "track_id"], "frame_idx", screens, {"face": 0.4, "light": 0.3, "image": 0.2, "distortion": 0.1}, places=6)
 
 
 @BOOK.add("q14_channels", f"""WITH {_GATES}, x AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frame_idx) AS i FROM g)
@@ -260,12 +291,47 @@ def a21(spark: SparkSession, d: str) -> DataFrame:
     return rounded(separation(shapes, "clip", "subject", "centre", "drift").drop("clip"), "gap", "ratio")
 
 
-@BOOK.add("e03_segment_pairs", f"""WITH {FRAMES}, r AS (SELECT track_id, frame_idx * 500 AS start, row_number() OVER (PARTITION BY track_id ORDER BY value DESC, frame_idx) AS rank FROM f), p AS (SELECT a.track_id, a.start AS a_start, b.start AS b_start FROM r a JOIN r b ON a.track_id = b.track_id AND b.rank = a.rank + 1 WHERE a.rank <= 3)
-    SELECT *, greatest(least(a_start + 3000, b_start + 3000) - greatest(a_start, b_start), 0) > 750 AS overlaps FROM p""")
+@BOOK.add("e03_segment_pairs", f"""WITH {FRAMES}, r AS (SELECT track_id, frame_idx AS a, frame_idx + 6 AS b, row_number() OVER (PARTITION BY track_id ORDER BY value DESC, frame_idx) AS rank, max(frame_idx) {_T} AS hi FROM f), g AS (SELECT * FROM r WHERE rank <= 3),
+    c AS (SELECT track_id, rank, a, b, s, row_number() OVER (PARTITION BY track_id, rank ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY track_id, rank) AS n FROM (SELECT *, unnest(range(0, hi - 6)) AS s FROM g WHERE rank <= 2) x WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.track_id = x.track_id AND x.s + 6 >= g.a AND x.s <= g.b)),
+    p AS (SELECT x.track_id, x.rank, 'adjacent' AS kind, x.a AS xa, x.b AS xb, y.a AS ya, y.b AS yb FROM g x JOIN g y ON x.track_id = y.track_id AND y.rank = x.rank + 1 UNION ALL
+        SELECT track_id, rank, 'random', a, b, s, s + 6 FROM c WHERE i = CAST('0x' || substr(md5('11/' || track_id || '/' || rank), 1, 8) AS BIGINT) % n UNION ALL SELECT track_id, rank, 'boundary', a, b, a + 12, b + 12 FROM g WHERE rank = 1 AND b + 12 <= hi),
+    q AS (SELECT *, substr(md5('11/' || kind || '/' || track_id || '/' || rank), 1, 1) < '8' AS flip FROM p)
+    SELECT track_id, kind, CASE WHEN flip THEN ya ELSE xa END AS a_start, CASE WHEN flip THEN yb ELSE xb END AS a_end, CASE WHEN flip THEN xa ELSE ya END AS b_start, CASE WHEN flip THEN xb ELSE yb END AS b_end, CASE WHEN flip THEN 'b' ELSE 'a' END AS system_pref FROM q""")
 def e03(spark: SparkSession, d: str) -> DataFrame:
-    from tracewell.operators.joins import overlap
+    from tracewell.plans.evals import segment_pairs
 
-    w = Window.partitionBy("track_id").orderBy(F.desc("value"), "frame_idx")
-    own = frames(spark, d).select("track_id", (F.col("frame_idx") * 500).alias("a_start"), F.lead(F.col("frame_idx") * 500).over(w).alias("b_start"), F.row_number().over(w).alias("rank"))
-    shared = overlap(F.col("a_start"), F.col("a_start") + 3000, F.col("b_start"), F.col("b_start") + 3000)
-    return own.where("rank <= 3 and b_start is not null").select("track_id", "a_start", "b_start", (shared > 750).alias("overlaps"))
+    f = frames(spark, d)
+    rank = F.row_number().over(Window.partitionBy("track_id").orderBy(F.desc("value"), "frame_idx"))
+    best = f.withColumn("rank", rank).where("rank <= 3").select("track_id", "rank", F.col("frame_idx").alias("start"), (F.col("frame_idx") + 6).alias("end"))
+    return segment_pairs(best, f, KEYS, "frame_idx", seed=11, shift=12)
+
+
+_SHAPE = f"""{SIGNALS}, n AS (SELECT *, count(*) {_T} AS n FROM s), r AS (SELECT track_id, frame_idx, n, frame_idx < n // 2 AS half, blur AS x, smile * 10 AS y, jaw AS u, smile, pitch, roll, yaw, em_conf FROM n),
+    c AS (SELECT track_id, n, median(x) AS cx, median(y) AS cy, sqrt((pow(median(x) FILTER (half) - median(x) FILTER (NOT half), 2) + pow(median(y) FILTER (half) - median(y) FILTER (NOT half), 2)) / 2) AS drift, avg(CAST(smile < 0.3 AS INT)) AS calm FROM r GROUP BY 1, 2),
+    m AS (SELECT track_id, c.n, cx, cy, drift, calm, sum((x - cx) * (x - cx)) AS a, sum((x - cx) * (y - cy)) AS b, sum((y - cy) * (y - cy)) AS d FROM r JOIN c USING (track_id) GROUP BY ALL),
+    v AS (SELECT *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS l1 FROM m), e AS (SELECT *, (l1 - d) / sqrt((l1 - d) * (l1 - d) + b * b) AS ux, b / sqrt((l1 - d) * (l1 - d) + b * b) AS uy FROM v),
+    w AS (SELECT *, CASE WHEN (CASE WHEN abs(ux) >= abs(uy) THEN ux ELSE uy END) < 0 THEN -1 ELSE 1 END AS sg FROM e),
+    k AS (SELECT track_id, corr(sg * ((x - cx) * ux + (y - cy) * uy), pitch) AS p, corr(sg * ((x - cx) * ux + (y - cy) * uy), roll) AS q FROM r JOIN w USING (track_id) GROUP BY 1),
+    t AS (SELECT track_id, avg(u) AS mu, avg(x) AS mx, avg(y) AS my, var_pop(u) * count(*) AS uu, covar_pop(u, x) * count(*) AS ux, covar_pop(u, y) * count(*) AS uy, var_pop(x) * count(*) AS xx, var_pop(y) * count(*) AS yy, 0.01 * count(*) AS h FROM r GROUP BY 1),
+    b AS (SELECT track_id, CASE WHEN abs(yaw) < 15 THEN 'frontal' WHEN yaw <= -15 THEN 'left' WHEN yaw >= 15 THEN 'right' END AS view, frame_idx, row_number() OVER (PARTITION BY track_id, CASE WHEN abs(yaw) < 15 THEN 'frontal' WHEN yaw <= -15 THEN 'left' WHEN yaw >= 15 THEN 'right' END ORDER BY em_conf DESC, frame_idx) AS i FROM r)"""
+
+
+@BOOK.add("q06_likeness", f"""WITH {_SHAPE}, {_in_turn('r', 'em_conf', 3, 12)}
+    SELECT w.track_id, w.n, CASE WHEN w.n // 2 >= 5 THEN round(drift, 6) END AS drift, round(sqrt((a + d) / w.n), 6) AS residual, round(l1 / (a + d), 6) AS share, CASE WHEN abs(p) >= abs(q) THEN 'pitch' ELSE 'roll' END AS goes_with, round(CASE WHEN abs(p) >= abs(q) THEN p ELSE q END, 6) AS how_much,
+        round(mx - mu * t.ux / (uu + h), 6) AS neutral, round(1 - (xx - 2 * t.ux / (uu + h) * t.ux + pow(t.ux / (uu + h), 2) * uu + yy - 2 * t.uy / (uu + h) * t.uy + pow(t.uy / (uu + h), 2) * uu) / (xx + yy), 6) AS explained, round(calm, 6) AS calm,
+        (SELECT string_agg(CAST(frame_idx AS VARCHAR), ',' ORDER BY pick) FROM picked WHERE picked.track_id = w.track_id) AS picks, (SELECT string_agg(view || ':' || frame_idx, ',' ORDER BY view) FROM b WHERE b.track_id = w.track_id AND i = 1 AND view IS NOT NULL) AS views
+    FROM w JOIN k USING (track_id) JOIN t USING (track_id)""")
+def q06(spark: SparkSession, d: str) -> DataFrame:
+    """The nested record of every track, opened to plain columns."""
+    from tracewell.plans.likeness import likeness_records
+
+    yaw = F.col("yaw")
+    view = F.when(F.abs(yaw) < 15, "frontal").when(yaw <= -15, "left").when(yaw >= 15, "right")
+    own = signals(spark, d).select("track_id", "frame_idx", F.array("blur", F.col("smile") * 10).alias("shape"), F.array(F.col("jaw").cast("double")).alias("blend"), (F.col("smile") < 0.3).alias("calm"), "pitch", "roll", view.alias("view"), F.col("em_conf").cast("double").alias("score"))
+    r = likeness_records(own, KEYS, "frame_idx", "shape", "blend", ["jaw"], ["pitch", "roll"], size=2, gap=12)
+    lead = F.filter("axes.found", lambda x: (x["component"] == "pc1") & (x["rank"] == 1))[0]
+    opened = {
+        "n": "shape.n", "drift": F.col("shape.drift") / 2**0.5, "residual": "components.residual", "share": F.col("components.explained")[0], "goes_with": lead["probe"], "how_much": lead["corr"], "neutral": F.col("neutral.intercept")[0],
+        "explained": "neutral.explained", "calm": "expression.calm_ratio", "picks": F.array_join("samples.frames", ","), "views": F.array_join(F.transform("views.found", lambda v: F.concat_ws(":", v["view"], v["frame_idx"])), ","),
+    }
+    return rounded(r.select("track_id", *[F.col(x).alias(n) if isinstance(x, str) else x.alias(n) for n, x in opened.items()]), "drift", "residual", "share", "how_much", "neutral", "explained", "calm")

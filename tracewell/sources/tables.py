@@ -9,13 +9,14 @@ from pyspark.sql import types as T
 from tracewell.sources.schemas import conformed, schema, without_nan
 
 
-def _path(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """(Hadoop file system, Hadoop path)."""
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
     return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    files, own = _path(spark, path)
+    files, own = file_system(spark, path)
     return files.exists(own)
 
 
@@ -34,12 +35,21 @@ def write_table(df: DataFrame, root: str, table: str) -> None:
     conformed(df, table).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("clip_id").parquet(f"{root}/{table}")
 
 
-def read_records(spark: SparkSession, path: str, layout: T.StructType, lines: bool = True) -> DataFrame:
-    """JSON records, one a line (blank and broken lines are passed over) or one a file; no file gives an empty table."""
+def read_records(spark: SparkSession, path: str, layout: T.StructType, lines: bool = True, broken: str | None = None) -> DataFrame:
+    """JSON records, one a line (blank lines are passed over) or one a file; no file gives an empty table.
+
+    Broken lines are passed over, unless `broken` names a column for them: it then holds the line as it is, and NULL for whole ones, so that they can be counted.
+    """
+    if broken is not None:
+        layout = T.StructType([*layout.fields, T.StructField(broken, T.StringType())])
     if not exists(spark, path):
         return spark.createDataFrame([], layout)
     reader = spark.read.schema(layout)
-    return (reader.option("mode", "DROPMALFORMED") if lines else reader.option("multiLine", True)).json(path)
+    if not lines:
+        return reader.option("multiLine", True).json(path)
+    if broken is None:
+        return reader.option("mode", "DROPMALFORMED").json(path)
+    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken).json(path)
 
 
 def append_records(df: DataFrame, path: str) -> None:
@@ -57,17 +67,13 @@ def latest(rows: DataFrame, keys: list[str], time: str, sequence: str, flag: str
     return rows.withColumn("__n", n).where(f"__n = 1 and {flag} is not null").drop("__n")
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], time: str, sequence: str, flag: str) -> None:
-    """latest() of what is there and what is new, put in place by two renames."""
-    old = spark.read.schema(rows.schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], rows.schema)
-    latest(old.unionByName(rows), keys, time, sequence, flag).write.mode("overwrite").parquet(f"{path}.next")
-    files, own = _path(spark, path)
-    _, new = _path(spark, f"{path}.next")
-    _, gone = _path(spark, f"{path}.gone")
-    if files.exists(own):
-        files.rename(own, gone)
-    files.rename(new, own)
-    files.delete(gone, True)
+def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], time: str, sequence: str, flag: str) -> int:
+    """latest() of the published version and of what is new, as the next version: its number. Conflict where another writer came between."""
+    from tracewell.sources.published import publish, read_published, version
+
+    before = version(spark, path)
+    old = read_published(spark, path, rows.schema)
+    return publish(latest(old.unionByName(rows), keys, time, sequence, flag), path, after=before)
 
 
 def manifest(rows: DataFrame, keys: list[str], order: str, least: int = 0) -> DataFrame:
