@@ -205,6 +205,10 @@ def test_rarity_matches_plain_numpy(spark):
     np.fill_diagonal(gap, np.inf)
     want = np.sort(gap, 1)[:, :5].mean(1)
     assert got[:3] == [None] * 3 and np.allclose(got[3:58], want) and got[58:] == [None] * 2
+    spread = kernels.rarity(df, ["t"], "f", ["a", "b"], 6, share=7)  # eight tasks for one track
+    assert column(spread, "rarity") == got
+    short = track(spark, [(float(a), float(b)) for a, b in x[:20]], "a double, b double").withColumn("t", F.lit(None).cast("long"))
+    assert column(kernels.rarity(short, ["t"], "f", ["a", "b"], 6), "rarity") == [None] * 20
 
 
 def test_canonical_shape_forgets_place_and_pose(spark):

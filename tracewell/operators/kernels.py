@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,32 +15,43 @@ def _keys_ddl(rows: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def rarity(rows: DataFrame, keys: Sequence[str], order: str, names: Sequence[str], window: int, least: int = 20) -> DataFrame:
+def rarity(rows: DataFrame, keys: Sequence[str], order: str, names: Sequence[str], window: int, least: int = 20, share: int = 4096) -> DataFrame:
     """keys, order, rarity: how far the mean state around a frame is from the states most like it.
 
     The mean over `window` rows, then the mean distance to its max(5, n / 10) nearest other windows; NULL where fewer than `least` windows fit.
-    Distances are taken in blocks, so memory is linear in the track.
+    A track's windows are dealt in shares of `share`, each of which meets all windows of the track in one task: the work, which grows with the square of a track, is spread,
+    and a task holds a track's means (a few doubles a frame) and blocks of distances of bounded size. Null keys are a track.
     """
-    ddl = f"{_keys_ddl(rows, keys)}, {order} {rows.schema[order].dataType.simpleString()}, rarity double"
-
-    def run(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values(order)
-        x = track[list(names)].to_numpy(float)
-        n = len(x) - window + 1
-        out = np.full(len(x), np.nan)
-        if n >= least:
-            total = np.vstack([np.zeros(x.shape[1]), np.cumsum(x, 0)])
-            mean = (total[window:] - total[:-window]) / window
-            k = max(5, n // 10)
-            square = (mean * mean).sum(1)
-            for a in range(0, n, 512):
-                block = mean[a : a + 512]
-                gap = np.sqrt(np.maximum(square[a : a + 512, None] + square[None, :] - 2 * block @ mean.T, 0))
-                gap[np.arange(len(block)), a + np.arange(len(block))] = np.inf
-                out[window // 2 + a : window // 2 + a + len(block)] = np.partition(gap, k - 1, axis=1)[:, :k].mean(1)
-        return track[[*keys, order]].assign(rarity=out)
-
-    return rows.select(*keys, order, *names).groupBy(*keys).applyInPandas(run, ddl).withColumn("rarity", F.nanvl("rarity", F.lit(None).cast("double")))
+    w = Window.partitionBy(*keys)
+    own = rows.select(*keys, F.col(order).alias("at"), F.array(*[F.col(n).cast("double") for n in names]).alias("x"))
+    numbered = own.withColumns({"i": F.row_number().over(w.orderBy("at")) - 1, "rows": F.count("*").over(Window.partitionBy(*keys))})
+    fits = F.col("rows") - window + 1
+    ahead = w.orderBy("at").rowsBetween(0, window - 1)
+    means = [(F.sum(F.col("x")[j]).over(ahead) / window).alias(f"m{j}") for j in range(len(names))]
+    begun = numbered.select(*keys, "i", "rows", *means).where((F.col("i") < fits) & (fits >= least))
+    ids = [f"k{i}" for i in range(len(keys))]
+    begun = begun.select(*[F.col(k).alias(n) for k, n in zip(keys, ids)], "i", F.array(*[f"m{j}" for j in range(len(names))]).alias("m"), F.ceil((F.col("rows") - window + 1) / share).cast("int").alias("parts"))
+    asked = begun.withColumn("part", F.floor(F.col("i") / share).cast("int"))
+    held = begun.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    head = ", ".join(f"{n} {rows.schema[k].dataType.simpleString()}" for n, k in zip(ids, keys))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        # a window is among those it meets: it stands at its own number
+        every = right.column("i").to_numpy()
+        mean = np.stack(right.column("m").to_numpy())[np.argsort(every)]
+        at = left.column("i").to_numpy().astype(np.int64)
+        k, square, out = max(5, len(mean) // 10), (mean * mean).sum(1), np.empty(len(at))
+        step = max(1, (1 << 22) // len(mean))
+        for a in range(0, len(at), step):
+            some = at[a : a + step]
+            gap = np.sqrt(np.maximum(square[some, None] + square[None, :] - 2 * mean[some] @ mean.T, 0))
+            gap[np.arange(len(some)), some] = np.inf
+            out[a : a + step] = np.partition(gap, k - 1, axis=1)[:, :k].mean(1)
+        return left.select(ids).append_column("middle", pa.array(at + window // 2)).append_column("rarity", pa.array(out))
+
+    found = asked.groupBy(*ids, "part").cogroup(held.groupBy(*ids, "part")).applyInArrow(run, f"{head}, middle long, rarity double")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{n}")) for k, n in zip(keys, ids)] + [F.col("a.i") == F.col("b.middle")]
+    return numbered.alias("a").join(found.alias("b"), same, "left").select(*[F.col(f"a.{k}") for k in keys], F.col("a.at").alias(order), "rarity")
 
 
 def segments(rows: DataFrame, keys: Sequence[str], state: Sequence[str], k: int = 3, length_ms: int = 3000, reach_ms: int = 6000, gap_ms: int = 2000, sad: float = -0.1, lively: float = 0.3) -> DataFrame:
