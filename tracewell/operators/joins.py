@@ -93,41 +93,47 @@ def rival_similarity(rows: DataFrame, centroids: DataFrame, keys: Keys, subject:
     """rows with cos_self and cos_other: cosine to the own centroid, and the greatest to another subject's of the same group; NULL where there is none.
 
     A group's rows are dealt in shares of about `share`, and its centroids go to each, so a group of any size is spread over tasks. In a share all
-    cosines are one product of two matrices.
+    cosines with vectors of one length are one product of two matrices; vectors of other lengths have no cosine, as null ones. A null group key is a group. Columns travel under numbers, so
+    no name can clash, but for cos_self and cos_other, which are replaced.
     """
     rows = rows.drop("cos_self", "cos_other")
-    parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / share).cast("int").alias("__parts"))
-    many = rows.join(parts, list(keys)).withColumn("__part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.col("__parts")).cast("int")).drop("__parts")
-    few = centroids.select(*keys, F.col(subject).alias("__id"), F.col(centre).alias("__v")).join(parts, list(keys))
-    theirs = [f"__k{i}" for i in range(len(keys))]
-    few = few.select(*[F.col(k).alias(t) for k, t in zip(keys, theirs)], "__id", "__v", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__p"))
-    kept = rows.columns
-    schema = T.StructType([*rows.schema.fields, T.StructField("cos_self", T.DoubleType()), T.StructField("cos_other", T.DoubleType())])
+    names = [f"c{i}" for i in range(len(rows.columns))]
+    own, at = rows.toDF(*names), dict(zip(rows.columns, names))
+    groups = [f"k{i}" for i in range(len(keys))]
+    same = lambda a, b: [F.col(f"a.{x}").eqNullSafe(F.col(f"b.{y}")) for x, y in zip(a, b)]
+    parts = own.groupBy(*[F.col(at[k]).alias(g) for k, g in zip(keys, groups)]).agg(F.ceil(F.count("*") / share).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64(*[F.col(n) for n, f in zip(names, rows.schema.fields) if f.name != vector and not isinstance(f.dataType, T.MapType)]), F.col("parts")).cast("int")
+    many = own.alias("a").join(parts.alias("b"), same([at[k] for k in keys], groups)).select(*[F.col(f"a.{n}").alias(n) for n in names], *groups, part.alias("part"))
+    few = centroids.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], F.col(subject).alias("id"), F.col(centre).alias("v"))
+    few = few.alias("a").join(parts.alias("b"), same(groups, groups)).select(*[F.col(f"a.{g}").alias(g) for g in groups], "id", "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    schema = T.StructType([*[T.StructField(n, f.dataType) for n, f in zip(names, rows.schema.fields)], T.StructField("cos_self", T.DoubleType()), T.StructField("cos_other", T.DoubleType())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        n, names = left.num_rows, right.column("__id").to_pylist()
-        own, other = np.full(n, np.nan), np.full(n, np.nan)
-        vectors = left.column(vector).combine_chunks()
-        some = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
-        if len(names) and len(some):
-            at = {x: i for i, x in enumerate(names)}
-            mine = np.array([at.get(x, -1) for x in left.column(subject).to_pylist()])[some]
-            near = _unit(vectors.take(pa.array(some))) @ _unit(right.column("__v").combine_chunks()).T
-            has = np.flatnonzero(mine >= 0)
-            own[some[has]] = near[has, mine[has]]
-            near[has, mine[has]] = -np.inf
-            best = near.max(1)
+        mine, other = np.full(left.num_rows, np.nan), np.full(left.num_rows, np.nan)
+        vectors, centres = (t.column(c).combine_chunks() for t, c in ((left, at[vector]), (right, "v")))
+        wide, held = (x.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) for x in (vectors, centres))
+        ids = right.column("id").to_pylist()
+        for width in np.intersect1d(wide[wide > 0], held).tolist():
+            some, known = np.flatnonzero(wide == width), np.flatnonzero(held == width)
+            place = {ids[i]: j for j, i in enumerate(known.tolist())}
+            own_ = np.array([place.get(x, -1) for x in left.column(at[subject]).take(pa.array(some)).to_pylist()])
+            near = _unit(vectors.take(pa.array(some))) @ _unit(centres.take(pa.array(known))).T
+            has = np.flatnonzero(own_ >= 0)
+            mine[some[has]] = near[has, own_[has]]
+            near[has, own_[has]] = -np.inf
+            best = np.where(np.isnan(near), -np.inf, near).max(1)
             other[some] = np.where(np.isfinite(best), best, np.nan)
-        out = left.select(kept)
-        for name, x in (("cos_self", own), ("cos_other", other)):
+        out = left.select(names)
+        for name, x in (("cos_self", mine), ("cos_other", other)):
             out = out.append_column(name, pa.array(x, pa.float64(), from_pandas=True))
         return out
 
-    return many.groupBy(*keys, "__part").cogroup(few.groupBy(*theirs, "__p")).applyInArrow(run, schema)
+    found = many.groupBy(*groups, "part").cogroup(few.groupBy(*groups, "part")).applyInArrow(run, schema)
+    return found.select(*[F.col(n).alias(c) for n, c in zip(names, rows.columns)], "cos_self", "cos_other")
 
 
 def _unit(vectors: pa.ListArray) -> np.ndarray:
-    """Vectors of one length as rows of length 1."""
+    """Vectors of one length as rows of length 1; a null entry is no number."""
     x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
     with np.errstate(invalid="ignore", divide="ignore"):
         return x / np.sqrt((x * x).sum(1, keepdims=True))

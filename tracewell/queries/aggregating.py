@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +13,10 @@ from tracewell.operators import kernels, moments
 from tracewell.operators.windows import robust_z
 from tracewell.plans import catalog, evals, readings, subjects
 from tracewell.queries.book import CENTRES, FRAMES, VECTORS, Book, frames, rounded, table, vectors
+from tracewell.sources.checkpoints import scratch
 from tracewell.sources.tables import latest, manifest
 from tracewell.streaming import streams
+from tracewell.streaming.phrases import drained_phrases, phrases
 
 BOOK = Book()
 KEYS = ["track_id"]
@@ -341,8 +341,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 @BOOK.add("t04_beats", "SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) AS start, count(*) AS n, round(avg(value), 9) AS mean FROM events GROUP BY 1, 2")
@@ -360,9 +359,14 @@ def t06(spark: SparkSession, d: str) -> DataFrame:
 @BOOK.add("t05_sessions", """WITH s AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM s)
     SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY user_id, g""")
 def t05(spark: SparkSession, d: str) -> DataFrame:
-    whole = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = streams.sessions(whole, "ts", ["user_id"], "2 hours")
-    return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+    """A stream of all events, after which one row far ahead of them (of no user) moves the watermark on, so that all phrases are closed."""
+    folder = _folder(spark, "phrases")
+    whole = table(spark, d, "events")
+    ahead = whole.agg((F.max("ts") + F.expr("INTERVAL 90 DAYS")).alias("ts")).select(F.lit(None).cast(whole.schema["user_id"].dataType).alias("user_id"), "ts", F.lit(0.0).alias("value"))
+    ahead.where("ts is not null").write.parquet(f"{folder}/ahead")
+    rows = _stream(spark, d).select("user_id", "ts", "value").unionByName(spark.readStream.schema(ahead.schema).parquet(f"{folder}/ahead*"))
+    out = drained_phrases(phrases(rows, "ts", "user_id", "value", 2 * 3_600_000_000, "40 days"), folder).where("kind = 'phrase'")
+    return out.select(F.col("key").alias("user_id"), F.timestamp_micros("first").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
 @BOOK.add("t03_accepted_once", "SELECT DISTINCT user_id FROM events")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracewell.sources.checkpoints import removed
+
 
 def timed(rows: DataFrame, time: str, late: str) -> DataFrame:
     """The time column as a timestamp with a watermark."""
@@ -67,6 +69,7 @@ def drained(stream: DataFrame, keys: list[str], folder: str, mode: str = "update
         batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    removed(spark, f"{folder}/state")
     rows = spark.read.parquet(f"{folder}/rows").drop("batch")
     last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__batch")))
     return rows.withColumn("__n", last).where("__n = 1").drop("__n", "__batch")
