@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
 from tracewell.llm.simhash import close_links, majority_bits, shingle_hashes
-from tracewell.llm.store import discard, hot_values, partitions_for, shuffle_partitions, shuffles_for, spread_join, written
+from tracewell.llm.store import discard, give_back, hot_values, partitions_for, shuffle_partitions, shuffles_for, spread_join, written
 from tracewell.llm.text import Words, mixed, pieces, plain, run_hash, spans, squeezed, unsqueezed
 
 #: Shingles are ordered by a sample of about so many texts; those in COMMON of them are common, the first COMMON_MOST count.
@@ -286,6 +286,7 @@ def similar_roots(texts: DataFrame, width: int, similarity: float) -> DataFrame:
             with shuffles_for(texts.sparkSession, max(rows, compared.count())):
                 pairs = written(pairs.distinct().join(compared.hint("merge"), ["a", "b"], "left_anti"), "pairs")
             compared = compared.unionByName(pairs)
+        give_back(texts.sparkSession)
         links = _links(texts, pairs, width, similarity)
         found = links.count()
         if roots is None:

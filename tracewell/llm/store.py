@@ -40,6 +40,12 @@ def shuffles_for(spark: SparkSession, rows: int, share: int = 100_000) -> Iterat
         spark.conf.set(setting, session)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Ask the executors to collect their garbage, so that their heaps shrink before Python workers need the room."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def hot_values(counted: DataFrame, key: str, n: str, total: int | None = None) -> list:
     """The keys (one a row of `counted`, with n rows each) that hold over 1 / HOT_PART of all rows (their `total`, if known): fewer than HOT_PART of them."""
     if total is None:
