@@ -16,7 +16,7 @@ from tracewell.llm import language_id, toxicity
 from tracewell.llm.near_copies import drop_near_copies
 from tracewell.llm.packing import pack
 from tracewell.llm.queries import toxicity_model
-from tracewell.llm.store import discard, written
+from tracewell.llm.store import discard, give_back, written
 from tracewell.llm.substring_dedup import substring_dedup
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -50,13 +50,16 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 #: Rows of an Arrow batch, at most. Rows are whole texts, and a batch is held by the executor and its Python worker at once.
 BATCH = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def in_small_batches(stage: Stage) -> Stage:
+    """The stage with small Arrow batches, begun on executors that have given freed heap back."""
+
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        if not 0 < int(spark.conf.get(setting)) <= BATCH:
-            spark.conf.set(setting, str(BATCH))  # read when the stage's rows are asked for, so it stays set
+        if not 0 < int(spark.conf.get(_ROWS)) <= BATCH:
+            spark.conf.set(_ROWS, str(BATCH))  # read when the stage's rows are asked for, so it stays set; run() puts it back
+        give_back(spark)
         return stage(spark, docs, sf_dir)
 
     return run_stage
@@ -75,11 +78,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    docs, held, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), [], spark.conf.get(_ROWS)
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), name)
+            discard(*held)
+            held = [docs]
+        found = STAGES[-1][1](spark, docs, sf_dir)  # the pieces are written by now
         discard(*held)
-        held = [docs]
-    found = STAGES[-1][1](spark, docs, sf_dir)  # the pieces are written by now
-    discard(*held)
+    finally:
+        spark.conf.set(_ROWS, before)
     return found
