@@ -198,11 +198,11 @@ def _low(x: str) -> str:
 
 
 @BOOK.add("q13_workbench_picks", f"""WITH {_WIDE}, rk AS (SELECT *, 1 - (row_number() OVER (PARTITION BY track_id ORDER BY coalesce(expr, 'inf'::DOUBLE), frame_idx) - 1) / greatest(count(*) {_T} - 1, 1) AS r0,
-    {', '.join(f"{_low(x)} AS r{i}" for i, x in enumerate(("pupil", "blur", "micro", "size", "round(coherence, 9)", "mv", "lum_eff"), 1))} FROM wk),
+    {', '.join(f"{_low(x)} AS r{i}" for i, x in enumerate(("pupil", "blur", "micro", "round(size, 9)", "round(coherence, 9)", "mv", "round(lum_eff, 9)"), 1))} FROM wk),
     sc AS MATERIALIZED (SELECT track_id, frame_idx, round(0.4 * (2 * r0 + r1) / 3 + 0.3 * r7 + 0.2 * (r2 + r3) / 2 + 0.1 * (r5 + r6 + r4) / 3, 6) AS score FROM rk WHERE (micro IS NULL OR micro >= 3.5) AND (expr IS NULL OR (expr >= 0.1 AND expr <= 0.8)) AND (mv IS NULL OR mv >= 0.002)),
     {_in_turn('sc', 'score', 3, 12)} SELECT track_id // 4 AS clip_id, * FROM picked""")
 def q13(spark: SparkSession, d: str) -> DataFrame:
-    wide = _wide(spark, d).withColumn("coherence", F.round("coherence", 9))
+    wide = rounded(_wide(spark, d), "size", "coherence", "lum_eff", places=9)  # sums in another order must tie as well
     screens = {"micro": (3.5, None), "expr": (0.1, 0.8), "mv": (0.002, None)}
     return workbench.picked(wide, ["clip_id", "track_id"], "frame_idx", screens, {"face": 0.4, "light": 0.3, "image": 0.2, "distortion": 0.1}, places=6)
 
