@@ -5,7 +5,7 @@
 2. In one order of all shingles, two sets of the given similarity share a shingle within their first n - ceil(similarity * n) + 1. Classes meet on each of
    those, so no pair of the given similarity is missed, whatever its edits and however many documents there are. Shingles that a sample shows to be common
    come last in the order; that saves work and decides nothing.
-3. The members of a bucket of up to SMALL are compared at once. In a larger one the first member is compared with all others, then the next 64, 4096 and so on,
+3. The members of a bucket of up to SMALL are compared at once. In a larger one the first member is compared with all others, then the next 8, 64 and so on,
    each with all behind it, until all members are in one component or every pair has been compared. Pairs of one component are passed over. Large groups of
    close classes are thus done in a round or two; when few comparisons are left in all buckets, the next round makes them all.
    A bucket over CHUNK members is dealt in chunks, and the members whose turn it is are sent to each of them, so no task holds a hot bucket.
@@ -36,7 +36,7 @@ SMALL, CHUNK = 8, 50_000
 #: The ends of up to so many pairs (two longs each) are broadcast to find their texts; those of more are joined by a shuffle.
 FEW_PAIRS = 100_000
 #: Once no more comparisons than this are left in all buckets together, they are all made in one round.
-FEW_COMPARISONS = 200_000
+FEW_COMPARISONS = 20_000
 #: Words of a fingerprint's shingles.
 FINGERPRINT_WORDS = 3
 _EPS = 1e-9
@@ -314,7 +314,7 @@ def similar_roots(texts: DataFrame, width: int, similarity: float) -> DataFrame:
         spent = alive
         with shuffles_for(texts.sparkSession, rows):
             partitions = shuffle_partitions(texts.sparkSession)
-        low, high = high, _ALL if comparisons <= FEW_COMPARISONS else high + 64 * (high - low)
+        low, high = high, _ALL if comparisons <= FEW_COMPARISONS else high + 8 * (high - low)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
