@@ -83,6 +83,28 @@ def manifest(rows: DataFrame, keys: list[str], order: str, least: int = 0) -> Da
     return out.where(F.col("__n") >= least).drop("__n")
 
 
+def frames_by_ordinal(wanted: DataFrame, numbered: DataFrame, stored: DataFrame, keys: list[str], frame: str) -> DataFrame:
+    """wanted, the ordinal of each row's frame, and what is stored there; NULL where the manifest lacks the frame or the store lacks the ordinal.
+
+    numbered is a manifest() (keys, ordinal, frame), stored has keys, ordinal and columns that wanted has not; both are unique by their places. Every wanted row comes back once, repeated
+    ones too, and null keys are keys. Two exchanges, by frame and by ordinal, so that no subject is gathered.
+    """
+    extra = [c for c in stored.columns if c not in (*keys, "ordinal")]
+    clash = {*extra, "ordinal"} & set(wanted.columns)
+    if clash:
+        raise ValueError(f"wanted has columns of the store: {sorted(clash)}")
+
+    def joined(left: DataFrame, right: DataFrame, on: list[str], bring: list[str]) -> DataFrame:
+        place = {c: i for i, c in enumerate(left.columns)}
+        left = left.toDF(*[f"__l_{i}" for i in place.values()])
+        right = right.select(*[F.col(f"`{c}`").alias(f"__r_{i}") for i, c in enumerate(on)], *[F.col(f"`{c}`").alias(f"__b_{i}") for i, c in enumerate(bring)])
+        same = [F.col(f"__l_{place[c]}").eqNullSafe(F.col(f"__r_{i}")) for i, c in enumerate(on)]
+        return left.join(right, same, "left").select(*[F.col(f"__l_{i}").alias(c) for c, i in place.items()], *[F.col(f"__b_{i}").alias(c) for i, c in enumerate(bring)])
+
+    at = joined(wanted, numbered, [*keys, frame], ["ordinal"])
+    return joined(at, stored.where("ordinal is not null"), [*keys, "ordinal"], extra)
+
+
 def provenance(spark: SparkSession, path: str, origin: str) -> DataFrame:
     """path, bytes, modified, sha256, origin of each file."""
     files = spark.read.format("binaryFile").load(path)
