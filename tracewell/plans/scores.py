@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.numbers import clip, mean_of, preference
 from tracewell.functions.text import line_scores
-from tracewell.operators.windows import filled, gradient, minmax, robust_z
+from tracewell.operators.windows import burnt_in, filled, gradient, minmax, robust_z, whole
 
 
 def when(impact: Column, rarity: Column, scene: Column, valence: Column) -> Column:
@@ -75,3 +76,52 @@ def ranked_by_reply(candidates: DataFrame, replies: DataFrame, clip_: str, index
     read = replies.select(clip_, F.explode(line_scores(F.col("reply"))).alias("s")).groupBy(clip_, F.col("s.index").alias(index)).agg(F.max("s.score").alias("language_score"))
     joined = candidates.join(read, [clip_, index], "left").withColumn("language_score", F.coalesce("language_score", F.lit(0.0)))
     return joined.withColumn("rank", F.row_number().over(Window.partitionBy(clip_).orderBy(F.desc("language_score"), index)))
+
+
+#: Seconds from a ride's start that no moment is taken from.
+BURN_IN = 3.0
+
+
+def frame_scores(frames: DataFrame, keys: Sequence[str], order: str, changes: dict[str, tuple[Sequence[str], str]], fps: float = 6.0) -> DataFrame:
+    """keys, order and one record of all scores of the frame, with the terms of the composed ones.
+
+    likeness, portrait, which, impact, rarity and scene are there for all frames; when, rank_sig and highlight are NULL outside the ride and in its first seconds. rank_sig is `when`
+    without rarity, times which. frames has valence, em_conf, neutral, energy, det, yaw, valid, scene_phase, blur, exposure, clipped, crushed, blink, smile, center_dist, light_lr,
+    light_tb, ambient, rarity (as kernels.rarity gives it), scene (a channel of its own scale) and the signals of `changes`, which is impact()'s groups. Any may be NULL: missing channels are
+    passed over, missing terms are neutral; so a frame without valence has no `which`. Every window is over the keys, so the rows are exchanged once. Null keys are a track.
+    """
+    def unit(x: Column) -> Column:
+        return minmax(x, keys)
+
+    def zero(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0.0))
+
+    riding = F.coalesce(F.col("scene_phase") == "ride", F.lit(False))
+    rows = robust_z(impact(frames, keys, order, changes).withColumn("__rare", F.col("rarity")).drop("rarity"), "__rare", keys, "rarity", positive=True)
+    rows = rows.withColumn("rarity", F.when(F.col("__rare").isNotNull(), F.col("rarity")))  # the positive part of NULL is 0
+    rows = likeness(rows.withColumn("scene_phase", F.coalesce("scene_phase", F.lit(""))), keys)
+    shows = which(F.col("valence"), F.col("det"), F.col("yaw"), F.col("em_conf"), F.col("valid"))
+    rows = rows.withColumns({"is_ride": riding, "which": shows, "__when": when(F.col("impact"), F.col("rarity"), F.col("scene"), F.col("valence"))})
+    rows = rows.withColumns({"__rank": F.greatest("impact", "scene", 3 * F.greatest(F.col("valence"), F.lit(0.0))) * F.col("which"), "__high": F.col("__when") * F.col("which")})
+    for made, out in {"__when": "when", "__rank": "rank_sig", "__high": "highlight"}.items():
+        rows = burnt_in(rows, made, F.col("is_ride"), keys, order, int(BURN_IN * fps), out)
+
+    rows = rows.withColumn("__q", unit(F.col("blur")) - 2 * F.abs(F.col("exposure") - 0.45) - 3 * (F.col("clipped") + F.col("crushed")))
+    joy, typical = unit(F.greatest(zero("valence"), F.lit(0.0))), 2 * F.coalesce(F.median("center_dist").over(whole(keys)), F.lit(1.0)) + 1e-9
+    back = 1 - 0.25 * clip(F.abs(zero("light_tb")) - 0.45, 0.0, 0.5) / 0.5
+    terms = {
+        "quality": 0.2 + 0.8 * unit(F.col("__q")),
+        "eyes": F.coalesce(1 - 0.6 * F.col("blink"), F.lit(0.75)),
+        "pleasant": 0.5 + 0.5 * F.coalesce(0.5 * unit(F.col("smile")) + 0.5 * joy, joy),
+        "sure": 0.4 + 0.6 * F.coalesce("em_conf", F.lit(0.5)),
+        "light": (1 + 0.2 * unit(F.abs(zero("light_lr")))) * back * (1 + 0.2 * unit(zero("ambient"))),
+        "typical": F.coalesce(F.exp(-F.pow(F.col("center_dist") / typical, 2)), F.lit(1.0)),
+        "seen": zero("det"),
+    }
+    rows = rows.withColumn("portrait_terms", F.struct(*[x.alias(n) for n, x in terms.items()]))
+    portrait = reduce(lambda a, b: a * b, [F.col(f"portrait_terms.{n}") for n in terms])
+    rows = rows.withColumns({"portrait": portrait, "impact_terms": F.struct(*[F.col(f"z_{c}").alias(c) for c in changes])})
+    return rows.select(*keys, order, *SCORES, "is_ride", "impact_terms", "portrait_terms")
+
+
+SCORES = ("likeness", "portrait", "which", "impact", "rarity", "scene", "when", "rank_sig", "highlight")

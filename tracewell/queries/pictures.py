@@ -41,10 +41,11 @@ def _step(axis: str, apart: int) -> str:
     m AS (SELECT vec_id, var_pop(e) AS blur, avg(v) / 255 AS exposure, stddev_pop(v) / 255 AS contrast, avg((v >= 250)::INT) AS clipped, avg((v <= 5)::INT) AS crushed, avg(s) FILTER (x < 4) AS l, avg(s) FILTER (x >= 4) AS r,
     avg(s) FILTER (y < 4) AS a, avg(s) FILTER (y >= 4) AS b, avg(v) FILTER (y < 2 AND x < 2) / 255 AS first_sector, avg(v) FILTER (y BETWEEN 2 AND 4 AND x BETWEEN 2 AND 4) / 255 AS middle_sector, avg(v) FILTER (y >= 5 AND x >= 5) / 255 AS last_sector FROM o GROUP BY 1)
     SELECT e.vec_id, round(blur + 1e-7, 4) AS blur, round(exposure, 6) AS exposure, round(contrast, 6) AS contrast, round(clipped, 6) AS clipped, round(crushed, 6) AS crushed, round((l - r) / (l + r + 1e-6), 6) AS light_lr, round((a - b) / (a + b + 1e-6), 6) AS light_tb,
-    round(harsh, 6) AS light_harsh, round(first_sector, 6) AS first_sector, round(middle_sector, 6) AS middle_sector, round(last_sector, 6) AS last_sector FROM embeddings e LEFT JOIN m ON m.vec_id = e.vec_id LEFT JOIN h ON h.vec_id = e.vec_id""")
+    round(harsh + 1e-9, 6) AS light_harsh, round(first_sector, 6) AS first_sector, round(middle_sector, 6) AS middle_sector, round(last_sector, 6) AS last_sector FROM embeddings e LEFT JOIN m ON m.vec_id = e.vec_id LEFT JOIN h ON h.vec_id = e.vec_id""")
 def f21(spark: SparkSession, d: str) -> DataFrame:
     own = _pictures(spark, d).select("vec_id", pixels.picture_stats(F.col("p"), F.lit(8), F.lit(8)).alias("r"))
-    read = [(F.round(F.col("r.blur") + 1e-7, 4) if n == "blur" else F.round(f"r.{n}", 6)).alias(n) for n in pixels.PICTURE]
+    # readings of whole pixels can lie half way between two rounded values
+    read = [(F.round(F.col("r.blur") + 1e-7, 4) if n == "blur" else F.round(F.col(f"r.{n}") + (1e-9 if n == "light_harsh" else 0.0), 6)).alias(n) for n in pixels.PICTURE]
     return own.select("vec_id", *read, *[F.round(F.col("r.sectors")[i], 6).alias(f"{n}_sector") for n, i in {"first": 0, "middle": 4, "last": 8}.items()])
 
 
