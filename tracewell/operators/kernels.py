@@ -54,12 +54,14 @@ def rarity(rows: DataFrame, keys: Sequence[str], order: str, names: Sequence[str
     return numbered.alias("a").join(found.alias("b"), same, "left").select(*[F.col(f"a.{k}") for k in keys], F.col("a.at").alias(order), "rarity")
 
 
-def segments(rows: DataFrame, keys: Sequence[str], state: Sequence[str], k: int = 3, length_ms: int = 3000, reach_ms: int = 6000, gap_ms: int = 2000, sad: float = -0.1, lively: float = 0.3) -> DataFrame:
+def segments(rows: DataFrame, keys: Sequence[str], state: Sequence[str], k: int = 3, length_ms: int = 3000, reach_ms: int = 6000, gap_ms: int = 2000, sad: float = -0.1, lively: float = 0.3, raw: str | None = None) -> DataFrame:
     """keys, rank, peak_frame, rep_frame, start_ms, end_ms, resolved, score: the best moments of a clip.
 
     rows: frame_idx, timestamp_ms, level (smoothed), score, which, valence, arousal and the state columns. A moment grows from a local peak of `level`
     down to half its height, within reach_ms to each side, not across gaps over gap_ms and not into a stronger moment; it needs 3 rows. Chosen are
     the best k by score whose states differ by half the median difference, whose windows share a quarter at most, and that are not sad unless lively.
+    `raw` names the line that `level` was smoothed from, if it has gaps of its own: no peak stands in one, and 10 of its values are needed. A window without
+    `which` shows the frame of the moment that has most of it.
     """
     ddl = f"{_keys_ddl(rows, keys)}, rank int, peak_frame long, rep_frame long, start_ms long, end_ms long, resolved boolean, score double"
 
@@ -80,9 +82,10 @@ def segments(rows: DataFrame, keys: Sequence[str], state: Sequence[str], k: int
         level, time = clip["level"].to_numpy(float), clip["timestamp_ms"].to_numpy(np.int64)
         which, score, kinds = clip["which"].to_numpy(float), clip["score"].fillna(0).to_numpy(float), clip[list(state)].to_numpy(float)
         taken, found = np.zeros(len(clip), bool), []
-        if np.isfinite(level).sum() >= 10:
+        seen = np.isfinite(clip[raw or "level"].to_numpy(float))
+        if seen.sum() >= 10:
             inner = np.arange(1, len(level) - 1)
-            peaks = inner[(level[inner] >= level[inner - 1]) & (level[inner] >= level[inner + 1])]
+            peaks = inner[(level[inner] >= level[inner - 1]) & (level[inner] >= level[inner + 1]) & seen[inner]]
             for peak in peaks[np.argsort(-level[peaks], kind="stable")].tolist():
                 if taken[peak]:
                     continue
@@ -113,7 +116,7 @@ def segments(rows: DataFrame, keys: Sequence[str], state: Sequence[str], k: int
                 continue
             chosen.append(one)
             good = np.flatnonzero(seen & np.isfinite(which))
-            rep = good[np.argmax(which[good])] if len(good) else peak
+            rep = good[np.argmax(which[good])] if len(good) else a + np.argmax(np.where(np.isfinite(which[a : b + 1]), which[a : b + 1], -np.inf)) if np.isfinite(which[a : b + 1]).any() else peak
             frames = clip["frame_idx"]
             out.append((len(chosen), int(frames[peak]), int(frames[rep]), start, start + length_ms, resolved, round(float(worth), 3)))
         made = pd.DataFrame(out, columns=["rank", "peak_frame", "rep_frame", "start_ms", "end_ms", "resolved", "score"])
@@ -121,7 +124,7 @@ def segments(rows: DataFrame, keys: Sequence[str], state: Sequence[str], k: int
             made.insert(i, key, clip[key].iloc[0])
         return made
 
-    return rows.select(*keys, "frame_idx", "timestamp_ms", "level", "score", "which", "valence", "arousal", *state).groupBy(*keys).applyInPandas(run, ddl)
+    return rows.select(*keys, "frame_idx", "timestamp_ms", "level", "score", "which", "valence", "arousal", *state, *([raw] if raw else [])).groupBy(*keys).applyInPandas(run, ddl)
 
 
 def joined_fragments(tracks: DataFrame, clip: str, track: str, least: float = 0.4, margin: float = 0.15) -> DataFrame:
