@@ -100,5 +100,13 @@ def outcomes(runs: DataFrame, keys: list[str], stage: str, state: str, order: st
 
 
 def numbered(analyses: DataFrame) -> DataFrame:
-    """A running order: by level, then by name."""
-    return levels(analyses).withColumn("place", F.row_number().over(Window.orderBy("level", "analysis")))
+    """A running order: by level, then by name.
+
+    Rows are sorted over tasks by ranges; each then stands at its number within its task and after the rows of all tasks before, of which one count each is looked at together.
+    """
+    at = F.monotonically_increasing_id()  # the task's number above 33 bits of the row's
+    ranged = levels(analyses).repartitionByRange("level", "analysis").sortWithinPartitions("level", "analysis")
+    ranged = cut(ranged.withColumns({"__task": F.shiftright(at, 33), "__row": at.bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = ranged.groupBy("__task").agg(F.count("*").alias("__n")).select("__task", before.alias("__before"))
+    return ranged.join(counts, "__task").select("analysis", "level", (F.col("__before") + F.col("__row") + 1).cast("int").alias("place"))

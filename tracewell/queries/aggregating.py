@@ -302,7 +302,13 @@ def q09(spark: SparkSession, d: str) -> DataFrame:
     return subjects.main_rider(rows, "clip", "l_orderkey", "l_suppkey", "depth").drop("clip", "margin")
 
 
-@BOOK.add("q12_emotion_baseline")
+@BOOK.add("q12_emotion_baseline", f"""WITH {FRAMES}, v AS (SELECT track_id, frame_idx, event_type AS label, value - 40 AS x, count(*) FILTER (event_type <> 'signup') OVER (PARTITION BY track_id) AS rides FROM f WHERE value IS NOT NULL),
+    o AS (SELECT *, quantile_cont(x, [0.1, 0.75, 0.9]) OVER (PARTITION BY track_id) AS q FROM v WHERE rides < 30 OR label <> 'signup'),
+    b AS (SELECT track_id, count(*) AS n, quantile_cont(x, [0.1, 0.25, 0.5, 0.75, 0.9]) AS p, count(*) FILTER (x > 0) AS positive, count(*) FILTER (x < 0) AS negative, count(*) FILTER (x >= q[2]) AS strong FROM o GROUP BY 1),
+    t AS (SELECT track_id, label, high, count(*) AS n, min(frame_idx) AS seen FROM (SELECT *, true AS high FROM o WHERE x >= q[3] UNION ALL SELECT *, false FROM o WHERE x <= q[1]) GROUP BY 1, 2, 3),
+    m AS (SELECT *, row_number() OVER (PARTITION BY track_id, high ORDER BY n DESC, seen, label) AS i FROM t)
+    SELECT track_id, n, round(p[1], 6) AS p10, round(p[2], 6) AS p25, round(p[3], 6) AS p50, round(p[4], 6) AS p75, round(p[5], 6) AS p90, round(p[5] - p[1], 6) AS spread, positive, negative, strong,
+        (SELECT max(label) FROM m WHERE m.track_id = b.track_id AND high AND i = 1) AS high_label, (SELECT max(label) FROM m WHERE m.track_id = b.track_id AND NOT high AND i = 1) AS low_label FROM b""")
 def q12(spark: SparkSession, d: str) -> DataFrame:
     rows = frames(spark, d).withColumn("valence", F.col("value") - 40)
     base = readings.emotion_baseline(rows, KEYS, "frame_idx", F.col("event_type") != "signup", "event_type")

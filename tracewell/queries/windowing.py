@@ -37,22 +37,23 @@ def w03(spark: SparkSession, d: str) -> DataFrame:
 _Z = f"""WITH {FRAMES}, a AS (SELECT *, median(value) OVER (PARTITION BY track_id) AS m FROM f), b AS (SELECT *, median(abs(value - m)) OVER (PARTITION BY track_id) AS d FROM a)"""
 
 
-@BOOK.add("w04_robust_z", f"{_Z} SELECT track_id, frame_idx, round((value - m) / (d * 1.4826 + 1e-9), 6) AS z, round(greatest((value - m) / (d * 1.4826 + 1e-9), 0), 6) AS zp FROM b WHERE d > 0")
+@BOOK.add("w04_robust_z", f"{_Z} SELECT track_id, frame_idx, CASE WHEN d > 0 THEN round((value - m) / (d * 1.4826 + 1e-9), 6) END AS z, CASE WHEN d > 0 THEN round(greatest((value - m) / (d * 1.4826 + 1e-9), 0), 6) END AS zp FROM b")
 def w04(spark: SparkSession, d: str) -> DataFrame:
-    z = W.robust_z(frames(spark, d), "value", KEYS, "z").withColumn("zp", F.greatest("z", F.lit(0.0)))
-    # a track without spread has no scale
-    spread = F.median(F.abs(F.col("value") - F.col("m"))).over(W.whole(KEYS))
-    z = z.withColumn("m", F.median("value").over(W.whole(KEYS))).withColumn("d", spread).where("d > 0")
-    return rounded(z.select("track_id", "frame_idx", "z", "zp"), "z", "zp")
+    z = W.robust_z(frames(spark, d), "value", KEYS, "z")
+    # a track without spread has no scale: NULL
+    z = z.withColumn("m", F.median("value").over(W.whole(KEYS))).withColumn("d", F.median(F.abs(F.col("value") - F.col("m"))).over(W.whole(KEYS)))
+    z = z.withColumn("z", F.when(F.col("d") > 0, F.col("z")))
+    return rounded(z.select("track_id", "frame_idx", "z", F.when(F.col("z").isNotNull(), F.greatest("z", F.lit(0.0))).alias("zp")), "z", "zp")
 
 
 @BOOK.add("w05_state_scale", f"""WITH {FRAMES}, g AS (SELECT track_id, frame_idx, CASE WHEN k % 5 <> 0 THEN value END AS x FROM f), a AS (SELECT *, median(x) OVER (PARTITION BY track_id) AS m FROM g),
-    b AS (SELECT *, coalesce(x, m) AS y FROM a), c AS (SELECT *, median(abs(y - m)) OVER (PARTITION BY track_id) AS d FROM b) SELECT track_id, frame_idx, round(coalesce((y - m) / (d + 1e-9), 0), 6) AS x FROM c WHERE d > 0""")
+    b AS (SELECT *, coalesce(x, m) AS y FROM a), c AS (SELECT *, median(abs(y - m)) OVER (PARTITION BY track_id) AS d FROM b) SELECT track_id, frame_idx, CASE WHEN d > 0 THEN round(coalesce((y - m) / (d + 1e-9), 0), 6) END AS x FROM c""")
 def w05(spark: SparkSession, d: str) -> DataFrame:
     own = frames(spark, d).select("track_id", "frame_idx", F.when(F.col("k") % 5 != 0, F.col("value")).alias("x"))
-    m = F.median("x").over(W.whole(KEYS))
-    own = own.withColumn("__m", m).withColumn("__d", F.median(F.abs(F.coalesce("x", "__m") - F.col("__m"))).over(W.whole(KEYS))).where("__d > 0").drop("__m", "__d")
-    return rounded(W.state_scaled(own, ["x"], KEYS), "x")
+    own = own.withColumn("m", F.median("x").over(W.whole(KEYS)))
+    own = own.withColumn("d", F.median(F.abs(F.coalesce("x", "m") - F.col("m"))).over(W.whole(KEYS)))
+    scaled = W.state_scaled(own, ["x"], KEYS).withColumn("x", F.when(F.col("d") > 0, F.col("x")))
+    return rounded(scaled.select("track_id", "frame_idx", "x"), "x")
 
 
 @BOOK.add("w06_minmax", f"WITH {FRAMES} SELECT track_id, frame_idx, round((value - min(value) OVER (PARTITION BY track_id)) / (max(value) OVER (PARTITION BY track_id) - min(value) OVER (PARTITION BY track_id) + 1e-9), 6) AS u FROM f")
