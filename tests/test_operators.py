@@ -12,7 +12,7 @@ from tracewell.functions import text as X
 from tracewell.functions.vectors import mean_vector
 from tracewell.operators import aggregates as A
 from tracewell.operators import joins as J
-from tracewell.operators import kernels, moments
+from tracewell.operators import centres, kernels, moments
 from tracewell.sources.published import read_published
 from tracewell.operators import selection as K
 from tracewell.operators import windows as W
@@ -235,10 +235,10 @@ def test_dense_kernels(spark):
     assert np.allclose(summary["centre"], np.median(x, 0)) and abs(summary["drift"] - math.sqrt(((np.median(x[:20], 0) - np.median(x[20:], 0)) ** 2).mean())) < 1e-12
     fit = moments.ridge(df, ["t"], "v", "y").first()
     assert abs(fit["intercept"][0] - 1) < 0.05 and fit["explained"] > 0.99
-    two = kernels.two_means(track(spark, [1.0, 1.1, 0.9, 5.0, 5.1, None]), ["t"], "x").first()
+    two = centres.two_means(track(spark, [1.0, 1.1, 0.9, 5.0, 5.1, None]), ["t"], "x").first()
     assert two["split"] and 2.5 < two["threshold"] < 3.5
     colours = [(1, [10.0, 1.0, 1.0])] * 150 + [(1, [60.0, 40.0, 0.0])] * 100 + [(2, [1.0, 1.0, 1.0])] * 10
-    made = {r["t"]: r for r in kernels.palette(spark.createDataFrame(colours, "t long, lab array<double>"), ["t"], "lab").collect()}
+    made = {r["t"]: r for r in centres.palette(spark.createDataFrame(colours, "t long, lab array<double>"), ["t"], "lab").collect()}
     assert made[2]["colours"] is None and made[1]["colours"][made[1]["chroma_at"]]["lab"][0] == 60.0
 
 

@@ -163,50 +163,6 @@ def joined_fragments(tracks: DataFrame, clip: str, track: str, least: float = 0.
     return tracks.select(clip, track, "frames", "total").groupBy(clip).applyInPandas(run, ddl)
 
 
-def two_means(rows: DataFrame, keys: Sequence[str], x: str, rounds: int = 20, flat: float = 1.25) -> DataFrame:
-    """keys, threshold, low, high, split: two centres of one signal; no split where the higher is under `flat` times the lower."""
-    ddl = f"{_keys_ddl(rows, keys)}, threshold double, low double, high double, split boolean"
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        v = group[x].dropna().to_numpy(float)
-        low, high = (v.min(), v.max()) if len(v) else (np.nan, np.nan)
-        for _ in range(rounds):
-            upper = v > (low + high) / 2
-            after = (v[~upper].mean() if (~upper).any() else low, v[upper].mean() if upper.any() else high)
-            if after == (low, high):
-                break
-            low, high = after
-        split = bool(len(v) and high >= flat * max(low, 1e-9))
-        return pd.DataFrame([[*(group[k].iloc[0] for k in keys), (low + high) / 2, low, high, split]], columns=[*keys, "threshold", "low", "high", "split"])
-
-    return rows.select(*keys, x).groupBy(*keys).applyInPandas(run, ddl)
-
-
-def palette(rows: DataFrame, keys: Sequence[str], colour: str, k: int = 5, least: int = 200, rounds: int = 15) -> DataFrame:
-    """keys, colours (centre and share, largest first), chroma_at (of the most chromatic over 5 %), diversity (entropy, natural log); NULLs under `least` pixels."""
-    ddl = f"{_keys_ddl(rows, keys)}, colours array<struct<lab: array<double>, share: double>>, chroma_at int, diversity double"
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(group[colour].to_numpy()).astype(float)
-        head = [group[c].iloc[0] for c in keys]
-        names = [*keys, "colours", "chroma_at", "diversity"]
-        if len(x) < least:
-            return pd.DataFrame([[*head, None, None, None]], columns=names)
-        x = x[np.lexsort(x.T[::-1])]
-        centre = x[np.linspace(0, len(x) - 1, k).astype(int)]
-        for _ in range(rounds):
-            near = ((x[:, None] - centre[None]) ** 2).sum(-1).argmin(1)
-            centre = np.stack([x[near == i].mean(0) if (near == i).any() else centre[i] for i in range(k)])
-        share = np.bincount(near, minlength=k) / len(x)
-        order = np.argsort(-share, kind="stable")
-        centre, share = centre[order], share[order]
-        chroma = np.where(share > 0.05, np.hypot(centre[:, 1], centre[:, 2]), -1)
-        some = share[share > 0]
-        return pd.DataFrame([[*head, [{"lab": c.tolist(), "share": float(s)} for c, s in zip(centre, share)], int(chroma.argmax()), float(-(some * np.log(some)).sum())]], columns=names)
-
-    return rows.select(*keys, colour).groupBy(*keys).applyInPandas(run, ddl)
-
-
 def canonical_shape(points: Column, transform: Column, crop: Column, kept: int = 468) -> Column:
     """Landmarks (x, y, z of unit-box points) in the face's own frame: to pixels by the crop box, axes flipped, centred, turned back by the
     transform's rotation and scaled to unit root mean square over the first `kept` points."""

@@ -9,7 +9,7 @@ from tracewell.functions import numbers as N
 from tracewell.functions import text as X
 from tracewell.functions.vectors import mean_vector, normalised
 from tracewell.operators import aggregates as A
-from tracewell.operators import kernels, moments
+from tracewell.operators import centres, kernels, moments
 from tracewell.operators.windows import robust_z
 from tracewell.plans import catalog, evals, readings, subjects
 from tracewell.queries.book import CENTRES, FRAMES, VECTORS, Book, frames, rounded, table, vectors
@@ -439,14 +439,14 @@ def a18(spark: SparkSession, d: str) -> DataFrame:
 
 @BOOK.add("a23_palette")
 def a23(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "lineitem").select("l_suppkey", F.array("l_quantity", F.col("l_discount") * 500, F.col("l_tax") * 500).alias("lab"))
-    return kernels.palette(own, ["l_suppkey"], "lab").select("l_suppkey", "chroma_at", F.round("diversity", 6).alias("diversity"))
+    own = table(spark, d, "lineitem").select("l_suppkey", F.array("l_quantity", F.round(F.col("l_discount") * 500), F.round(F.col("l_tax") * 500)).alias("lab"))
+    return centres.palette(own, ["l_suppkey"], "lab").select("l_suppkey", "chroma_at", F.round("diversity", 6).alias("diversity"))
 
 
 @BOOK.add("a24_two_means")
 def a24(spark: SparkSession, d: str) -> DataFrame:
     # means of cents often lie halfway between two roundings
-    return kernels.two_means(frames(spark, d), KEYS, "value").withColumns({n: F.round(F.col(n) + 1e-7, 4) for n in ("threshold", "low", "high")})
+    return centres.two_means(frames(spark, d), KEYS, "value").withColumns({n: F.round(F.col(n) + 1e-7, 4) for n in ("threshold", "low", "high")})
 
 
 @BOOK.add("a30_trimmed_fit")

@@ -115,6 +115,19 @@ BOOK.sql["a24_two_means"] = f"""WITH {FRAMES.replace('f AS (', 'f AS MATERIALIZE
     SELECT track_id, round((low + high) / 2 + 1e-7, 4) AS threshold, round(low + 1e-7, 4) AS low, round(high + 1e-7, 4) AS high, high >= 1.25 * greatest(low, 1e-9) AS split FROM r20"""
 
 
+def _recoloured(n: int) -> str:
+    step = """n{i} AS MATERIALIZED (SELECT p.k, p.x, p.y, p.z, p.n, min({{'d': (p.x - r.x) * (p.x - r.x) + (p.y - r.y) * (p.y - r.y) + (p.z - r.z) * (p.z - r.z), 'j': r.j}}).j AS j FROM p JOIN r{h} r ON r.k = p.k GROUP BY ALL),
+    r{i} AS MATERIALIZED (SELECT r.k, r.j, coalesce(sum(a.n * a.x) / sum(a.n), any_value(r.x)) AS x, coalesce(sum(a.n * a.y) / sum(a.n), any_value(r.y)) AS y, coalesce(sum(a.n * a.z) / sum(a.n), any_value(r.z)) AS z, coalesce(sum(a.n), 0) AS w FROM r{h} r LEFT JOIN n{i} a ON a.k = r.k AND a.j = r.j GROUP BY r.k, r.j)"""
+    return ", ".join(step.format(i=i, h=i - 1) for i in range(1, n + 1))
+
+
+BOOK.sql["a23_palette"] = f"""WITH p AS MATERIALIZED (SELECT l_suppkey AS k, l_quantity AS x, round(l_discount * 500) AS y, round(l_tax * 500) AS z, count(*) AS n FROM lineitem GROUP BY ALL),
+    o AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY x, y, z ROWS UNBOUNDED PRECEDING) AS hi, sum(n) OVER (PARTITION BY k) AS t FROM p), g AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS j FROM o),
+    r0 AS MATERIALIZED (SELECT k, j, x, y, z FROM g WHERE CASE WHEN j = 4 THEN t - 1 ELSE floor(j * ((t - 1) / 4)) END >= hi - n AND CASE WHEN j = 4 THEN t - 1 ELSE floor(j * ((t - 1) / 4)) END < hi), {_recoloured(15)},
+    s AS (SELECT k, j, sum(w) OVER (PARTITION BY k) AS t, w / sum(w) OVER (PARTITION BY k) AS share, sqrt(y * y + z * z) AS chroma FROM r15), q AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY share DESC, j) - 1 AS place FROM s)
+    SELECT k AS l_suppkey, CASE WHEN any_value(t) >= 200 THEN CAST(max({{'c': CASE WHEN share > 0.05 THEN chroma ELSE -1 END, 'p': -place}}).p * -1 AS INTEGER) END AS chroma_at, CASE WHEN any_value(t) >= 200 THEN round(-sum(share * ln(share)) FILTER (share > 0), 6) END AS diversity FROM q GROUP BY 1"""
+
+
 def _fit(i: int) -> str:
     s = "SELECT l_suppkey, avg(x) AS mx, avg(w) AS mw, avg(y) AS my, var_pop(x) AS xx, var_pop(w) AS ww, covar_pop(x, w) AS xw, covar_pop(x, y) AS xy, covar_pop(w, y) AS wy FROM u{i} GROUP BY 1"
     return f"""c{i} AS MATERIALIZED (SELECT *, (xy * ww - wy * xw) / (xx * ww - xw * xw) AS b, (wy * xx - xy * xw) / (xx * ww - xw * xw) AS c FROM ({s.format(i=i)})),
