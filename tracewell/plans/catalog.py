@@ -60,10 +60,10 @@ def levels(analyses: DataFrame) -> DataFrame:
 
 def closure(spark: SparkSession, analyses: DataFrame, wanted: list[str]) -> DataFrame:
     """analysis, role: all that the wanted artifacts need; input, intermediate or final."""
-    edges(analyses).createOrReplaceTempView("tracewell_edges")
-    analyses.select("analysis", F.explode("makes").alias("artifact")).where(F.col("artifact").isin(wanted)).createOrReplaceTempView("tracewell_wanted")
-    found = spark.sql("WITH RECURSIVE need(analysis) AS (SELECT analysis FROM tracewell_wanted UNION ALL SELECT e.upstream FROM need n JOIN tracewell_edges e ON e.analysis = n.analysis) SELECT DISTINCT analysis FROM need")
-    final = spark.table("tracewell_wanted").select("analysis", F.lit(True).alias("final")).distinct()
+    made = analyses.select("analysis", F.explode("makes").alias("artifact")).where(F.col("artifact").isin(wanted))
+    need = "WITH RECURSIVE need(analysis) AS (SELECT analysis FROM {made} UNION ALL SELECT e.upstream FROM need n JOIN {links} e ON e.analysis = n.analysis) SELECT DISTINCT analysis FROM need"
+    found = spark.sql(need, made=made, links=edges(analyses))
+    final = made.select("analysis", F.lit(True).alias("final")).distinct()
     reads = analyses.select("analysis", (F.size("reads") == 0).alias("source"))
     out = found.join(final, "analysis", "left").join(reads, "analysis")
     return out.select("analysis", F.when(F.col("final"), "final").when(F.col("source"), "input").otherwise("intermediate").alias("role"))
