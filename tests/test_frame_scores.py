@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tracewell.plans.scores import SCORES, frame_scores
+from tracewell.plans.scores import SCORES, frame_scores, portrait_objective
 from tracewell.queries.records import CHANGES, READINGS, q01
 
 NUMBERS = [n for n in READINGS if n not in ("valid", "scene_phase")]
@@ -48,3 +48,10 @@ def test_one_exchange(spark, capsys):
 def test_channels_agree_with_their_scores(spark):
     own = q01(spark, "/root/testdata/sf0.001").where("`when` is not null and rarity is not null and scene is not null and impact is not null")
     assert own.where("`when` + 1e-3 < greatest(impact, rarity, scene)").count() == 0 and own.where(F.col("highlight") < F.col("rank_sig") - 1e-3).count() == 0
+
+
+def test_objective_without_blink_or_blur(spark):
+    rows = [("a", 0, 10.0, None, None, 50.0, None, None), ("a", 1, 10.0, 1.0, 1.0, 100.0, None, 0.225), ("b", 0, 0.0, 0.0, 0.0, None, 0.19, 0.3), ("b", 1, None, 0.0, 0.0, 3.0, 0.19, 0.3)]
+    df = spark.createDataFrame(rows, "t string, f long, yaw double, pitch double, roll double, blur double, query_dist double, blink double").selectExpr("*", "CAST(NULL AS DOUBLE) AS em_conf", "CAST(NULL AS DOUBLE) AS em_vel")
+    got = {(r["t"], r["f"]): r["objective"] for r in portrait_objective(df, ["t"]).collect()}
+    assert got == {("a", 0): round(5 / 6 + 0.5 + 1, 4), ("a", 1): round(0.8 + 1 + 0.5, 4), ("b", 0): 1.5, ("b", 1): None}

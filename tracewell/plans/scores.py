@@ -53,13 +53,14 @@ def likeness(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def portrait_objective(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """frames with objective: frontal, sharp and warm, weighted by coherence and steadiness; 4 places."""
+    """frames with objective: frontal, sharp and warm, weighted by coherence and steadiness; 4 places. NULL only without a yaw: a missing pitch, roll or blur counts 0, and
+    a frame without a distance to the query is as warm as its eyes are open, fully so where no blink was read."""
     def part(x: Column, most: Column | float) -> Column:
         return clip(x / most, 0.0, 1.0)
 
-    front = 1 - part(F.abs("yaw") + F.abs("pitch") + F.abs("roll"), 60.0)
-    sharp = part(F.col("blur"), F.nullif(F.max("blur").over(Window.partitionBy(*keys)), F.lit(0.0)))
-    warm = F.coalesce(1 - part(F.col("query_dist"), 0.38), 1 - part(F.col("blink"), 0.45))
+    front = 1 - part(F.abs("yaw") + F.coalesce(F.abs("pitch"), F.lit(0.0)) + F.coalesce(F.abs("roll"), F.lit(0.0)), 60.0)
+    sharp = F.coalesce(part(F.col("blur"), F.nullif(F.max("blur").over(Window.partitionBy(*keys)), F.lit(0.0))), F.lit(0.0))
+    warm = F.coalesce(1 - part(F.col("query_dist"), 0.38), 1 - part(F.coalesce("blink", F.lit(0.0)), 0.45))
     sure = F.coalesce(clip(0.7 + 0.5 * F.col("em_conf"), 0.0, 1.0), F.lit(1.0))
     steady = F.coalesce(clip(1 - 0.3 * F.col("em_vel"), 0.5, 1.0), F.lit(1.0))
     return frames.withColumn("objective", F.round((front + sharp + warm) * sure * steady, 4))
