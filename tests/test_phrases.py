@@ -2,9 +2,10 @@
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from tracewell.streaming.phrases import drained_phrases, phrases
+from tracewell.streaming.phrases import Phrases, drained_phrases, phrases
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -23,3 +24,36 @@ def test_phrases_with_late_rows(spark, tmp_path):
     start = int(T0.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
     got = sorted((r["kind"], r["key"] or "", (r["first"] - start) // 1_000_000, (r["last"] - start) // 1_000_000, r["n"], r["total"]) for r in found)
     assert got == [("late", "a", 2, 2, 1, 16.0), ("phrase", "", 3, 3, 1, 1.0), ("phrase", "a", 0, 1, 2, 3.0), ("phrase", "a", 3, 5, 3, 12.0), ("phrase", "b", 0, 0, 1, 1.0), ("phrase", "b", 100, 102, 3, 3.0)]
+
+
+def test_one_timer_a_key():
+    class State:
+        def __init__(self):
+            self.held, self.timers = [], []
+
+        def get(self):
+            return iter(self.held)
+
+        def put(self, rows):
+            self.held = list(rows)
+
+        def clear(self):
+            self.held = []
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Clock:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    own, state = Phrases(1_000_000), State()
+    own.open, own.handle = state, state
+    assert list(own.handleInputRows(("k",), iter([pd.DataFrame({"at": [i * 10_000_000 for i in range(50)], "x": [1.0] * 50})]), Clock(0))) == []
+    assert state.timers == [1001]  # of 50 phrases
+    first = list(own.handleExpiredTimer(("k",), Clock(20_000), None))
+    assert [len(x) for x in first] == [2] and state.timers == [1001, 21001]
+    assert [len(x) for x in own.handleExpiredTimer(("k",), Clock(10_000_000), None)] == [48] and state.held == []

@@ -18,7 +18,8 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 
 class Phrases(StatefulProcessor):
     """State of a key: its open phrases (first, last, n, total). A row joins those it is within `gap` of, several become one. A phrase whose end is `gap` before the watermark can't grow any
-    more: a timer hands it on and forgets it, so state is what is open, whatever the stream's length."""
+    more: a timer hands it on and forgets it, so state is what is open, whatever the stream's length. A key has one timer, that of its earliest phrase, and sets the next when it is called, so a
+    jump of the watermark calls a key once, not once a phrase."""
 
     def __init__(self, gap: int):
         self.gap = gap
@@ -33,6 +34,11 @@ class Phrases(StatefulProcessor):
         out.insert(0, "kind", kind)
         return out
 
+    def _kept(self, phrases: list[tuple]) -> None:
+        """Phrases in order are put, with a timer for the first to end."""
+        self.open.put(phrases)
+        self.handle.registerTimer((phrases[0][1] + self.gap) // 1000 + 1)
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held, bound = [tuple(x) for x in self.open.get()], timerValues.getCurrentWatermarkInMs()
         late: list[tuple] = []
@@ -49,9 +55,7 @@ class Phrases(StatefulProcessor):
             else:
                 joined.append((first, last, n, total))
         if joined:
-            self.open.put(joined)
-            for _, last, _, _ in joined:
-                self.handle.registerTimer((last + self.gap) // 1000 + 1)
+            self._kept(joined)
         if late:
             yield self._rows(key, "late", late)
 
@@ -61,7 +65,7 @@ class Phrases(StatefulProcessor):
         if done:
             left = [p for p in held if p[1] + self.gap > bound]
             if left:
-                self.open.put(left)
+                self._kept(left)
             else:
                 self.open.clear()
             yield self._rows(key, "phrase", done)
