@@ -34,10 +34,13 @@ def normalised(a: Column) -> Column:
 def mean_vector(rows: DataFrame, keys: list[str], vector: str, out: str, robust: bool = False) -> DataFrame:
     """Per group the entry-wise mean (or median) of a vector column.
 
-    Entries are aggregated by position with map-side combine, so a group is never gathered.
+    Entries are aggregated by position with map-side combine, so a group is never gathered. Medians are taken of counted values, which come by group: a task that
+    met a few rows of each group would make a table of values for each of them.
     """
     entry = rows.select(*keys, F.posexplode(vector).alias("__at", "__x"))
-    centre = F.median("__x") if robust else F.avg("__x")
+    if robust:
+        entry = entry.groupBy(*keys, "__at", "__x").agg(F.count("*").alias("__n")).repartition(*keys, "__at")
+    centre = F.percentile("__x", 0.5, F.col("__n")) if robust else F.avg("__x")
     by = entry.groupBy(*keys, "__at").agg(centre.alias("__x"))
     whole = by.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__at", "__x"))).alias("__all"))
     return whole.select(*keys, F.transform("__all", lambda s: s["__x"]).alias(out))
