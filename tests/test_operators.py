@@ -352,3 +352,13 @@ def test_sharing_frames(spark):
     pairs = spark.createDataFrame([("c", 1, 2), ("c", 1, 3), ("d", 1, 3), ("c", 1, None)], "clip string, a long, b long")
     got = {(r["clip"], r["a"], r["b"]): r["overlap"] for r in J.sharing_frames(pairs, rows, ["clip"], "frame", "s").collect()}
     assert got == {("c", 1, 2): True, ("c", 1, 3): False, ("d", 1, 3): False, ("c", 1, None): False}
+
+
+def test_robust_z_of_several_columns_takes_two_windows(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0, None), ("a", 4.0, 2.0, 1.0), ("a", 9.0, 8.0, 3.0), (None, 1.0, 1.0, 1.0)], "t string, x double, y double, z double")
+    both = W.robust_zs(df, {"x": "zx", "y": "zy", "z": "zz"}, ["t"], positive=True)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
+    one = df
+    for c in "xyz":
+        one = W.robust_z(one, c, ["t"], f"z{c}", positive=True)
+    assert sorted(map(str, both.collect())) == sorted(map(str, one.select(*both.columns).collect()))

@@ -5,7 +5,7 @@ Each takes the track keys and an order column, so that windows of one track shar
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,11 +45,16 @@ def filled(x: Column, keys: Keys) -> Column:
 
 def robust_z(rows: DataFrame, x: str, keys: Keys, out: str, scaled: bool = True, positive: bool = False) -> DataFrame:
     """(x - median) / (1.4826 MAD + 1e-9) for each track; without the factor if not scaled; the positive part if asked."""
+    return robust_zs(rows, {x: out}, keys, scaled, positive)
+
+
+def robust_zs(rows: DataFrame, named: Mapping[str, str], keys: Keys, scaled: bool = True, positive: bool = False) -> DataFrame:
+    """robust_z of several columns (x -> out) by two windows in all."""
     w = whole(keys)
-    rows = rows.withColumn("__m", F.median(x).over(w))
-    rows = rows.withColumn("__d", F.median(F.abs(F.col(x) - F.col("__m"))).over(w))
-    z = (F.col(x) - F.col("__m")) / (F.col("__d") * (1.4826 if scaled else 1.0) + _TINY)
-    return rows.withColumn(out, F.greatest(z, F.lit(0.0)) if positive else z).drop("__m", "__d")
+    rows = rows.withColumns({f"__m_{x}": F.median(x).over(w) for x in named})
+    rows = rows.withColumns({f"__d_{x}": F.median(F.abs(F.col(x) - F.col(f"__m_{x}"))).over(w) for x in named})
+    z = {out: (F.col(x) - F.col(f"__m_{x}")) / (F.col(f"__d_{x}") * (1.4826 if scaled else 1.0) + _TINY) for x, out in named.items()}
+    return rows.withColumns({out: F.greatest(v, F.lit(0.0)) if positive else v for out, v in z.items()}).drop(*[f"__{k}_{x}" for x in named for k in "md"])
 
 
 def state_scaled(rows: DataFrame, names: Sequence[str], keys: Keys) -> DataFrame:
@@ -117,11 +122,12 @@ def is_peak(x: Column, keys: Keys, order: str) -> Column:
     return F.coalesce((x >= F.lag(x).over(w)) & (x >= F.lead(x).over(w)), F.lit(False))
 
 
-def burnt_in(rows: DataFrame, x: str, started: Column, keys: Keys, order: str, skip: int, out: str) -> DataFrame:
-    """Adds `out`: x, but NULL outside `started` rows and in the first `skip` rows counted from the track's first started row."""
+def burnt_in(rows: DataFrame, x: str | Mapping[str, str], started: Column, keys: Keys, order: str, skip: int, out: str | None = None) -> DataFrame:
+    """Adds `out`: x, but NULL outside `started` rows and in the first `skip` rows counted from the track's first started row. x may be several columns (x -> out)."""
     rows = rows.withColumn("__n", F.row_number().over(ordered(keys, order)))
     rows = rows.withColumn("__first", F.min(F.when(started, F.col("__n"))).over(whole(keys)))
-    return rows.withColumn(out, F.when(started & (F.col("__n") >= F.col("__first") + skip), F.col(x))).drop("__n", "__first")
+    named = x if isinstance(x, Mapping) else {x: out}
+    return rows.withColumns({o: F.when(started & (F.col("__n") >= F.col("__first") + skip), F.col(c)) for c, o in named.items()}).drop("__n", "__first")
 
 
 def percentile_rank(x: Column, keys: Keys) -> Column:

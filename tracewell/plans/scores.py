@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.numbers import clip, mean_of, preference
 from tracewell.functions.text import line_scores
-from tracewell.operators.windows import burnt_in, filled, gradient, minmax, robust_z, whole
+from tracewell.operators.windows import burnt_in, filled, gradient, minmax, robust_zs, whole
 
 
 def when(impact: Column, rarity: Column, scene: Column, valence: Column) -> Column:
@@ -23,20 +23,21 @@ def which(valence: Column, detection: Column, yaw: Column, em_conf: Column, vali
     return clip(0.5 + 0.5 * valence, 0.0, 1.0) * visible * (0.4 + 0.6 * F.coalesce(em_conf, F.lit(0.5))) * F.coalesce(valid.cast("double"), F.lit(1.0))
 
 
-def impact(frames: DataFrame, keys: Sequence[str], order: str, groups: dict[str, tuple[Sequence[str], str]]) -> DataFrame:
+def impact(frames: DataFrame, keys: Sequence[str], order: str, groups: dict[str, tuple[Sequence[str], str]], also: dict[str, str] | None = None) -> DataFrame:
     """frames with impact: the mean over channels of the positive robust z of how fast a channel's signals change.
 
     groups: channel -> (signals, how): 'sum' adds the absolute gradients (NULLs first taken as the track's median), 'max' takes the greatest (NULL as 0),
-    'hypot' their length.
+    'hypot' their length. The positive robust z of other columns (also: column -> name) comes by the same windows.
     """
     names = sorted({s for signals, _ in groups.values() for s in signals})
     how = {s: kind for signals, kind in groups.values() for s in signals}
     frames = frames.withColumns({f"__f_{s}": F.coalesce(s, F.lit(0.0)) if how[s] == "max" else filled(F.col(s), keys) for s in names})
     frames = frames.withColumns({f"__g_{s}": gradient(F.col(f"__f_{s}"), keys, order) for s in names})
+    joints = {}
     for channel, (signals, kind) in groups.items():
         steps = [F.abs(f"__g_{s}") for s in signals]
-        joint = F.greatest(*steps) if kind == "max" and len(steps) > 1 else steps[0] if kind == "max" else F.sqrt(sum((s * s for s in steps), F.lit(0.0))) if kind == "hypot" else sum(steps, F.lit(0.0))
-        frames = robust_z(frames.withColumn(f"__c_{channel}", joint), f"__c_{channel}", keys, f"z_{channel}", positive=True)
+        joints[f"__c_{channel}"] = F.greatest(*steps) if kind == "max" and len(steps) > 1 else steps[0] if kind == "max" else F.sqrt(sum((s * s for s in steps), F.lit(0.0))) if kind == "hypot" else sum(steps, F.lit(0.0))
+    frames = robust_zs(frames.withColumns(joints), {**{f"__c_{c}": f"z_{c}" for c in groups}, **(also or {})}, keys, positive=True)
     frames = frames.withColumn("impact", mean_of([F.col(f"z_{c}") for c in groups]))
     return frames.drop(*[f"__{k}_{s}" for k in "fg" for s in names], *[f"__c_{c}" for c in groups])
 
@@ -98,14 +99,13 @@ def frame_scores(frames: DataFrame, keys: Sequence[str], order: str, changes: di
         return F.coalesce(F.col(name), F.lit(0.0))
 
     riding = F.coalesce(F.col("scene_phase") == "ride", F.lit(False))
-    rows = robust_z(impact(frames, keys, order, changes).withColumn("__rare", F.col("rarity")).drop("rarity"), "__rare", keys, "rarity", positive=True)
+    rows = impact(frames.withColumn("__rare", F.col("rarity")).drop("rarity"), keys, order, changes, {"__rare": "rarity"})
     rows = rows.withColumn("rarity", F.when(F.col("__rare").isNotNull(), F.col("rarity")))  # the positive part of NULL is 0
     rows = likeness(rows.withColumn("scene_phase", F.coalesce("scene_phase", F.lit(""))), keys)
     shows = which(F.col("valence"), F.col("det"), F.col("yaw"), F.col("em_conf"), F.col("valid"))
     rows = rows.withColumns({"is_ride": riding, "which": shows, "__when": when(F.col("impact"), F.col("rarity"), F.col("scene"), F.col("valence"))})
     rows = rows.withColumns({"__rank": F.greatest("impact", "scene", 3 * F.greatest(F.col("valence"), F.lit(0.0))) * F.col("which"), "__high": F.col("__when") * F.col("which")})
-    for made, out in {"__when": "when", "__rank": "rank_sig", "__high": "highlight"}.items():
-        rows = burnt_in(rows, made, F.col("is_ride"), keys, order, int(BURN_IN * fps), out)
+    rows = burnt_in(rows, {"__when": "when", "__rank": "rank_sig", "__high": "highlight"}, F.col("is_ride"), keys, order, int(BURN_IN * fps))
 
     rows = rows.withColumn("__q", unit(F.col("blur")) - 2 * F.abs(F.col("exposure") - 0.45) - 3 * (F.col("clipped") + F.col("crushed")))
     joy, typical = unit(F.greatest(zero("valence"), F.lit(0.0))), 2 * F.coalesce(F.median("center_dist").over(whole(keys)), F.lit(1.0)) + 1e-9
