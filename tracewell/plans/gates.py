@@ -96,12 +96,13 @@ def judged(frames: DataFrame, keys: Sequence[str], frame: str, p: Preset) -> Dat
     return out.withColumn("reason", first_reason(cases, "no_view"))
 
 
-def judged_twice(frames: DataFrame, clip: str, track: str, frame: str, embedding: str, p: Preset) -> DataFrame:
+def judged_twice(frames: DataFrame, clip: str, track: str, frame: str, embedding: str, p: Preset, parts: int | None = None) -> DataFrame:
     """Two passes: the frames admitted without embedding evidence give each track a centroid (from centroid_least frames on); the second
-    pass also knows how near a frame is to its own and to the nearest other centroid of its clip."""
+    pass also knows how near a frame is to its own and to the nearest other centroid of its clip. Each pass deals the tracks over `parts` partitions (None: the session's)."""
+    deal = lambda rows: rows if parts is None else rows.repartition(parts, clip, track)
     blank = frames.withColumns({"cos_self": F.lit(None).cast("double"), "cos_other": F.lit(None).cast("double")})
-    first = judged(blank, [clip, track], frame, p).where("admit").select(clip, track, normalised(doubles(F.col(embedding))).alias("__v"))
+    first = judged(deal(blank), [clip, track], frame, p).where("admit").select(clip, track, normalised(doubles(F.col(embedding))).alias("__v"))
     first = first.withColumn("__n", F.count("*").over(Window.partitionBy(clip, track))).where(F.col("__n") >= p.centroid_least)
     centroids = mean_vector(first, [clip, track], "__v", "__c").withColumn("__c", normalised(F.col("__c")))
     near = rival_similarity(frames.drop("cos_self", "cos_other").withColumn("__e", doubles(F.col(embedding))), centroids, [clip], track, "__e", "__c").drop("__e")
-    return judged(near, [clip, track], frame, p)
+    return judged(deal(near), [clip, track], frame, p)

@@ -29,10 +29,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a partition whose tracks are sorted for windows, at most on average, and those that are worth one of their own (fixed values).
+MOST, LEAST = 200_000, 10_000
+
+
+def parts_of(rows: DataFrame) -> int:
+    """How many partitions rows are dealt over: as many as keep a task's sorts small whatever the input's size; small inputs take no more than the session says."""
+    n = rows.count()
+    return max(1, -(-n // MOST), min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST)))
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows by keys, over parts_of(rows) partitions."""
+    return rows.repartition(parts_of(rows), *keys)
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as frames: a user is a track, its events in time are its frames."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
+    return dealt(table(spark, sf_dir, "events"), "user_id").select(
         F.col("user_id").alias("track_id"), (F.row_number().over(w) - 1).cast("long").alias("frame_idx"), "event_id", "ts", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k")
     )
 
@@ -56,7 +71,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as a frame table with every signal of the gates, NULLs among them; a supplier is a track."""
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_quantity"]
     w = Window.partitionBy("l_suppkey").orderBy(*order)
-    return table(spark, sf_dir, "lineitem").withColumn("frame_idx", (F.row_number().over(w) - 1).cast("long")).selectExpr("l_suppkey AS track_id", "frame_idx", *[f"{sql} AS {name}" for name, sql in _SIGNALS.items()])
+    return dealt(table(spark, sf_dir, "lineitem"), "l_suppkey").withColumn("frame_idx", (F.row_number().over(w) - 1).cast("long")).selectExpr("l_suppkey AS track_id", "frame_idx", *[f"{sql} AS {name}" for name, sql in _SIGNALS.items()])
 
 
 _SIGNALS = {
