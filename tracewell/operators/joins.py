@@ -21,9 +21,10 @@ def frame_table(base: DataFrame, others: Sequence[DataFrame], keys: Keys) -> Dat
     return reduce(lambda a, b: a.join(b, list(keys), "left"), others, base)
 
 
-def strictly_aligned(base: DataFrame, other: DataFrame, keys: Keys, frame: str) -> DataFrame:
-    """Left join, but a track of which one frame has no partner gets none at all."""
-    joined = base.join(other.withColumn("__here", F.lit(True)), [*keys, frame], "left")
+def strictly_aligned(base: DataFrame, other: DataFrame, keys: Keys, frame: str, parts: int | None = None) -> DataFrame:
+    """Left join, but a track of which one frame has no partner gets none at all. Rows are dealt over `parts` partitions (None: the session's)."""
+    deal = lambda rows, *by: rows if parts is None else rows.repartition(parts, *by)
+    joined = deal(deal(base, *keys, frame).join(deal(other.withColumn("__here", F.lit(True)), *keys, frame), [*keys, frame], "left"), *keys)
     lost = F.max(F.col("__here").isNull()).over(Window.partitionBy(*keys))
     added = [c for c in other.columns if c not in (*keys, frame)]
     joined = joined.withColumn("__lost", lost)

@@ -10,7 +10,7 @@ from tracewell.operators import joins as J
 from tracewell.operators import selection as K
 from tracewell.operators.aggregates import cohort_median
 from tracewell.operators.windows import robust_z
-from tracewell.queries.book import CENTRES, FRAMES, VECTORS, Book, frames, rounded, table, vectors
+from tracewell.queries.book import CENTRES, FRAMES, VECTORS, Book, frames, parts_of, rounded, table, vectors
 
 BOOK = Book()
 KEYS = ["track_id"]
@@ -105,10 +105,12 @@ def j01(spark: SparkSession, d: str) -> DataFrame:
 @BOOK.add("j03_strict_alignment", """WITH l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), p AS (SELECT p_partkey, p_size FROM part WHERE p_size <> 50), j AS (SELECT l_suppkey, l_partkey, p_size, max(CAST(p_partkey IS NULL AS INT)) OVER (PARTITION BY l_suppkey) AS lost FROM l LEFT JOIN p ON p_partkey = l_partkey)
     SELECT l_suppkey, l_partkey, CASE WHEN lost = 0 THEN p_size END AS p_size FROM j""")
 def j03(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    whole = table(spark, d, "lineitem")
+    n = parts_of(whole)
+    lines = whole.select("l_suppkey", "l_partkey").repartition(n, "l_suppkey", "l_partkey").distinct()
     sizes = table(spark, d, "part").where("p_size <> 50").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    pairs = lines.join(sizes, "l_partkey").select("l_suppkey", "l_partkey", "p_size")
-    return J.strictly_aligned(lines, pairs, ["l_suppkey"], "l_partkey").select("l_suppkey", "l_partkey", "p_size")
+    pairs = lines.repartition(n, "l_partkey").join(sizes.repartition(n, "l_partkey"), "l_partkey").select("l_suppkey", "l_partkey", "p_size")
+    return J.strictly_aligned(lines, pairs, ["l_suppkey"], "l_partkey", n).select("l_suppkey", "l_partkey", "p_size")
 
 
 @BOOK.add("j05_semi_anti", """SELECT s_suppkey, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_quantity > 49) AS seen FROM supplier""")
