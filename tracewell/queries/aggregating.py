@@ -12,7 +12,7 @@ from tracewell.operators import aggregates as A
 from tracewell.operators import centres, kernels, moments
 from tracewell.operators.windows import robust_z
 from tracewell.plans import catalog, evals, readings, subjects
-from tracewell.queries.book import CENTRES, FRAMES, VECTORS, Book, frames, rounded, table, vectors
+from tracewell.queries.book import CENTRES, FRAMES, VECTORS, Book, dealt, frames, rounded, table, vectors
 from tracewell.sources.checkpoints import scratch
 from tracewell.sources.tables import latest, manifest
 from tracewell.streaming import streams
@@ -130,7 +130,7 @@ def a28(spark: SparkSession, d: str) -> DataFrame:
 
 @BOOK.add("a29_rank_correlation", """WITH r AS (SELECT l_suppkey, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2 AS a, rank() OVER (PARTITION BY l_suppkey ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_suppkey, l_discount) - 1) / 2 AS b FROM lineitem) SELECT l_suppkey, round(corr(a, b), 6) AS rho FROM r GROUP BY 1""")
 def a29(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.rank_correlation(table(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_discount"), "rho")
+    return rounded(A.rank_correlation(dealt(table(spark, d, "lineitem"), "l_suppkey"), ["l_suppkey"], "l_quantity", "l_discount"), "rho")
 
 
 @BOOK.add("a31_outcomes", f"WITH {FRAMES} SELECT track_id, event_type, count(*) AS n, string_agg(event_id, ',' ORDER BY frame_idx) AS stages FROM f GROUP BY 1, 2")
