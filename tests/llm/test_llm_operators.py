@@ -465,6 +465,37 @@ def test_near_copies_in_families_of_one_template(spark, monkeypatch, chunk):
     assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()) == want
 
 
+def test_pairs_of_a_near_group_grow_with_its_members(spark, monkeypatch):
+    made, links = [], near_copies._links
+    monkeypatch.setattr(near_copies, "_links", lambda texts, pairs, *more: (made.append(pairs.count()), links(texts, pairs, *more))[1])
+    rng = random.Random(22)
+    words = [f"w{i}" for i in range(200)]
+    for count in (100, 400):
+        texts = []
+        for i in range(count):
+            own = list(words)
+            # two texts are linked if they have four edits together at most
+            for at in rng.sample(range(40), 2 + i % 4):
+                own[5 * at] = f"v{i}x{at}"
+            texts.append(" ".join(own))
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DDL)
+        made.clear()
+        kept = sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs).collect())
+        assert kept == _kept_by_brute_force(texts) and 1 < len(kept) < count
+        assert sum(made) < 8 * count
+
+
+def test_sketches_differ_in_no_more_than_their_sets():
+    rng = np.random.default_rng(23)
+    for n in (0, 1, 30, 300, 5000):
+        pool = rng.integers(0, 2**64, n + n // 5, dtype=np.uint64)
+        both = [np.unique(rng.choice(pool, n, replace=False)) if n else pool for _ in range(2)]
+        cuts = np.cumsum([0, *map(len, both)])
+        x, y = near_copies.sketches(np.concatenate(both), cuts)
+        differing, apart = int(np.bitwise_count(x ^ y).sum()), len(np.setxor1d(*both))
+        assert differing <= apart and (n not in (30, 300) or differing > 0.8 * apart)
+
+
 def test_near_copies_in_chains_of_edits(spark):
     rng = random.Random(19)
     texts = []

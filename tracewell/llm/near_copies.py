@@ -9,6 +9,8 @@
    each with all behind it, until all members are in one component or every pair has been compared. Pairs of one component are passed over. Large groups of
    close classes are thus done in a round or two; when few comparisons are left in all buckets, the next round makes them all.
    A bucket over CHUNK members is dealt in chunks, and the members whose turn it is are sent to each of them, so no task holds a hot bucket.
+   Members carry sketches of their sets there. Two sketches differ in no more bits than their sets do in shingles, so a pair whose sketches differ in more than
+   `similarity` allows is none and goes no further. Nearly all pairs that leave a large bucket are links, and those of one component are passed over: a group's pairs grow with its members, not their square.
 4. Pairs are compared by their whole shingle sets, built anew from the two texts.
 5. Components of the links are the groups.
 """
@@ -37,6 +39,8 @@ SMALL, CHUNK = 8, 50_000
 FEW_PAIRS = 100_000
 #: Once no more comparisons than this are left in all buckets together, they are all made in one round.
 FEW_COMPARISONS = 20_000
+#: Bits of a sketch. They tell sets apart well up to about as many shingles; beyond twice that they rule out few pairs, and none that is a link.
+SKETCH = 1024
 #: Words of a fingerprint's shingles.
 FINGERPRINT_WORDS = 3
 _EPS = 1e-9
@@ -64,6 +68,15 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
+def sketches(shingles: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """SKETCH bits of each set (a row of words): whether an odd number of its shingles has that place. Each shingle in one set only changes one bit."""
+    place = mixed(shingles, 41) % np.uint64(SKETCH)
+    out = np.zeros((len(cuts) - 1, SKETCH // 64), np.uint64)
+    row = np.repeat(np.arange(len(out)), np.diff(cuts))
+    np.bitwise_xor.at(out, (row, (place // np.uint64(64)).astype(np.int64)), np.uint64(1) << place % np.uint64(64))
+    return out
+
+
 def _texts(blobs: list[bytes]) -> pa.Array:
     opened = zstandard.ZstdDecompressor()
     return pa.array([opened.decompress(x).decode() for x in blobs], pa.large_string())
@@ -102,13 +115,29 @@ def _prefixes(width: int, similarity: float, common: np.ndarray):
     return run
 
 
+def _sketched(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "blob", 1 << 19):
+            own = sketches(*shingle_sets(_texts(piece.column(1).to_pylist()), width))
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([x.tobytes() for x in own], pa.binary())], ["copy", "bits"])
+
+    return run
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """A column of numbers, or the rows of one of sketches."""
+    if not (pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)):
+        return column.to_numpy()
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH // 64)
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of rows sorted by the first, cut so that no value of it is divided."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [c.to_numpy() for c in batch.columns]
+        now = [_numbers(c) for c in batch.columns]
         cut = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
         if cut:
             held.append([c[:cut] for c in now])
@@ -135,6 +164,12 @@ def _similar(x: np.ndarray, y: np.ndarray, n: np.ndarray, pos: np.ndarray, simil
     return enough & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - _EPS)
 
 
+def _near(x: np.ndarray, y: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the row pairs (x, y) may have `similarity`, by their sketches."""
+    # sets of this similarity differ in (1 - similarity) / (1 + similarity) of their shingles at most
+    return np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (n[x].astype(np.int64) + n[y]) + 1e-6
+
+
 def _shared(similarity: float):
     """The pairs of small buckets (copy, other; key null) and the rows of larger ones with their ranks (other null); rows come sorted by bucket."""
     names = ["key", "copy", "other", "n", "pos", "rank"]
@@ -185,7 +220,7 @@ def _pairs(high: int, similarity: float):
     """Members of ranks below high, which come first, with all behind them that are not in their component and may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, chunk, rank, copy, root, n, pos in _buckets(batches):
+        for key, chunk, rank, copy, root, n, pos, bits in _buckets(batches):
             edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]), [True])))
             size = np.diff(edge)
             start = np.repeat(edge[:-1], size)
@@ -196,7 +231,9 @@ def _pairs(high: int, similarity: float):
                 rest = rest[(place[rest] > r) & (turns[rest] > r)]
                 with_ = start[rest] + r
                 good = (root[rest] != root[with_]) & _similar(rest, with_, n, pos, similarity)
-                x, y = copy[rest[good]], copy[with_[good]]
+                x, y = rest[good], with_[good]
+                good = _near(x, y, n, bits, similarity)
+                x, y = copy[x[good]], copy[y[good]]
                 found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
                 if len(found) > 64:
                     found = [np.unique(np.concatenate(found), axis=0)]
@@ -206,8 +243,8 @@ def _pairs(high: int, similarity: float):
     return run
 
 
-def _dealt(alive: DataFrame, low: int, high: int, partitions: int) -> DataFrame:
-    """Rows of one chunk of a bucket side by side, the members whose turn it is first; those are in every chunk."""
+def _dealt(alive: DataFrame, bits: DataFrame, low: int, high: int, partitions: int) -> DataFrame:
+    """Rows of one chunk of a bucket with their sketches, the members whose turn it is first; those are in every chunk."""
     columns = ["key", "chunk", "rank", "copy", "root", "n", "pos"]
     large = alive.where(F.col("rank") >= CHUNK).groupBy("key").agg(F.max("rank").alias("last"))
     turn = alive.where((F.col("rank") >= low) & (F.col("rank") < high))
@@ -216,7 +253,7 @@ def _dealt(alive: DataFrame, low: int, high: int, partitions: int) -> DataFrame:
     else:
         turn = turn.join(large, "key", "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor(F.coalesce("last", F.lit(0)) / CHUNK).cast("int"))))
     rest = alive.where(F.col("rank") >= high).withColumn("chunk", F.floor(F.col("rank") / CHUNK).cast("int"))
-    both = turn.select(columns).unionByName(rest.select(columns))
+    both = turn.select(columns).unionByName(rest.select(columns)).join(bits.hint("merge"), "copy").select(*columns, "bits")
     return both.repartition(partitions, "key", "chunk").sortWithinPartitions("key", "chunk", "rank")
 
 
@@ -245,6 +282,15 @@ def _common(texts: DataFrame, width: int) -> np.ndarray:
     return np.sort(rows.column("key").to_numpy().view(np.uint64))
 
 
+def _sketches(texts: DataFrame, alive: DataFrame, width: int) -> DataFrame:
+    """(copy, bits): the sketch of each text in `alive`."""
+    own = written(alive.select("copy").distinct(), "large")
+    few = F.broadcast(own) if own.count() <= 2 * FEW_PAIRS else own.hint("merge")
+    bits = written(texts.select("copy", "blob").join(few, "copy", "left_semi").mapInArrow(_sketched(width), "copy long, bits binary"), "sketches")
+    discard(own)
+    return bits
+
+
 def _links(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of `similarity` or more."""
     n = pairs.count()
@@ -278,8 +324,9 @@ def similar_roots(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     first = met.where("key is null").select(F.col("copy").alias("a"), F.col("other").alias("b")).unionByName(fingerprint_pairs(texts))
     alive = met.where("key is not null").select("key", "copy", F.col("copy").alias("root"), "n", "pos", "rank")
     low, high, compared, roots, spent, rows = 0, 1, None, None, met, alive.count()
+    bits = _sketches(texts, alive, width)
     while True:
-        pairs = _dealt(alive, low, high, partitions).mapInArrow(_pairs(high, similarity), "a long, b long")
+        pairs = _dealt(alive, bits, low, high, partitions).mapInArrow(_pairs(high, similarity), "a long, b long")
         if compared is None:
             compared = pairs = written(pairs.unionByName(first).distinct(), "pairs")
         else:
@@ -297,7 +344,7 @@ def similar_roots(texts: DataFrame, width: int, similarity: float) -> DataFrame:
             discard(older)
         discard(links)
         if high == _ALL:
-            discard(spent)
+            discard(spent, bits)
             return roots
         with shuffles_for(texts.sparkSession, rows):
             left = alive.drop("root").join(roots.hint("merge"), F.col("copy") == roots["node"], "left").select("key", "copy", F.coalesce("root", "copy").alias("root"), "n", "pos", "rank")
@@ -307,7 +354,7 @@ def similar_roots(texts: DataFrame, width: int, similarity: float) -> DataFrame:
             n = F.col("rows")
             rows, comparisons = open_.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0))).first()
             if not rows:
-                discard(spent, open_)
+                discard(spent, open_, bits)
                 return roots
             alive = written(spread_join(left, open_.select("key"), "key", hot_values(open_, "key", "rows", rows), "copy"), "alive")
         discard(spent, open_)
