@@ -485,6 +485,58 @@ def test_pairs_of_a_near_group_grow_with_its_members(spark, monkeypatch):
         assert sum(made) < 8 * count
 
 
+@pytest.mark.parametrize("whole", [None, 12])
+def test_members_of_a_common_shingle_that_are_no_near_copies_go_no_further(spark, monkeypatch, whole):
+    # no shingle is put last, so the passage's are met by many texts; the second time buckets over 12 members are not parted
+    monkeypatch.setattr(near_copies, "COMMON", 10**9)
+    if whole:
+        monkeypatch.setattr(near_copies, "WHOLE", whole)
+    rows, write = {"alive": 0}, near_copies.written
+
+    def counted(df, name, *more):
+        out = write(df, name, *more)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "written", counted)
+    rng = random.Random(24)
+    passage = [f"p{i}" for i in range(60)]
+    for count in (40, 200):
+        texts = [" ".join([f"w{i}x{j}" for j in range(100)] + passage) for i in range(count)]
+        texts += [_edits(rng, texts[i % 3], 1 + i % 4) for i in range(count // 4)]
+        rng.shuffle(texts)
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DDL)
+        rows["alive"] = 0
+        assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()) == _kept_by_brute_force(texts)
+        assert whole or rows["alive"] < 2 * len(texts)
+        assert not whole or rows["alive"]
+
+
+def test_parts_keep_the_pairs_that_may_be_similar():
+    rng = np.random.default_rng(25)
+    key = np.sort(rng.integers(0, 9, 300))
+    n, pos = rng.integers(30, 3000, 300).astype(np.int32), rng.integers(0, 9, 300).astype(np.int32)
+    part = near_copies._parts(key, n, pos, 0.8)
+    x, y = np.triu_indices(300, 1)
+    good = (key[x] == key[y]) & near_copies._similar(x, y, n, pos, 0.8)
+    want = np.arange(300)
+    for a, b in zip(x[good].tolist(), y[good].tolist()):
+        want[want == max(want[a], want[b])] = min(want[a], want[b])
+    assert part.tolist() == want.tolist() and 9 < len(set(want.tolist())) < 300
+
+
+def test_sketches_of_long_sets():
+    rng = np.random.default_rng(26)
+    pool = rng.integers(0, 2**64, 14_000, dtype=np.uint64)
+    sets = [np.unique(x) for x in (pool[:6000], pool[600:6600], pool[6600:12_600], pool[:1400])]
+    cuts, n = np.cumsum([0, *map(len, sets)]), np.array([len(x) for x in sets], np.int32)
+    bits = near_copies.sketches(np.concatenate(sets), cuts)
+    more = [near_copies.sketches(x, np.array([0, len(x)]), near_copies.LONG_SKETCH).tobytes() if len(x) > near_copies.LONG else None for x in sets]
+    near = near_copies._near(np.array([0, 0, 1]), np.array([1, 2, 2]), n, bits, np.array(more, object), 0.8)
+    assert near.tolist() == [True, False, False]
+    assert near_copies._near(np.array([3]), np.array([3]), n, bits, np.array(more, object), 0.8).all()
+
+
 def test_sketches_differ_in_no_more_than_their_sets():
     rng = np.random.default_rng(23)
     for n in (0, 1, 30, 300, 5000):

@@ -5,7 +5,9 @@
 2. In one order of all shingles, two sets of the given similarity share a shingle within their first n - ceil(similarity * n) + 1. Classes meet on each of
    those, so no pair of the given similarity is missed, whatever its edits and however many documents there are. Shingles that a sample shows to be common
    come last in the order; that saves work and decides nothing.
-3. The members of a bucket of up to SMALL are compared at once. In a larger one the first member is compared with all others, then the next 8, 64 and so on,
+3. The members of a bucket of up to SMALL are compared at once. A larger one of up to WHOLE is first parted: two members stay together only if a chain of pairs that sizes, places
+   and sketches (below) let through joins them, and a member without any such pair goes. What those rule out is no link, so nothing is lost; buckets of a common shingle mostly vanish.
+   In a part, or a bucket over WHOLE, the first member is compared with all others, then the next 8, 64 and so on,
    each with all behind it, until all members are in one component or every pair has been compared. Pairs of one component are passed over. Large groups of
    close classes are thus done in a round or two; when few comparisons are left in all buckets, the next round makes them all.
    A bucket over CHUNK members is dealt in chunks, and the members whose turn it is are sent to each of them, so no task holds a hot bucket.
@@ -26,21 +28,23 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.components import components
+from tracewell.llm.components import components, least_reachable
 from tracewell.llm.simhash import close_links, majority_bits, shingle_hashes
 from tracewell.llm.store import discard, give_back, hot_values, partitions_for, shuffle_partitions, shuffles_for, spread_join, written
 from tracewell.llm.text import Words, mixed, pieces, plain, run_hash, spans, squeezed, unsqueezed
 
 #: Shingles are ordered by a sample of about so many texts; those in COMMON of them are common, the first COMMON_MOST count.
 SAMPLE, COMMON, COMMON_MOST = 10_000, 3, 100_000
-#: A bucket of so many members is compared pair by pair; CHUNK members of a larger one are held by a task at a time.
-SMALL, CHUNK = 8, 50_000
+#: A bucket of so many members is compared pair by pair; one of up to WHOLE is parted by a task, so a row costs WHOLE comparisons of sketches at most;
+#: CHUNK members of a larger one are held by a task at a time.
+SMALL, WHOLE, CHUNK = 8, 2048, 50_000
 #: The ends of up to so many pairs (two longs each) are broadcast to find their texts; those of more are joined by a shuffle.
 FEW_PAIRS = 100_000
 #: Once no more comparisons than this are left in all buckets together, they are all made in one round.
 FEW_COMPARISONS = 20_000
 #: Bits of a sketch. They tell sets apart well up to about as many shingles; beyond twice that they rule out few pairs, and none that is a link.
-SKETCH = 1024
+#: Sets of over LONG shingles have a second sketch of LONG_SKETCH bits.
+SKETCH, LONG, LONG_SKETCH = 1024, 1500, 8192
 #: Words of a fingerprint's shingles.
 FINGERPRINT_WORDS = 3
 _EPS = 1e-9
@@ -68,10 +72,10 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
-def sketches(shingles: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """SKETCH bits of each set (a row of words): whether an odd number of its shingles has that place. Each shingle in one set only changes one bit."""
-    place = mixed(shingles, 41) % np.uint64(SKETCH)
-    out = np.zeros((len(cuts) - 1, SKETCH // 64), np.uint64)
+def sketches(shingles: np.ndarray, cuts: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """`bits` bits of each set (a row of words): whether an odd number of its shingles has that place. Each shingle in one set only changes one bit."""
+    place = mixed(shingles, 41) % np.uint64(bits)
+    out = np.zeros((len(cuts) - 1, bits // 64), np.uint64)
     row = np.repeat(np.arange(len(out)), np.diff(cuts))
     np.bitwise_xor.at(out, (row, (place // np.uint64(64)).astype(np.int64)), np.uint64(1) << place % np.uint64(64))
     return out
@@ -118,14 +122,18 @@ def _prefixes(width: int, similarity: float, common: np.ndarray):
 def _sketched(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "blob", 1 << 19):
-            own = sketches(*shingle_sets(_texts(piece.column(1).to_pylist()), width))
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([x.tobytes() for x in own], pa.binary())], ["copy", "bits"])
+            shingles, cuts = shingle_sets(_texts(piece.column(1).to_pylist()), width)
+            own = sketches(shingles, cuts)
+            more = [sketches(shingles[a:b], np.array([0, b - a]), LONG_SKETCH).tobytes() if b - a > LONG else None for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(more, pa.binary())], ["copy", "bits", "more"])
 
     return run
 
 
-def _numbers(column: pa.Array) -> np.ndarray:
-    """A column of numbers, or the rows of one of sketches."""
+def _numbers(column: pa.Array, name: str) -> np.ndarray:
+    """A column of numbers, or the rows of one of sketches; those of long sets as they are."""
+    if name == "more":
+        return np.array([*column.to_pylist(), None], object)[:-1]
     if not (pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)):
         return column.to_numpy()
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH // 64)
@@ -137,7 +145,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [_numbers(c) for c in batch.columns]
+        now = [_numbers(c, name) for c, name in zip(batch.columns, batch.schema.names)]
         cut = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
         if cut:
             held.append([c[:cut] for c in now])
@@ -164,15 +172,46 @@ def _similar(x: np.ndarray, y: np.ndarray, n: np.ndarray, pos: np.ndarray, simil
     return enough & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - _EPS)
 
 
-def _near(x: np.ndarray, y: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
+def _near(x: np.ndarray, y: np.ndarray, n: np.ndarray, bits: np.ndarray, more: np.ndarray, similarity: float) -> np.ndarray:
     """Which of the row pairs (x, y) may have `similarity`, by their sketches."""
     # sets of this similarity differ in (1 - similarity) / (1 + similarity) of their shingles at most
-    return np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (n[x].astype(np.int64) + n[y]) + 1e-6
-
-
-def _shared(similarity: float):
-    """The pairs of small buckets (copy, other; key null) and the rows of larger ones with their ranks (other null); rows come sorted by bucket."""
-    names = ["key", "copy", "other", "n", "pos", "rank"]
+    most = (1 - similarity) / (1 + similarity) * (n[x].astype(np.int64) + n[y]) + 1e-6
+    good = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= most
+    both = np.flatnonzero(good & (n[x] > LONG) & (n[y] > LONG))
+    for at in range(0, len(both), 4096):
+        own = both[at : at + 4096]
+        p, q = (np.frombuffer(b"".join(more[z[own]]), np.uint64).reshape(len(own), -1) for z in (x, y))
+        good[own] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= most[own]
+    return good
+
+
+def _parts(key: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float, near=None) -> np.ndarray:
+    """For each row, sorted by bucket, the first row of its bucket to which a chain of pairs that may be similar leads."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    start, size = _ranks(key)
+    rest = every = np.arange(len(key))
+    place, part = every - start, every
+    for r in range(int(size.max()) - 1):
+        rest = rest[place[rest] > r]
+        x, y = rest, start[rest] + r
+        for good in (lambda: part[x] != part[y], lambda: _similar(x, y, n, pos, similarity), *([lambda: near(x, y)] if near else [])):
+            some = good()
+            x, y = x[some], y[some]
+        if len(x):
+            node, root = least_reachable(part[x], part[y])
+            to = every.copy()
+            to[node] = root
+            part = to[part]
+    return part
+
+
+def _shared(similarity: float, most: int):
+    """The pairs of small buckets (copy, other; key null) and the rows of larger ones with their ranks (other null); rows come sorted by bucket.
+
+    whole: the row's bucket has no more than `most` members. Those that can be similar to none of the others are left out.
+    """
+    names = ["key", "copy", "other", "n", "pos", "rank", "whole"]
 
     def pairs(key: np.ndarray, copy: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
         found = [np.zeros((0, 2), np.int64)]
@@ -181,9 +220,20 @@ def _shared(similarity: float):
             x = x[_similar(x, x + step, n, pos, similarity)]
             found.append(np.stack([np.minimum(copy[x], copy[x + step]), np.maximum(copy[x], copy[x + step])], 1))
         both = np.unique(np.concatenate(found), axis=0)
-        none = [pa.nulls(len(both), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())]
+        none = [pa.nulls(len(both), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())]
         return pa.RecordBatch.from_arrays([none[0], pa.array(both[:, 0]), pa.array(both[:, 1]), *none[1:]], names)
 
+    def out(now: list[np.ndarray], rank: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = np.flatnonzero((size > SMALL) & (size <= most))
+        first = _parts(*(now[i][part] for i in (0, 2, 3)), similarity)
+        some = np.sort(np.concatenate([np.flatnonzero(size > most), part[np.bincount(first, minlength=1)[first] > 1]]))
+        if len(some):
+            own = [pa.array(c[some]) for c in now]
+            yield pa.RecordBatch.from_arrays([*own[:2], pa.nulls(len(some), pa.int64()), *own[2:], pa.array(rank[some]), pa.array(size[some] <= most)], names)
+        some = np.flatnonzero((size <= SMALL) & (size > 1))
+        if len(some):
+            yield pairs(*(c[some] for c in now))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, gone, held = None, 0, []  # the bucket that may go on: its rows that are out already, or its rows
         for batch in batches:
@@ -194,24 +244,37 @@ def _shared(similarity: float):
                 now, held = [np.concatenate(c) for c in zip(held, now)], []
             start, size = _ranks(now[0])
             rank = np.arange(len(start)) - start
-            large = size > SMALL
             if gone and now[0][0] == key:
-                rank[: size[0]] += gone
-                large[: size[0]] = True
-            last = int(start[-1])
-            key, gone = now[0][-1], int(rank[-1]) + 1 if large[-1] else 0
+                first = slice(0, int(size[0]))
+                rank[first] += gone
+                size[first] += gone
+            key, gone = now[0][-1], int(size[-1]) if size[-1] > most else 0
+            end = len(start) if gone else int(start[-1])
             if not gone:
-                held = [c[last:] for c in now]
-            end = len(start) if gone else last
-            some = np.flatnonzero(large[:end])
-            if len(some):
-                out = [pa.array(c[some]) for c in now]
-                yield pa.RecordBatch.from_arrays([*out[:2], pa.nulls(len(some), pa.int64()), *out[2:], pa.array(rank[some])], names)
-            some = np.flatnonzero(~large[:end] & (size[:end] > 1))
-            if len(some):
-                yield pairs(*(c[some] for c in now))
+                held = [c[end:] for c in now]
+            yield from out([c[:end] for c in now], rank[:end], size[:end])
         if held:
-            yield pairs(*held)
+            start, size = _ranks(held[0])
+            yield from out(held, np.arange(len(start)) - start, size)
+
+    return run
+
+
+def _parted(similarity: float):
+    """Rows of whole buckets, sorted by bucket, in parts that no pair which may be similar leaves; members without such a pair go. A part's key is a hash of its members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, copy, n, pos, bits, more in _buckets(batches):
+            part = _parts(key, n, pos, similarity, lambda x, y: _near(x, y, n, bits, more, similarity))
+            own = np.argsort(part, kind="stable")
+            own = own[np.bincount(part, minlength=len(part))[part[own]] > 1]
+            part = part[own]
+            if not len(own):
+                continue
+            start, size = _ranks(part)
+            rank = np.arange(len(own)) - start
+            parts = np.repeat(np.add.reduceat(mixed(copy[own].view(np.uint64), 42), np.flatnonzero(rank == 0)), size[rank == 0]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (parts, copy[own], n[own], pos[own], rank)], ["key", "copy", "n", "pos", "rank"])
 
     return run
 
@@ -220,7 +283,7 @@ def _pairs(high: int, similarity: float):
     """Members of ranks below high, which come first, with all behind them that are not in their component and may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, chunk, rank, copy, root, n, pos, bits in _buckets(batches):
+        for key, chunk, rank, copy, root, n, pos, bits, more in _buckets(batches):
             edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]), [True])))
             size = np.diff(edge)
             start = np.repeat(edge[:-1], size)
@@ -232,7 +295,7 @@ def _pairs(high: int, similarity: float):
                 with_ = start[rest] + r
                 good = (root[rest] != root[with_]) & _similar(rest, with_, n, pos, similarity)
                 x, y = rest[good], with_[good]
-                good = _near(x, y, n, bits, similarity)
+                good = _near(x, y, n, bits, more, similarity)
                 x, y = copy[x[good]], copy[y[good]]
                 found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
                 if len(found) > 64:
@@ -253,7 +316,7 @@ def _dealt(alive: DataFrame, bits: DataFrame, low: int, high: int, partitions: i
     else:
         turn = turn.join(large, "key", "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor(F.coalesce("last", F.lit(0)) / CHUNK).cast("int"))))
     rest = alive.where(F.col("rank") >= high).withColumn("chunk", F.floor(F.col("rank") / CHUNK).cast("int"))
-    both = turn.select(columns).unionByName(rest.select(columns)).join(bits.hint("merge"), "copy").select(*columns, "bits")
+    both = turn.select(columns).unionByName(rest.select(columns)).join(bits.hint("merge"), "copy").select(*columns, "bits", "more")
     return both.repartition(partitions, "key", "chunk").sortWithinPartitions("key", "chunk", "rank")
 
 
@@ -283,10 +346,10 @@ def _common(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _sketches(texts: DataFrame, alive: DataFrame, width: int) -> DataFrame:
-    """(copy, bits): the sketch of each text in `alive`."""
+    """(copy, bits, more): the sketches of each text in `alive`."""
     own = written(alive.select("copy").distinct(), "large")
     few = F.broadcast(own) if own.count() <= 2 * FEW_PAIRS else own.hint("merge")
-    bits = written(texts.select("copy", "blob").join(few, "copy", "left_semi").mapInArrow(_sketched(width), "copy long, bits binary"), "sketches")
+    bits = written(texts.select("copy", "blob").join(few, "copy", "left_semi").mapInArrow(_sketched(width), "copy long, bits binary, more binary"), "sketches")
     discard(own)
     return bits
 
@@ -319,16 +382,25 @@ def similar_roots(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """(node, root) of the components of all pairs at `similarity` or more; texts: copy (distinct), fp (its fingerprint) and blob (the compressed text)."""
     partitions = partitions_for(texts, F.length("blob"), 8 << 20)
     keys = texts.select("copy", "blob").mapInArrow(_prefixes(width, similarity, _common(texts, width)), "key long, copy long, n int, pos int")
-    met = keys.repartition(partitions, "key").sortWithinPartitions("key", "copy").mapInArrow(_shared(similarity), "key long, copy long, other long, n int, pos int, rank long")
+    met = keys.repartition(partitions, "key").sortWithinPartitions("key", "copy").mapInArrow(_shared(similarity, WHOLE), "key long, copy long, other long, n int, pos int, rank long, whole boolean")
     met = written(met, "met")
     first = met.where("key is null").select(F.col("copy").alias("a"), F.col("other").alias("b")).unionByName(fingerprint_pairs(texts))
-    alive = met.where("key is not null").select("key", "copy", F.col("copy").alias("root"), "n", "pos", "rank")
-    low, high, compared, roots, spent, rows = 0, 1, None, None, met, alive.count()
-    bits = _sketches(texts, alive, width)
+    large = met.where("key is not null")
+    bits = _sketches(texts, large, width)
+    whole = large.where("whole").select("key", "copy", "n", "pos").join(bits.hint("merge"), "copy").select("key", "copy", "n", "pos", "bits", "more")
+    parts = whole.repartition(partitions, "key").sortWithinPartitions("key", "copy").mapInArrow(_parted(similarity), "key long, copy long, n int, pos int, rank long")
+    # near copies meet on many shingles; parts of the same members are one, in which each has its first place, so that no pair which may be similar is lost
+    parts = parts.groupBy("key", "copy").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("rank").alias("rank"))
+    parts = written(parts.unionByName(large.where("not whole").select(parts.columns)), "parts")
+    alive = parts.select("key", "copy", F.col("copy").alias("root"), "n", "pos", "rank")
+    low, high, compared, roots, spent, rows = 0, 1, None, None, parts, alive.count()
+    with shuffles_for(texts.sparkSession, rows):
+        partitions = shuffle_partitions(texts.sparkSession)
     while True:
         pairs = _dealt(alive, bits, low, high, partitions).mapInArrow(_pairs(high, similarity), "a long, b long")
         if compared is None:
             compared = pairs = written(pairs.unionByName(first).distinct(), "pairs")
+            discard(met)
         else:
             with shuffles_for(texts.sparkSession, max(rows, compared.count())):
                 pairs = written(pairs.distinct().join(compared.hint("merge"), ["a", "b"], "left_anti"), "pairs")
