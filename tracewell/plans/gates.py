@@ -78,15 +78,20 @@ def policy_and_views(p: Preset) -> list[Rule]:
     ]
 
 
-def judged(frames: DataFrame, keys: Sequence[str], frame: str, p: Preset) -> DataFrame:
-    """frames with every gate, side_ok (side frames in a sustained run) and reason."""
+def judged(frames: DataFrame, keys: Sequence[str], frame: str, p: Preset, open_identity: bool = False) -> DataFrame:
+    """frames with every gate, side_ok (side frames in a sustained run) and reason.
+
+    A frame without a cosine to its own centroid resembles nobody and is rejected for identity, if nothing else makes it valid. With open_identity
+    the question stays open under a trusted anchor, as it does in SQL, where `valid` is NULL then: such a frame is as little valid, but its reason is a later one.
+    """
     out = evaluated(frames, [*validity(keys, p), *policy_and_views(p)])
     out = in_sustained_run(out, F.col("side_raw"), keys, frame, "side_ok", p.side_gap, p.side_run)
     c = F.col
+    unread = c("cos_self").isNull() & F.coalesce(c("clean_ref") <= p.anchor_most, F.lit(False)) & F.lit(open_identity)
     cases = [
         (c("admit"), "admit"),
         (~c("valid") & ~c("face_or_fashion"), "reject:no_face"),
-        (~c("valid"), "reject:identity"),
+        (~c("valid") & ~unread, "reject:identity"),
         (~c("sharp_ok"), "reject:blur"),
         (~c("exposure_ok"), "reject:exposure"),
         (~c("expr_ok"), "reject:ambiguous"),
@@ -96,7 +101,7 @@ def judged(frames: DataFrame, keys: Sequence[str], frame: str, p: Preset) -> Dat
     return out.withColumn("reason", first_reason(cases, "no_view"))
 
 
-def judged_twice(frames: DataFrame, clip: str, track: str, frame: str, embedding: str, p: Preset, parts: int | None = None) -> DataFrame:
+def judged_twice(frames: DataFrame, clip: str, track: str, frame: str, embedding: str, p: Preset, parts: int | None = None, open_identity: bool = False) -> DataFrame:
     """Two passes: the frames admitted without embedding evidence give each track a centroid (from centroid_least frames on); the second
     pass also knows how near a frame is to its own and to the nearest other centroid of its clip. Each pass deals the tracks over `parts` partitions (None: the session's)."""
     deal = lambda rows: rows if parts is None else rows.repartition(parts, clip, track)
@@ -105,4 +110,4 @@ def judged_twice(frames: DataFrame, clip: str, track: str, frame: str, embedding
     first = first.withColumn("__n", F.count("*").over(Window.partitionBy(clip, track))).where(F.col("__n") >= p.centroid_least)
     centroids = mean_vector(first, [clip, track], "__v", "__c").withColumn("__c", normalised(F.col("__c")))
     near = rival_similarity(frames.drop("cos_self", "cos_other").withColumn("__e", doubles(F.col(embedding))), centroids, [clip], track, "__e", "__c").drop("__e")
-    return judged(deal(near), [clip, track], frame, p)
+    return judged(deal(near), [clip, track], frame, p, open_identity)
