@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,6 +134,75 @@ def rival_similarity(rows: DataFrame, centroids: DataFrame, keys: Keys, subject:
     return found.select(*[F.col(n).alias(c) for n, c in zip(names, rows.columns)], "cos_self", "cos_other")
 
 
+def rivals_by_vector(rows: DataFrame, vectors: DataFrame, centroids: DataFrame, keys: Keys, subject: str, at: str, vector: str, centre: str, cells: int = 1, parts: int | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """rows without `at`, and with cos_self and cos_other as in rival_similarity, for rows that name their vector (`at`) in a table that few groups share.
+
+    No row carries a vector. The table is cut into `cells` by its ids; each group's rows of a cell meet its vectors and the group's centroids in one task, so vectors travel once a group and
+    centroids once a cell. Cosines are taken once for each vector and centroid of a group, whatever the number of rows. An id that is there twice has the greater cosines; one that is not there, or null, has
+    none. Numbers that are none (a vector of length 0) stay so and count as greatest, as in SQL. Groups and cells are dealt over `parts` partitions (None: the session's).
+    `groups` lists the keys of the groups, if that is cheaper than to take them from the centroids, which are made once more for it.
+    """
+    rows = rows.drop("cos_self", "cos_other")
+    kept = [f for f in rows.schema.fields if f.name != at]
+    named = [f"__k{i}" for i in range(len(keys))]  # the groups' keys, on their side
+    deal = lambda df, *by: df if parts is None else df.repartition(parts, *by, "__cell")
+    # rows that name no vector are nowhere to go to, so any cell will do
+    cell = F.pmod(F.coalesce(F.when(F.col(at).isNotNull(), F.xxhash64(at)), F.xxhash64(*[f.name for f in kept if not isinstance(f.dataType, T.MapType)])), F.lit(cells)).cast("int").alias("__cell")
+    left = deal(rows.select("*", cell), *keys)
+    centroids = centroids.select(*[F.col(k).alias(x) for k, x in zip(keys, named)], F.col(subject).alias("__who"), F.col(centre).alias("__c")).where(F.col("__c").isNotNull())
+    groups = F.broadcast((centroids.select(*named) if groups is None else groups.select(*[F.col(k).alias(x) for k, x in zip(keys, named)])).distinct())  # few
+    held = vectors.select(F.col(at).cast(rows.schema[at].dataType).alias(at), F.col(vector).alias("__v")).where(F.col(at).isNotNull() & F.col("__v").isNotNull())
+    held = held.crossJoin(groups).select(*named, F.pmod(F.xxhash64(at), F.lit(cells)).cast("int").alias("__cell"), F.col(at).alias("__at"), "__v")
+    met = centroids.select(*named, F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("__cell"), "__who", "__c")
+    right = deal(held.unionByName(met, allowMissingColumns=True), *named)
+    schema = T.StructType([*kept, T.StructField("cos_self", T.DoubleType()), T.StructField("cos_other", T.DoubleType())])
+
+    def run(some: pa.Table, right: pa.Table) -> pa.Table:
+        one = lambda t, c: t.column(c).combine_chunks()
+        table, centres = (right.filter(pc.is_valid(right.column(c))) for c in ("__v", "__c"))
+        ids = one(table, "__at").dictionary_encode()
+        place = lambda c, values: pc.fill_null(pc.index_in(one(some, c), value_set=values), -1).to_numpy(zero_copy_only=False)
+        mine, other = _rivals(ids.indices.to_numpy(zero_copy_only=False), one(table, "__v"), one(centres, "__c"), place(at, ids.dictionary), place(subject, one(centres, "__who")))
+        out = some.select([f.name for f in kept])
+        for name, x in (("cos_self", mine), ("cos_other", other)):
+            out = out.append_column(name, pa.array(x, pa.float64(), mask=np.isneginf(x)))
+        return out
+
+    return left.groupBy(*keys, "__cell").cogroup(right.groupBy(*named, "__cell")).applyInArrow(run, schema)
+
+
+def _rivals(ids: np.ndarray, vectors: pa.ListArray, centres: pa.ListArray, at: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with the vectors of id `at` and the own centroid `who` (-1: none), the cosine to it and the greatest to another; -inf: none."""
+    mine, other = np.full(len(at), -np.inf), np.full(len(at), -np.inf)
+    wide, held = (x.value_lengths().to_numpy(zero_copy_only=False) for x in (vectors, centres))
+    for width in np.intersect1d(wide[wide > 0], held).tolist():
+        some, known = np.flatnonzero(wide == width), np.flatnonzero(held == width)
+        some = some[np.argsort(ids[some], kind="stable")]
+        here, first = np.unique(ids[some], return_index=True)
+        u, c = _unit(vectors.take(pa.array(some))), _unit(centres.take(pa.array(known))).T
+        row, column = np.full(ids.max() + 2, -1), np.full(len(held) + 1, -1)  # the last for those that have none
+        row[here], column[known] = np.arange(len(here)), np.arange(len(known))
+        row, column = row[at], column[who]
+        order = np.argsort(row, kind="stable")
+        edges = row[order]
+        step = max(1, 4_000_000 // len(known))  # numbers of a block
+        for a in range(0, len(here), step):
+            b = min(a + step, len(here))
+            low, high = first[a], first[b] if b < len(here) else len(u)
+            near = u[low:high] @ c
+            if high - low > b - a:
+                near = np.maximum.reduceat(near, first[a:b] - low, axis=0)
+            these = order[slice(*np.searchsorted(edges, [a, b]))]
+            i, j = row[these] - a, column[these]
+            has = these[j >= 0]
+            mine[has] = np.maximum(mine[has], near[i[j >= 0], j[j >= 0]])
+            all_, best = np.arange(b - a), near.argmax(1)
+            top = near[all_, best]
+            near[all_, best] = -np.inf
+            other[these] = np.maximum(other[these], np.where(best[i] == j, near.max(1)[i], top[i]))
+    return mine, other
+
+
 def _unit(vectors: pa.ListArray) -> np.ndarray:
     """Vectors of one length as rows of length 1; a null entry is no number."""
     x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)

@@ -30,6 +30,16 @@ def unresolved(rules: Sequence[Rule], signals: Sequence[str]) -> list[tuple[str,
     return missing
 
 
+def readers(rules: Sequence[Rule], names: Sequence[str]) -> list[Rule]:
+    """The rules that read one of the names, directly or through another rule, in order."""
+    known, found = set(names), []
+    for rule in rules:
+        if known & set(rule.reads):
+            known.add(rule.name)
+            found.append(rule)
+    return found
+
+
 def evaluated(frames: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """frames with one column for each rule, in order. Unknown reads raise before anything runs. A gate's NULL is false."""
     if lost := unresolved(rules, frames.columns):
